@@ -15,8 +15,38 @@ def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_dedup import op7
+
+    return op7(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
+    "op7_line_dedup": op7_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Lower case of A-Z only, as a DuckDB expression.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP7_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(1, len(parts) + 1)) AS pos, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), keyed AS (
+  SELECT doc_id, pos, line,
+         {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k
+  FROM lines
+), held AS (
+  SELECT k, count(DISTINCT doc_id) AS n, max(doc_id) AS holder FROM keyed WHERE length(k) >= 20 GROUP BY k
+), marked AS (
+  SELECT keyed.*, coalesce(n >= 3 AND keyed.doc_id <> holder, false) AS gone FROM keyed LEFT JOIN held USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": _OP7_SQL,
+}
