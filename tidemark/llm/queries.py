@@ -21,9 +21,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import op10
+
+    return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op7_line_dedup": op7_line_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: Lower case of A-Z only, as a DuckDB expression.
@@ -47,6 +54,30 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_WORDS = "list_filter(regexp_split_to_array(" + _LOWER.format("coalesce(text, '')") + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+
+_OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, list_aggregate(w[s : s + 9], 'string_agg', ' ') AS phrase, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM win),
+at AS (
+  SELECT doc_id, n, s, list_aggregate(w[s : s + n - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)
+), occ AS (SELECT doc_id, s, win.n, item_id FROM at JOIN win ON at.n = win.n AND at.phrase = win.phrase),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM occ) GROUP BY doc_id),
+it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": _OP7_SQL,
+    "op10_decontaminate": _OP10_SQL,
 }
