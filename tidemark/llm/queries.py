@@ -63,10 +63,10 @@ win AS (
   SELECT DISTINCT item_id, list_aggregate(w[s : s + 9], 'string_agg', ' ') AS phrase, least(len(w), 10) AS n
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)
 ), sizes AS (SELECT DISTINCT n FROM win),
-at AS (
+places AS (
   SELECT doc_id, n, s, list_aggregate(w[s : s + n - 1], 'string_agg', ' ') AS phrase
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)
-), occ AS (SELECT doc_id, s, win.n, item_id FROM at JOIN win ON at.n = win.n AND at.phrase = win.phrase),
+), occ AS (SELECT doc_id, s, win.n, item_id FROM places JOIN win ON places.n = win.n AND places.phrase = win.phrase),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM occ) GROUP BY doc_id),
 it AS (
   SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
