@@ -27,8 +27,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.near_dup import op2
+
+    return op2(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
+    "op2_near_dup": op2_near_dup,
     "op7_line_dedup": op7_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -54,7 +61,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-_WORDS = "list_filter(regexp_split_to_array(" + _LOWER.format("coalesce(text, '')") + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+_WORDS = "list_filter(regexp_split_to_array(" + _LOWER.format("coalesce(text, '')") + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 _OP10_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
