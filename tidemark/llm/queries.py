@@ -33,9 +33,16 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.license_scan import op3
+
+    return op3(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_near_dup": op2_near_dup,
+    "op3_license_scan": op3_license_scan,
     "op7_line_dedup": op7_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
