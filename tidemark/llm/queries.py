@@ -39,10 +39,24 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import op4
+
+    return op4(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import op5
+
+    return op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_near_dup": op2_near_dup,
     "op3_license_scan": op3_license_scan,
+    "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
