@@ -51,6 +51,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.embedding_dup import op8
+
+    return op8(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_near_dup": op2_near_dup,
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op7_line_dedup": op7_line_dedup,
+    "op8_embedding_dup": op8_embedding_dup,
     "op10_decontaminate": op10_decontaminate,
 }
 
@@ -105,7 +112,28 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+_OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+  SELECT * FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_inner_product(e, e) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION
+  SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+), comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN comp ON vec_id = comp.a LEFT JOIN n ON vec_id = n.a
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": _OP7_SQL,
+    "op8_embedding_dup": _OP8_SQL,
     "op10_decontaminate": _OP10_SQL,
 }
