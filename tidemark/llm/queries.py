@@ -57,6 +57,12 @@ def op8_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8(table(spark, sf_dir, "embeddings"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import op9
+
+    return op9(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_near_dup": op2_near_dup,
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_embedding_dup": op8_embedding_dup,
+    "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
 }
 
