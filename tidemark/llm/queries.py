@@ -63,12 +63,19 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secrets import op6
+
+    return op6(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_near_dup": op2_near_dup,
     "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_secret_scan": op6_secret_scan,
     "op7_line_dedup": op7_line_dedup,
     "op8_embedding_dup": op8_embedding_dup,
     "op9_pii": op9_pii,
