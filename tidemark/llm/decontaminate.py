@@ -2,9 +2,10 @@
 
 A window is `size` consecutive words of an item (a shorter item is one window). The corpus frequencies of all item
 words are counted first; the two rarest places of each window are its anchors. The postings (term, document, position)
-of all anchor terms are stored as a table, joined with the windows by term, moved back by the anchor's offset, and
-intersected: a (window, document, start) that all its anchors name goes on, an inexact meeting within `slop` words is
-a proximity match. What goes on is compared word by word with the document, which leaves the exact phrases.
+of all anchor terms are stored as a table. The list of each rarest term is moved back by its place in the item, and
+the list of the second rarest is intersected with it: a (document, place of the item) that both name goes on, one that
+they name within `slop` words is a proximity match. What goes on is compared with the document phrase by phrase, which
+leaves the exact ones.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ def phrase_hash(h: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def item_windows(ids: list[str], texts: list[str], size: int) -> dict[str, np.ndarray]:
-    """Of each distinct (item, window): item number, word hashes (padded with 0), length, phrase hash."""
+    """Of each distinct (item, window): item number, word hashes (padded with 0), length, phrase hash, begin."""
     words = Words()
     data, offs = text_buffers(pa.array(texts, pa.large_string()))
     h, _, _, at = words(data, offs)
-    item, rows, length = [], [], []
+    item, rows, length, begin = [], [], [], []
     for i in range(len(ids)):
         a, b = int(at[i]), int(at[i + 1])
         n = min(size, b - a)
@@ -45,6 +46,7 @@ def item_windows(ids: list[str], texts: list[str], size: int) -> dict[str, np.nd
             w = np.zeros(size, np.uint64)
             w[:n] = h[s : s + n]
             item.append(i)
+            begin.append(s - a)
             rows.append(w)
             length.append(n)
     w = np.array(rows, np.uint64).reshape(-1, size)
@@ -54,7 +56,7 @@ def item_windows(ids: list[str], texts: list[str], size: int) -> dict[str, np.nd
         sel = np.flatnonzero(n == k)
         ph[sel] = phrase_hash(w.reshape(-1), sel * size, int(k))
     _, first = np.unique(np.stack([np.array(item, np.uint64), ph]), axis=1, return_index=True) if len(n) else (None, np.zeros(0, int))
-    return {"item": np.array(item, np.int64)[first], "words": w[first], "length": n[first], "phrase": ph[first]}
+    return {"item": np.array(item, np.int64)[first], "words": w[first], "length": n[first], "phrase": ph[first], "begin": np.array(begin, np.int64)[first]}
 
 
 class Members:
@@ -128,43 +130,47 @@ def _block(docs: DataFrame, ids: list[str], texts: list[str], size: int, slop: i
     of = of.reshape(w["words"].shape)
     seen = term_counts(docs, vocab)
     rarity = np.where(real, seen[of], np.iinfo(np.int64).max)
-    alive = rarity.min(axis=1) > 0  # a window with a word that no text has stands nowhere
-    order = np.argsort(rarity, axis=1, kind="stable")[:, :2]
-    wanted = np.zeros(len(vocab), bool)
-    rows = []
-    for r in np.flatnonzero(alive):
-        n = min(2, int(w["length"][r]))
-        for a in range(n):
-            off = int(order[r, a])
-            wanted[of[r, off]] = True
-            rows.append((int(of[r, off]), int(r), off, a, n))
-    if not rows:
+    alive = np.flatnonzero(rarity.min(axis=1) > 0)  # a window with a word that no text has stands nowhere
+    if not len(alive):
         return None
+    order = np.argsort(rarity[alive], axis=1, kind="stable")
+    term = np.take_along_axis(of[alive], order[:, :2], axis=1)
+    place = order[:, :2] + w["begin"][alive][:, None]
+    two = w["length"][alive] > 1
+    wanted = np.zeros(len(vocab), bool)
+    wanted[term[:, 0]] = wanted[term[two, 1]] = True
     posts = saved(postings(docs, vocab, wanted), "postings")
-    t = np.array(rows, np.int64)
-    r = t[:, 1]
-    anchors = spark.createDataFrame(
+    windows = spark.createDataFrame(
         pa.table({
-            "term": t[:, 0], "win": r, "off": t[:, 2], "a": t[:, 3], "n": t[:, 4], "length": w["length"][r], "phrase": w["phrase"][r].view(np.int64),
-            "item": pa.array([ids[k] for k in w["item"][r]], pa.string()),
+            "item_no": w["item"][alive], "p1": place[:, 0], "p2": pa.array(place[:, 1], mask=~two), "t1": term[:, 0], "t2": pa.array(term[:, 1], mask=~two),
+            "begin": w["begin"][alive], "length": w["length"][alive], "phrase": w["phrase"][alive].view(np.int64), "item": pa.array([ids[k] for k in w["item"][alive]], pa.string()),
         })
     )
-    # two rows for each window: bounded by 2 * BLOCK_WORDS, so it is sent whole only while small
-    if len(rows) <= 200_000:
-        anchors = F.broadcast(anchors)
-    met = posts.join(anchors, "term").withColumn("start", F.col("pos") - F.col("off"))
-    first = met.filter("a = 0").withColumn("d", F.lit(0))
-    other = met.filter("a = 1").withColumn("d", F.explode(F.sequence(F.lit(-slop), F.lit(slop))))
-    both = first.unionByName(other).withColumn("start", F.col("start") + F.col("d"))
+    # a row for each window: bounded by BLOCK_WORDS, and sent whole only while small
+    sent = F.broadcast if len(alive) <= 100_000 else (lambda df: df)
+    cand = (
+        posts.join(sent(windows.select("item_no", "p1", "t1").distinct()), F.col("term") == F.col("t1"))
+        .select("doc_id", "th", "item_no", "p1", (F.col("pos") - F.col("p1")).alias("at"))
+        .join(sent(windows.select("item_no", "p1", "p2", "t2").distinct()), ["item_no", "p1"])
+    )
+    alone = cand.filter("p2 IS NULL").select("doc_id", "th", "item_no", "p1", "p2", "at", F.lit(True).alias("exact"))
+    width = 16  # words of a bucket: positions within slop share one of two buckets
+    want = cand.filter("p2 IS NOT NULL").withColumn("want", F.col("at") + F.col("p2"))
+    near = lambda d: F.floor((F.col("want") + d) / width)
+    want = want.withColumn("bucket", F.explode(F.array_distinct(F.array(near(-slop), near(slop)))))
+    second = posts.join(sent(windows.filter("t2 IS NOT NULL").select(F.col("t2").alias("term")).distinct()), "term", "left_semi")
+    second = second.select(F.col("doc_id").alias("d2"), F.col("th").alias("h2"), F.col("term").alias("t2"), "pos", F.floor(F.col("pos") / width).alias("bucket"))
+    met = (
+        want.join(second, (F.col("th") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("d2")) & (want["t2"] == second["t2"]) & (want["bucket"] == second["bucket"]) & (F.abs(F.col("pos") - F.col("want")) <= slop))
+        .select("doc_id", "th", "item_no", "p1", "p2", "at", (F.col("pos") == F.col("want")).alias("exact"))
+        .unionByName(alone)
+    )
+    w2 = windows.select(F.col("item_no").alias("_i"), F.col("p1").alias("_p1"), F.col("p2").alias("_p2"), "begin", "length", "phrase", "item")
     return (
-        both.groupBy("win", "doc_id", "th", "start")
-        .agg(
-            *[F.first(c).alias(c) for c in ("length", "phrase", "item", "n")],
-            F.max(F.col("a") == 0).alias("one"), F.max(F.col("a") == 1).alias("two"), F.max((F.col("a") == 1) & (F.col("d") == 0)).alias("level"),
-        )
-        .filter("one AND (n = 1 OR two)")
-        .select("doc_id", "th", "start", "length", "phrase", "item", (F.expr("n = 1 OR level") & (F.col("start") >= 0)).alias("exact"))
-    )
+        met.join(sent(w2), (F.col("item_no") == F.col("_i")) & (F.col("p1") == F.col("_p1")) & F.col("p2").eqNullSafe(F.col("_p2")))
+        .withColumn("start", F.col("at") + F.col("begin"))
+        .select("doc_id", "th", "start", "length", "phrase", "item", (F.col("exact") & (F.col("start") >= 0)).alias("exact"))
+    )
 
 
 def find(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
