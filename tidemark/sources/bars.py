@@ -28,7 +28,7 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.round(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)), 4)
+    price = F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))
     return daily_bars(table(spark, sf_dir, "lineitem"), "l_suppkey", F.to_date("l_shipdate"), price, ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], F.col("l_quantity"), F.col("l_extendedprice"))
 
 
@@ -40,5 +40,5 @@ EVENT_BARS_SQL = """bars AS (
 LINE_BARS_SQL = """bars AS (
   SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS d, arg_min(p, o) AS open, max(p) AS high, min(p) AS low, arg_max(p, o) AS close,
          sum(l_quantity) AS vol, sum(l_extendedprice) AS amount
-  FROM (SELECT *, round(l_extendedprice / nullif(l_quantity, 0), 4) AS p, {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_quantity} AS o FROM lineitem)
+  FROM (SELECT *, l_extendedprice / nullif(l_quantity, 0) AS p, {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_quantity} AS o FROM lineitem)
   WHERE l_suppkey IS NOT NULL AND l_shipdate IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2)"""
