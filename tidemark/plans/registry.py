@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, relational
+from tidemark.plans import market, relational, research
 
-_GROUPS = [relational, market]
+_GROUPS = [relational, market, research]
 QUERIES = {k: v for g in _GROUPS for k, v in g.QUERIES.items()}
 ORACLE_SQL = {k: v for g in _GROUPS for k, v in g.ORACLE.items()}
