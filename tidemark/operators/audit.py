@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows as X
+from tidemark.session import saved
 
 
 def payload_hash(*cols: str) -> Column:
@@ -119,7 +120,9 @@ def lineage_impact(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     front = seen
     for k in range(1, depth + 1):
         step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(k))
+        front = saved(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(k)), "lineage")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.filter("distance > 0")
 

@@ -43,5 +43,6 @@ def available_at(day: Column, hour: int = 18, zone: str = "Asia/Shanghai") -> Co
 
 def pit(df: DataFrame, at: Column, available: str, event: str) -> DataFrame:
     """What was known at `at`: rows available and dated at or before it. A row without either anchor raises."""
-    anchored = F.when(F.col(available).isNull() | F.col(event).isNull(), F.raise_error(F.lit("row without an availability or event time"))).otherwise(F.lit(True))
-    return df.filter(anchored.cast("boolean") & (F.col(available) <= at) & (F.col(event) <= at))
+    missing = F.col(available).isNull() | F.col(event).isNull()
+    latest = F.when(missing, F.raise_error(F.lit("row without an availability or event time"))).otherwise(F.greatest(available, event))
+    return df.filter(latest <= at)

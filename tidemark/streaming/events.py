@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_events(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_events(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100, glob: str = "*.parquet") -> DataFrame:
+    """Files of a folder whose names fit the pattern, as they come."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:
