@@ -9,7 +9,7 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 the total weight fill all coordinates; for the few documents where one stays empty the bound is doubled.
 
 Documents of the same words are one class from the start. Signatures are banded; in each bucket the least member is
-tried with all others, and what this leaves apart is compared signature by signature in blocks, inside the tasks, and
+tried with all others, and what this leaves apart is compared sketch by sketch in blocks, inside the tasks, and
 only pairs that may reach the threshold come out. Those are compared exactly. Links make connected components.
 """
 
@@ -28,6 +28,8 @@ from tidemark.session import saved
 K, BAND_ROWS, SHINGLE, THRESHOLD = 128, 5, 5, 0.8
 #: Pairs whose signatures agree in fewer coordinates are not compared: 3.4 standard deviations below 0.8 at k = 128.
 SURE = 0.68
+#: Bins of the finer sketch of documents that share a bucket, and its bound: 4 standard deviations below 0.8.
+BINS, FINE_SURE = 1024, 0.75
 BLOCK = 1024
 E48 = np.uint64((1 << 48) - 1)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -143,8 +145,26 @@ def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def fine_sketch(el: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """BINS bytes: of each bin, a byte of the least hash of the (element, copy) pairs in it, 0 if there is none."""
+    w = w.astype(np.int64)
+    copy = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    with np.errstate(over="ignore"):
+        h = mix(np.repeat(el, w) * GOLD + copy.astype(np.uint64))
+    least = np.full(BINS, np.uint64((1 << 64) - 1))
+    np.minimum.at(least, (h >> np.uint64(54)).astype(np.int64), mix(h))
+    return np.where(least < np.uint64((1 << 64) - 1), 1 + least % np.uint64(255), 0).astype(np.uint8)
+
+
+def fine_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimates for one sketch against many; chance agreement of bytes is taken off."""
+    either = ((a > 0) | (b > 0)).sum(axis=1)
+    same = ((a == b) & (a > 0)).sum(axis=1)
+    return (same / np.maximum(either, 1) - 1 / 255) / (1 - 1 / 255)
+
+
 def _shingle_table(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(content, els): the shingles of each wanted class, packed: all elements, then all weights."""
+    """(content, els, fine): the shingles of each wanted class, all elements, then all weights, and their fine sketch."""
 
     def run(batches):
         words = Words()
@@ -155,11 +175,12 @@ def _shingle_table(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 doc, el, w = shingles(h, at, size)
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 packed = [el[a:b].tobytes() + w[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], names=["content", "els"])
+                fine = [fine_sketch(el[a:b], w[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary()), pa.array(fine, pa.binary())], names=["content", "els", "fine"])
 
     d, r = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").alias("d"), nodes.alias("r")
     hit = d.join(r, (F.col("d.th") == F.col("r.th")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id"))).select("r.content", "d.text")
-    return hit.dropDuplicates(["content"]).mapInArrow(run, "content long, els binary")
+    return hit.dropDuplicates(["content"]).mapInArrow(run, "content long, els binary, fine binary")
 
 
 def _exact(pairs: DataFrame, els: DataFrame, threshold: float) -> DataFrame:
@@ -183,36 +204,47 @@ def _exact(pairs: DataFrame, els: DataFrame, threshold: float) -> DataFrame:
 
 
 def _apart(rows: DataFrame, most: int) -> DataFrame:
-    """(a, b): pairs of one bucket, but of two components, whose signatures agree in SURE of the coordinates.
+    """(a, b): pairs of one bucket, but of two components, that both sketches let reach the threshold.
 
-    rows: (key, content, comp, sig). Buckets are cut into blocks of about BLOCK rows, and each pair of blocks is one
-    group, so no group grows with the bucket. Each row gives its `most` best partners by block (0: all).
+    rows: (key, content, comp, sig, fine), written. Buckets are cut into blocks of about BLOCK rows, and each pair of
+    blocks is one group, so no group grows with the bucket; small buckets share groups of about 20,000 rows. Each row
+    gives its `most` best partners by block (0: all).
     """
+    groups = max(1, rows.count() // 20_000)
     n = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nb"))
     placed = rows.join(n, "key").withColumn("blk", F.pmod(F.xxhash64("content", "key"), F.col("nb")))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "content", "comp", "sig")
+    placed = placed.withColumn("part", F.when(F.col("nb") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).select(
+        "part", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "key", "blk", "content", "comp", "sig", "fine"
+    )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), -1)
-        node, comp, blk = pdf["content"].to_numpy(), pdf["comp"].to_numpy(), pdf["blk"].to_numpy()
-        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), -1)
+        node, comp, blk, key = (pdf[c].to_numpy() for c in ("content", "comp", "blk", "key"))
+        edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         out = []
-        for r in left:
-            to = right[(comp[right] != comp[r])]
-            if i == j:
-                to = to[node[to] > node[r]]
-            if not len(to):
-                continue
-            est = (sig[to] == sig[r]).mean(axis=1)
-            ok = np.flatnonzero(est >= SURE)
-            if most and len(ok) > most:
-                ok = ok[np.argsort(-est[ok], kind="stable")[:most]]
-            out.append(np.stack([np.minimum(node[r], node[to[ok]]), np.maximum(node[r], node[to[ok]])], axis=1))
-        p = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            at = np.arange(lo, hi)
+            right = at[blk[lo:hi] == j]
+            for r in at[blk[lo:hi] == i]:
+                to = right[comp[right] != comp[r]]
+                if i == j:
+                    to = to[node[to] > node[r]]
+                if len(to):
+                    to = to[(sig[to] == sig[r]).mean(axis=1) >= SURE]
+                if len(to):
+                    est = fine_similarity(fine[r], fine[to])
+                    to, est = to[est >= FINE_SURE], est[est >= FINE_SURE]
+                    if most and len(to) > most:
+                        to = to[np.argsort(-est, kind="stable")[:most]]
+                    out.append(np.stack([np.minimum(node[r], node[to]), np.maximum(node[r], node[to])], axis=1))
+        p = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    return dealt.groupBy("part", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, band_rows: int = BAND_ROWS, size: int = SHINGLE) -> DataFrame:
@@ -247,7 +279,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, b
             break
         now = buckets.select("key", "content").join(comp.withColumnRenamed("node", "content"), "content", "left").withColumn("comp", F.coalesce("comp", "content"))
         open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        rows = now.join(open_keys, "key").join(nodes.select("content", "sig"), "content")
+        rows = saved(now.join(open_keys, "key").join(nodes.select("content", "sig"), "content").join(els.select("content", "fine"), "content"), "open-buckets")
         pairs = saved(_apart(rows, most).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
