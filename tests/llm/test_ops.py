@@ -1,0 +1,425 @@
+"""Operators of the training-data pipeline: brute force, SQL, held-out accuracy and odd inputs."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import components, decontaminate, embedding_dup, lang_id, license_scan, line_dedup, mixing, near_dup, pii, queries, secrets, toxicity
+from tidemark.llm.words import Words, text_buffers
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+UP = {c: c + 32 for c in range(65, 91)}
+#: Nulls, empty and blank texts, repeated rows, a null id, non-ASCII text and a long text.
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "One two three four five six seven."), (4, "One two three four five six seven."), (None, "No id here, but some words stand in it."), (6, "Ünïcode wörds ÉÀ " * 3), (7, "word " * 60_000)]
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+
+
+def words_of(t):
+    return WORD.findall((t or "").translate(UP))
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, duck, name):
+    df = queries.QUERIES[name](spark, SF)
+    cur = duck.execute(queries.ORACLE_SQL[name])
+    cols = [d[0] for d in cur.description]
+    want = sorted(tuple(map(str, r)) for r in cur.fetchall())
+    assert sorted(tuple(str(r[c]) for c in cols) for r in df.collect()) == want
+
+
+def test_word_hashes_agree_with_the_pattern():
+    rng = random.Random(1)
+    texts = ["", "a", "ab-cd", "É x", *["".join(rng.choice("aB é-1\n ") for _ in range(rng.randint(0, 60))) for _ in range(200)]]
+    h, s, e, at = Words()(*text_buffers(pa.array(texts)))
+    name = {}
+    for i, t in enumerate(texts):
+        own = words_of(t)
+        assert at[i + 1] - at[i] == len(own)
+        for w, x in zip(own, h[at[i] : at[i + 1]].tolist(), strict=True):
+            assert name.setdefault(x, w) == w
+    assert len(set(name.values())) == len(name)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
+    got = {r.node: r.comp for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130))
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# --- op1
+
+
+def test_language_is_right_on_held_out_documents(spark):
+    from tidemark.session import table
+
+    got = lang_id.op1(table(spark, SF, "documents")).join(table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) >= 0.95 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_code_lengths_equal_the_tree_walk():
+    model = lang_id.Ppm({"a": [b"abracadabra abra", b"cad"], "b": [b"banana band"]})
+
+    def walk(lang, text):
+        counts = [defaultdict(Counter) for _ in range(4)]
+        for t in {"a": [b"abracadabra abra", b"cad"], "b": [b"banana band"]}[lang]:
+            p = b"\0\0\0" + t
+            for i in range(3, len(p)):
+                for k in range(4):
+                    counts[k][p[i - k : i]][p[i]] += 1
+        bits, p = 0.0, b"\0\0\0" + text
+        for i in range(3, len(p)):
+            k = 3
+            while True:
+                c = counts[k][p[i - k : i]] if k >= 0 else None
+                if k < 0:
+                    bits += 8
+                    break
+                n, d = sum(c.values()), len(c)
+                if c[p[i]]:
+                    bits -= np.log2(c[p[i]] / (n + d))
+                    break
+                c.pop(p[i], None)
+                if n:
+                    bits -= np.log2(d / (n + d))
+                k -= 1
+        return bits
+
+    texts = [b"abra", b"banana", b"zzz", b"", b"cab and abba" * 5]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offs = np.cumsum([0, *map(len, texts)])
+    got = model.bits(data, offs)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx([walk("a", t), walk("b", t)], rel=1e-4)
+
+
+def test_language_of_odd_inputs(spark):
+    m = lang_id.Ppm({"en": [b"the words of it"], "xx": [b"zq zq zq"]})
+    got = lang_id.identify(docs(spark, ODD).withColumn("score", F.lit("old")), m).collect()
+    assert len(got) == len(ODD) and [r.lang_pred for r in got if r.doc_id in (1, 2, 3)] == ["und"] * 3
+    assert lang_id.identify(docs(spark, ODD).limit(0), m).count() == 0
+    assert {r.lang_pred for r in lang_id.identify(docs(spark, ODD), lang_id.Ppm({})).collect()} == {"und"}
+
+
+# --- op2
+
+
+def near_brute(rows):
+    sets = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := words_of(t)) else Counter() for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = sum((sets[a] & sets[b]).values())
+            if both and both / sum((sets[a] | sets[b]).values()) >= 0.8:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(3000)]
+    rows, i = [], 0
+    for _ in range(12):
+        base = [rng.choice(vocab) for _ in range(rng.randint(60, 250))]
+        for _ in range(rng.randint(1, 9)):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 8])):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append((i, " ".join(w).upper() if i % 3 == 0 else " ".join(w)))
+            i += 1
+    rows += [(i, "short one"), (i + 1, "Short, one!"), (i + 2, "short two")]
+    got = {r.doc_id: r.class_id for r in near_dup.op2(docs(spark, rows)).collect()}
+    assert got == near_brute(rows)
+
+
+def test_dart_signatures_estimate_weighted_jaccard():
+    rng = np.random.default_rng(3)
+    el = rng.integers(0, 1 << 48, 400, dtype=np.uint64)
+    wa, wb = rng.random(400) * 5 + 0.1, rng.random(400) * 5 + 0.1
+    true = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
+    sig = near_dup.dart_minhash(np.repeat([0, 1], 400), np.concatenate([el, el]), np.concatenate([wa, wb]), 2, 4096)
+    assert (sig[0] == sig[1]).mean() == pytest.approx(true, abs=0.03)
+
+
+def test_near_duplicates_of_odd_inputs(spark):
+    got = near_dup.near_duplicates(docs(spark, ODD)).collect()
+    assert len(got) == len(ODD) and {r.class_id for r in got if r.doc_id in (1, 2, 3)} == {1, 2, 3}
+    kept = near_dup.keep_one(docs(spark, ODD))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.count() == len(ODD) - 1
+    assert near_dup.op2(docs(spark, ODD).limit(0)).count() == 0
+
+
+# --- op3
+
+
+def test_license_base_equals_brute_force(spark):
+    rows = [*ODD, (20, "Under the MIT License. Apache License, Version 2! cc-by-nc CC BY NC"), (21, "under the mit under the mit license"), (22, "Licensed under the quite GNU General Public License, version 3.")]
+    for r in license_scan.scan(docs(spark, rows)).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == license_scan.brute(r.text)
+    got = {r.doc_id: r for r in license_scan.op3(docs(spark, rows)).collect()}
+    assert got[20].base_labels == "apache-2,cc-by-nc,mit" and got[22].labels == "gpl-3" and 0 < got[22].score < 1
+    assert license_scan.op3(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_license_scan_is_native(spark):
+    plan = license_scan.op3(docs(spark, ODD))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- op4
+
+
+def test_mix_meets_windows_and_keeps_rows(spark):
+    rows = [(i, f"t{i}", "en", "big" if i % 3 else ("small" if i % 2 else None), 1) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(df, {"big": 0.6, "small": 0.3, None: 0.1}, block=5, frame=50).collect()
+    assert sorted(r.doc_id for r in got) == list(range(900))
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
+    owner = {}
+    for r in got:
+        assert owner.setdefault(r.mix_slot, r.source) == r.source
+    end = min(r.mix_slot for r in got if not r.in_mix)
+    for s, w in (("big", 0.6), ("small", 0.3), (None, 0.1)):
+        n = 0
+        for t in range(end):
+            n += owner[t] == s
+            assert abs(n - (t + 1) * w) < 1
+
+
+def test_mix_of_odd_inputs(spark):
+    assert mixing.mix(docs(spark, ODD)).count() == len(ODD) and mixing.mix(docs(spark, ODD).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(docs(spark, ODD), {"other": 1.0})
+    assert sum(mixing.shares({"a": 1e-9, "b": 1, "c": 5}, 20).values()) == 20
+
+
+# --- op5
+
+
+def test_toxicity_gradients_are_right():
+    rng = np.random.default_rng(0)
+    net = toxicity.Net(rng)
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    x = rng.standard_normal((4, 5, toxicity.INPUTS))
+    args = (np.array([0, 0, 1, 1]), np.array([1.0, 0.0]), np.array([1.0, 0.7]))
+    # softmax weights of windows are held fixed, as in the step, by texts of one window
+    args = (np.array([0, 1, 2, 3]), np.array([1.0, 0.0, 1.0, 0.0]), np.ones(4))
+    _, g, _ = net.step(x, *args)
+    for name in ("Wf", "Ub", "A", "v", "w", "bb"):
+        flat = net.p[name].reshape(-1)
+        for k in rng.integers(0, len(flat), 3):
+            old = flat[k]
+            flat[k] = old + 1e-3
+            up = net.step(x, *args)[0]
+            flat[k] = old - 1e-3
+            down = net.step(x, *args)[0]
+            flat[k] = old
+            assert g[name].reshape(-1)[k] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=2e-3)
+
+
+def test_toxicity_learns_words_anywhere_in_the_text(spark):
+    rng = random.Random(2)
+    vocab = ["".join(rng.choice(["ta", "re", "mi", "so", "lu"]) for _ in range(3)) for _ in range(80)]
+
+    def text(bad, n=80):
+        w = [rng.choice(vocab) for _ in range(n)]
+        for _ in range(4 if bad else 0):
+            w[rng.randrange(n)] = rng.choice(["grumbal", "grumbos", "vilex"])
+        return " ".join(w)
+
+    y = [k % 3 == 0 for k in range(240)]
+    m = toxicity.fit([text(b) for b in y], [int(b) for b in y])
+    rows = [(k, text(k % 2 == 1, 300)) for k in range(60)] + [(100, None), (101, ""), (102, "!!!")]
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, rows), m).collect()}
+    assert np.mean([(got[k] >= 0.5) == (k % 2 == 1) for k in range(60)]) >= 0.9
+    assert got[100] == got[101] == got[102] == 0.0
+    assert toxicity.score(docs(spark, rows).limit(0), m).count() == 0
+
+
+def test_windows_cover_every_word():
+    for n in (1, 23, 24, 25, 40, 41, 500):
+        s = toxicity.window_starts(n)
+        assert set(range(n)) == {w for a in s for w in range(a, min(n, a + toxicity.WINDOW))}
+
+
+# --- op6
+
+
+def test_secrets_are_told_from_look_alikes(spark):
+    f = secrets.train()
+    x, y = zip(*[(secrets.features(t[a:b], t[max(0, a - 40) : a], t[b : b + 40], p), label) for t, a, b, p, label in secrets.labelled_findings(600, 77)], strict=True)
+    assert ((f.predict(np.array(x)) >= 0.5) == np.array(y)).mean() >= 0.95
+    rows = [(1, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y'), (2, "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"), (3, None), (4, ""), (5, "-----BEGIN RSA PRIVATE KEY-----\nabc")]
+    got = {r.doc_id: [(e.start, e.end) for e in r.findings if e.score >= 0.5] for r in secrets.scan(docs(spark, rows), f).collect()}
+    assert got[1] == [(11, 51)] and got[2] == [] and got[3] == got[4] == []
+    assert secrets.scan(docs(spark, rows).limit(0), f).count() == 0
+
+
+# --- op7
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(9)
+    lines = ["A line that is long enough to count", "  a LINE that is long enough to count\t", "short", "", "Ünï codé line with twenty points", "another long line, number two of it"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 6)))) for i in range(40)] + [(100, None), (101, ""), (7, "\n".join(lines))]
+    got = sorted(map(str, ((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.op7(docs(spark, rows)).collect())))
+    assert got == sorted(map(str, line_dedup.brute(rows)))
+    assert line_dedup.op7(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_runs_hold_levels_and_find_fresh_keys(spark):
+    runs = line_dedup.Runs(2)
+    schema = "h1 long, h2 long, n long, holder long"
+    first = runs.add(spark.createDataFrame([(1, 1, 2, 9), (2, 2, 1, 8)], schema))
+    second = runs.add(spark.createDataFrame([(1, 1, 1, 5), (3, 3, 1, 4)], schema).coalesce(1))
+    assert len(runs.levels[0]) == 0 and len(runs.levels[1]) == 1
+    third = runs.add(spark.createDataFrame([(3, 3, 2, 1)], schema))
+    assert [r.fresh for r in third.collect()] == [False]
+    got = {r.h1: (r.n, r.holder) for r in line_dedup.totals(runs.all()).collect()}
+    assert got == {1: (3, 9), 2: (1, 8), 3: (3, 4)}
+    assert first is not second
+
+
+# --- op8
+
+
+def test_embedding_links_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dup, "CELL", 60)
+    monkeypatch.setattr(embedding_dup, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((40, 16))
+    rows = []
+    for i in range(600):
+        v = base[i % 40] + rng.standard_normal(16) * rng.choice([0.0, 0.15, 0.3, 2.0])
+        rows.append((i, [float(x) for x in v], int(i % 40 > 30)))
+    rows += [(700, None, 0), (701, [0.0] * 16, 0), (702, [float("nan")] * 16, 0), (703, rows[3][1], None), (704, [1.0, None], 0), (705, [], 0), (706, rows[3][1], 0), (707, [2 * x for x in rows[3][1]], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    ok = [(i, np.array(v, float), y) for i, v, y in rows if v and y is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+    link, parent = defaultdict(set), {i: i for i, _, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, v, y) in enumerate(ok):
+        for j, u, z in ok[a + 1 :]:
+            if y == z and len(u) == len(v) and v @ u / np.sqrt((v @ v) * (u @ u)) >= 0.93:
+                link[i].add(j)
+                link[j].add(i)
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    want = {i: (len(link[i]), root(i), root(i) == i) for i, _, _ in rows}
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dup.op8(df).collect()} == want
+    assert embedding_dup.op8(df.limit(0)).count() == 0
+
+
+# --- op9
+
+
+def test_pii_base_equals_brute_force(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc 0123456789.@-+() %x") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for t in texts:
+        assert ",".join(f"{k}:{a}:{b}" for a, b, k in pii.base_spans(t)) == pii.brute(t)
+    rows = [*ODD, (30, "mail a.b@c.de, 10.0.0.1, 4111 1111 1111 1111, +1 (555) 010-2030, 300.1.1.1")]
+    got = {r.doc_id: r for r in pii.op9(docs(spark, rows)).collect()}
+    assert (got[30].n_email, got[30].n_ip, got[30].n_card, got[30].n_phone) == (1, 1, 1, 1)
+    assert got[30].base_sha256 == hashlib.sha256(pii.brute(rows[-1][1]).encode()).hexdigest() and got[1].spans == ""
+    assert pii.op9(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_skip_chain_carries_a_label_to_a_distant_bare_form():
+    crf = pii.fit(["x +1 (234) 555-0147 y", "ip 10.2.3.4 z"])
+    base, added = pii.find_all("call +1 (555) 010-2030 now. " + "filler words " * 50 + "then 555-010-2030 again", crf)
+    assert [k for _, _, k in base] == ["phone"] and [k for _, _, k in added] == ["phone"]
+    assert pii.find_all("order 5550102030 and 555-010-2030 alone", crf)[1] == []
+
+
+# --- op10
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(8)
+    vocab = [f"v{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(n))) for k, n in enumerate([12, 30, 10, 3, 1, 0, 15])] + [(50, None), (None, "v1 v2")]
+    rows = []
+    for i in range(60):
+        w = [rng.choice(vocab) for _ in range(rng.randint(0, 40))]
+        if i % 4 == 0:
+            it = words_of(items[rng.randrange(7)][1])
+            a = rng.randrange(max(1, len(it) - 10)) if it else 0
+            w[5:5] = it[a : a + rng.randint(8, 14)]
+        rows.append((i, " ".join(w).title()))
+    rows += [(100, None), (101, ""), (101, "")]
+    got = decontaminate.op10(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    for i, t in rows:
+        w = words_of(t)
+        hit, found = set(), set()
+        for k, x in items:
+            q = words_of(x)
+            n = min(10, len(q))
+            if k is None or not n:
+                continue
+            win = {tuple(q[s : s + n]) for s in range(len(q) - n + 1)}
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in win:
+                    hit |= set(range(s, s + n))
+                    found.add(str(k))
+        r = by[i][0]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), bool(hit))
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    assert decontaminate.op10(docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).filter("contaminated").count() == 0
+
+
+# --- pipeline
+
+
+def test_pipeline_stages_take_effect(spark, duck):
+    import corpus_pipeline as P
+    from tidemark.session import table
+
+    d = table(spark, SF, "documents")
+    more = SF.replace("0.001", "0.01")
+    clean = P.drop_toxic(spark, table(spark, more, "documents"), more)
+    assert clean.columns == P.COLUMNS and 800 < clean.count() < 1000
+    lines = P.dedup_lines(spark, d, SF)
+    want = {r[0]: (r[2], r[3]) for r in line_dedup.brute([(r.doc_id, r.text) for r in d.collect()])}
+    assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in lines.collect()} == {i: h for i, (_, h) in want.items()}
+    one = P.dedup_documents(spark, d, SF)
+    assert sorted(r.doc_id for r in one.collect()) == sorted(set(near_brute([(r.doc_id, r.text) for r in d.collect()]).values()))
+    free = {r.doc_id for r in P.drop_contaminated(spark, d, SF).collect()}
+    bad = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({queries.ORACLE_SQL['op10_decontaminate']}) WHERE contaminated").fetchall()}
+    assert free == {r.doc_id for r in d.collect()} - bad
+    assert P.mix_sources(spark, d, SF).count() == d.count()
