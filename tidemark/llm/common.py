@@ -17,13 +17,13 @@ def remainder(doc_id: Column, m: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(m)), F.lit(0))
 
 
-def class_sample(df: DataFrame, label: str, text: str, rows: int, max_classes: int = 1000) -> DataFrame:
-    """At most `rows` rows of each label, those of the smallest text hash; repeatable, and even over the table.
+def class_sample(df: DataFrame, label: str, by: str, rows: int, max_classes: int = 1000) -> DataFrame:
+    """At most `rows` rows of each label, those of the smallest hash of `by`; repeatable, and even over the table.
 
     Counts of the labels come first (a bounded table: more than max_classes labels is an error). They set a hash
     threshold by label that leaves about twice the wanted rows, so the ranking that follows never sees a whole class.
     """
-    df = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).withColumn("_h", F.xxhash64(text))
+    df = df.filter(F.col(label).isNotNull() & F.col(by).isNotNull()).withColumn("_h", F.xxhash64(by))
     counts = df.groupBy(label).count().limit(max_classes + 1).collect()
     if len(counts) > max_classes:
         raise ValueError(f"more than {max_classes} labels")
@@ -32,5 +32,5 @@ def class_sample(df: DataFrame, label: str, text: str, rows: int, max_classes: i
     for r in counts:
         share = min(1.0, 2.0 * (rows + 20) / r["count"])
         few = few | ((F.col(label) == F.lit(r[label])) & (F.col("_h") <= F.lit(int(-top + share * (2 * top - 1)) if share < 1 else top - 1)))
-    w = W.partitionBy(label).orderBy("_h", F.length(text))
+    w = W.partitionBy(label).orderBy("_h", by)
     return df.filter(few).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= rows).drop("_h", "_n")

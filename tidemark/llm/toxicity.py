@@ -19,7 +19,7 @@ from tidemark.llm.common import class_sample, remainder
 from tidemark.llm.words import Words, doc_slices, mix, text_buffers
 
 #: Bounds of the training sample: texts of each label, and words of each text's windows.
-SAMPLE_ROWS, SAMPLE_WORDS = 1500, 1600
+SAMPLE_ROWS, SAMPLE_WORDS = 1000, 1200
 WINDOW, STRIDE = 24, 16
 HASHED, DIM, HIDDEN, EPOCHS = 1 << 14, 4, 8, 5
 #: Of the sample, the texts of each label that the network itself learns from, and their words.
@@ -51,6 +51,33 @@ def grams_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.nda
     return np.concatenate(out_w), np.concatenate(out_h)
 
 
+class Counts:
+    """Texts of each label by hashed feature, merged now and then so that memory follows the distinct features."""
+
+    def __init__(self) -> None:
+        self.keys, self.pos, self.neg = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.new: list[tuple[np.ndarray, int]] = []
+        self.size = 0
+
+    def add(self, features: np.ndarray, label: int) -> None:
+        self.new.append((np.unique(features), label))
+        self.size += len(self.new[-1][0])
+        if self.size > 1_000_000:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.new:
+            k = np.concatenate([self.keys, *[f for f, _ in self.new]])
+            y = np.repeat([a for _, a in self.new], [len(f) for f, _ in self.new])
+            keys, at = np.unique(k, return_inverse=True)
+            old, fresh = at[: len(self.keys)], at[len(self.keys) :]
+            pos, neg = np.bincount(fresh, weights=y == 1, minlength=len(keys)).astype(np.int32), np.bincount(fresh, weights=y == 0, minlength=len(keys)).astype(np.int32)
+            pos[old] += self.pos
+            neg[old] += self.neg
+            self.keys, self.pos, self.neg, self.new, self.size = keys, pos, neg, [], 0
+        return self.keys, self.pos, self.neg
+
+
 class Odds:
     """Smoothed log odds of hashed features between labels, by number of texts; one gather for a lookup.
 
@@ -59,15 +86,10 @@ class Odds:
 
     BITS = 20
 
-    def __init__(self, parts: list[np.ndarray], labels: np.ndarray, least: int) -> None:
-        sets = [np.unique(p) for p in parts]
-        k = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        y = np.repeat(labels, [len(s) for s in sets]) if sets else np.zeros(0, int)
-        keys, at = np.unique(k, return_inverse=True)
-        pos, neg = np.bincount(at, weights=y == 1, minlength=len(keys)), np.bincount(at, weights=y == 0, minlength=len(keys))
+    def __init__(self, counts: Counts, n: tuple[int, int], least: int) -> None:
+        keys, pos, neg = counts.total()
         ok = pos + neg >= least
-        keys, pos, neg = keys[ok], pos[ok], neg[ok]
-        self.n = (int((labels == 1).sum()), int((labels == 0).sum()))
+        keys, pos, neg, self.n = keys[ok], pos[ok], neg[ok], n
         order = np.argsort(pos + neg, kind="stable")
         keys, pos, neg = keys[order], pos[order], neg[order]
         slot = self.slot(keys)
@@ -98,17 +120,20 @@ class Odds:
         return np.where(known & (p + q > 0), self.of(np.maximum(p, 0), np.maximum(q, 0)), 0).astype(np.float32)
 
 
-def distinct_texts(words: list[np.ndarray], most: float = 0.3) -> list[int]:
-    """Texts of which at most this share of the word triples stood in a text taken before: copies teach nothing."""
-    seen: set[int] = set()
-    out = []
-    for i, h in enumerate(words):
+class Distinct:
+    """Tells texts apart from copies of earlier ones: copies teach nothing. A sixteenth of the word triples stand for all."""
+
+    def __init__(self, most: float = 0.3) -> None:
+        self.most, self.seen = most, set()
+
+    def fresh(self, h: np.ndarray) -> bool:
         with np.errstate(over="ignore"):
-            t = set(mix(h[:-2] * GOLD + mix(h[1:-1] + GOLD) + h[2:]).tolist()) if len(h) > 2 else set(h.tolist())
-        if not t or len(t & seen) <= most * len(t):
-            out.append(i)
-            seen |= t
-    return out
+            t = mix(h[:-2] * GOLD + mix(h[1:-1] + GOLD) + h[2:]) if len(h) > 2 else mix(h + GOLD)
+        few = set((t[t % np.uint64(16) == 0] if len(t) > 64 else t).tolist())
+        if few and len(few & self.seen) > self.most * len(few):
+            return False
+        self.seen |= few
+        return True
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -237,24 +262,32 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     tok = Words()
-    docs = []
-    for t in texts:
+
+    def parsed(t: str):
         data, offs = text_buffers(pa.array([t], pa.large_string()))
         h, s, e, _ = tok(data, offs)
         h, s, e = h[:SAMPLE_WORDS], s[:SAMPLE_WORDS], e[:SAMPLE_WORDS]
         u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        gw, gh = grams_of(data, s[first], e[first], tok.low)
-        docs.append((u, inv, gw, gh, h))
-    own = distinct_texts([d[4] for d in docs])
-    docs, y = [docs[k] for k in own], y[own]
-    model = Model(Odds([d[0] for d in docs], y, 2), Odds([d[3] for d in docs], y, 3), Net(rng))
+        return (h, u, inv, *grams_of(data, s[first], e[first], tok.low))
+
+    distinct, words, grams, own = Distinct(), Counts(), Counts(), []
+    for k, t in enumerate(texts):
+        h, u, _, _, gh = parsed(t)
+        if distinct.fresh(h):
+            own.append(k)
+            words.add(u, labels[k])
+            grams.add(gh, labels[k])
+    y = y[own]
+    n = (int((y == 1).sum()), int((y == 0).sum()))
+    model = Model(Odds(words, n, 2), Odds(grams, n, 3), Net(rng))
+    del words, grams, distinct
     made, left = [], {0: NET_ROWS, 1: NET_ROWS}
-    for d, label in zip(docs, y.astype(int).tolist(), strict=True):
+    for k, label in zip(own, y.astype(int).tolist(), strict=True):
         left[label] -= 1
-        if len(d[0]) and left[label] >= 0:
-            dense, at, rows = model.inputs(d[0], d[2], d[3], own=label)
-            inv = d[1][:NET_WORDS]
-            made.append((dense, at, rows, inv, window_starts(len(inv))))
+        if left[label] >= 0 and len((d := parsed(texts[k]))[1]):
+            dense, at, rows = model.inputs(d[1], d[3], d[4], own=label)
+            inv = d[2][:NET_WORDS]
+            made.append((dense, at.astype(np.int32), rows.astype(np.int32), inv, window_starts(len(inv))))
         else:
             made.append(None)
     ok = np.array([k for k, m in enumerate(made) if m is not None], int)
@@ -305,6 +338,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
                     m1 += 0.1 * (gk - m1)
                     m2 += 0.01 * (gk * gk - m2)
                     v -= (rate * (m1 / (1 - 0.9**steps)) / (np.sqrt(m2 / (1 - 0.99**steps)) + 1e-6)).astype(np.float32)
+    for odds in (model.word_odds, model.gram_odds):
+        odds.pos = odds.neg = None  # scoring needs the values only
     return model
 
 
@@ -338,7 +373,9 @@ def score_slice(model: Model, tok: Words, data: np.ndarray, offs: np.ndarray) ->
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """docs (doc_id, text) with labels (doc_id, toxic); at most `rows` texts of each label are learned from."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    part = class_sample(docs.join(known, "doc_id"), "toxic", "text", rows)
+    # drawn from the labels alone, so that no text moves: at most `rows` ids of each of two labels are sent to the scan
+    ids = class_sample(known, "toxic", "doc_id", rows)
+    part = docs.join(F.broadcast(ids), "doc_id").filter("text IS NOT NULL")
     # as many characters as SAMPLE_WORDS words take at most, so that the sample is bounded in bytes too
     got = part.select("toxic", F.substring("text", 1, 10 * SAMPLE_WORDS).alias("text")).orderBy("toxic", F.xxhash64("text"), "text").collect()
     return fit([r["text"] for r in got], [r["toxic"] for r in got])
