@@ -36,10 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
+    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; call it when no result is read any more."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def saved(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and reread: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     w = df.write
     if partition_by:
         w = w.partitionBy(partition_by)
