@@ -403,6 +403,19 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.op10(docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).filter("contaminated").count() == 0
 
 
+# --- clashing names
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["s", "i", "t", "share", "th", "score", "term", "pos", "words", "items", "n", "sig", "label", "comp", "key", "batch"]
+    df = docs(spark, ODD).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    own = lambda out, drop=(): all(r[n] == f"own {n}" for r in out.collect() for n in names if n not in drop)
+    assert own(mixing.mix(df))
+    assert own(decontaminate.find(df, spark.createDataFrame([(1, "one two three")], "item_id long, text string")), ["items"])
+    assert own(license_scan.scan(df), ["score"]) and own(line_dedup.dedup_lines(df)) and own(near_dup.keep_one(df))
+    assert own(pii.tag(df, pii.Crf())) and own(lang_id.identify(df, lang_id.Ppm({"en": [b"a b"]})), ["score"])
+
+
 # --- pipeline
 
 

@@ -181,8 +181,8 @@ def find(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 3, block
     with one of these names are replaced. Without items, nothing is hit.
     """
     docs = docs.drop("n_words", "n_hit", "items", "near_items")
-    keyed = docs.withColumn("th", F.xxhash64("text"))
-    slim = keyed.select("doc_id", "th", "text")
+    keyed = docs.withColumn("_dc_th", F.xxhash64("text"))
+    slim = keyed.select("doc_id", F.col("_dc_th").alias("th"), "text")
     q = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = q.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // (4 * block_words)))
@@ -194,17 +194,17 @@ def find(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 3, block
             found = one if found is None else found.unionByName(one)
     kind = "array<struct<start:bigint,length:bigint,phrase:bigint,item:string,exact:boolean>>"
     if found is None:
-        joined = keyed.withColumn("_c", F.lit(None).cast(kind))
+        joined = keyed.withColumn("_dc_c", F.lit(None).cast(kind))
     else:
-        lists = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "length", "phrase", "item", "exact")).alias("_c"))
+        lists = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "length", "phrase", "item", "exact")).alias("_dc_c"))
         d, r = keyed.alias("d"), lists.alias("r")
-        joined = d.join(r, F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.col("d.th") == F.col("r.th")), "left").select("d.*", "r._c")
-    return _verify(joined.drop("th"), docs.columns)
+        joined = d.join(r, F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.col("d._dc_th") == F.col("r.th")), "left").select("d.*", "r._dc_c")
+    return _verify(joined.drop("_dc_th"), docs.columns)
 
 
 def _verify(joined: DataFrame, columns: list[str]) -> DataFrame:
     schema = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in joined.schema.fields if f.name != "_c"]
+        [T.StructField(f.name, f.dataType, True) for f in joined.schema.fields if f.name != "_dc_c"]
         + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("near_items", T.ArrayType(T.StringType()))]
     )
     at = columns.index("text")
@@ -242,7 +242,7 @@ def _verify(joined: DataFrame, columns: list[str]) -> DataFrame:
                 names=[*columns, "n_words", "n_hit", "items", "near_items"],
             )
 
-    return joined.select(*columns, "_c").mapInArrow(run, schema)
+    return joined.select(*columns, "_dc_c").mapInArrow(run, schema)
 
 
 def op10(docs: DataFrame, items: DataFrame) -> DataFrame:

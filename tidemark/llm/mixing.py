@@ -83,39 +83,39 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source:
     weights = {s: w for s, w in weights.items() if s in counts}
     share = shares(weights, frame or max(64, 8 * len(weights)))
     m = sum(share.values())
-    slots = [{"s": s, "i": i, "t": t} for t, (s, i) in enumerate(frame_schedule(share))]
+    slots = [{"_mx_s": s, "_mx_i": i, "_mx_t": t} for t, (s, i) in enumerate(frame_schedule(share))]
     # at most `frame` rows, set by the number of sources
-    plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(slots)), "array<struct<s:string,i:long,t:long>>"))).join(
-        F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"s2": s, "share": n, "shards": -(-counts[s] // SHARD_ROWS)} for s, n in share.items()])), "array<struct<s2:string,share:long,shards:long>>")))),
-        F.col("s").eqNullSafe(F.col("s2")),
-    ).drop("s2")
-    per_source = plan.select("s", "share", "shards").distinct()
+    plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(slots)), "array<struct<_mx_s:string,_mx_i:long,_mx_t:long>>"))).join(
+        F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"_mx_s2": s, "_mx_share": n, "_mx_shards": -(-counts[s] // SHARD_ROWS)} for s, n in share.items()])), "array<struct<_mx_s2:string,_mx_share:long,_mx_shards:long>>")))),
+        F.col("_mx_s").eqNullSafe(F.col("_mx_s2")),
+    ).drop("_mx_s2")
+    per_source = plan.select("_mx_s", "_mx_share", "_mx_shards").distinct()
     # slot at which each source has dealt its last block: the first of these ends the exact mix
     end = min((Fraction(-(-counts[s] // block), 1) / n * m for s, n in share.items()), default=Fraction(0))
     key = F.xxhash64(*[F.col(c) for c in docs.columns])
     src = F.col(source).cast("string")
     sharded = (
-        docs.withColumn("_k", key)
-        .join(F.broadcast(per_source), src.eqNullSafe(F.col("s")))
-        .withColumn("_shard", F.pmod(F.shiftright("_k", 20), F.col("shards")))
-        .drop("s")
+        docs.withColumn("_mx_k", key)
+        .join(F.broadcast(per_source), src.eqNullSafe(F.col("_mx_s")))
+        .withColumn("_mx_shard", F.pmod(F.shiftright("_mx_k", 20), F.col("_mx_shards")))
+        .drop("_mx_s")
     )
-    sizes = sharded.groupBy(F.col(source).alias("_ss"), F.col("_shard").alias("_sh")).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("_ss").orderBy("_sh").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    sizes = sharded.groupBy(F.col(source).alias("_mx_ss"), F.col("_mx_shard").alias("_mx_sh")).agg(F.count(F.lit(1)).alias("_mx_n"))
+    before = W.partitionBy("_mx_ss").orderBy("_mx_sh").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_mx_off", F.coalesce(F.sum("_mx_n").over(before), F.lit(0))).drop("_mx_n")
     # numbers within shards of about SHARD_ROWS rows: no window holds a whole source
-    w = W.partitionBy(source, "_shard").orderBy("_k")
-    numbered = sharded.withColumn("_rn", F.row_number().over(w) - 1)
-    both = numbered.join(offsets, F.col(source).eqNullSafe(F.col("_ss")) & (F.col("_shard") == F.col("_sh")))
-    both = both.withColumn("_i", F.col("_rn") + F.col("_off")).withColumn("_b", F.floor(F.col("_i") / block))
-    dealt = both.join(F.broadcast(plan.select(F.col("s").alias("_ps"), F.col("i").alias("_pi"), F.col("t").alias("_pt"))), src.eqNullSafe(F.col("_ps")) & (F.pmod("_b", "share") == F.col("_pi")))
-    slot = F.floor(F.col("_b") / F.col("share")) * m + F.col("_pt")
+    w = W.partitionBy(source, "_mx_shard").orderBy("_mx_k")
+    numbered = sharded.withColumn("_mx_rn", F.row_number().over(w) - 1)
+    both = numbered.join(offsets, F.col(source).eqNullSafe(F.col("_mx_ss")) & (F.col("_mx_shard") == F.col("_mx_sh")))
+    both = both.withColumn("_mx_i", F.col("_mx_rn") + F.col("_mx_off")).withColumn("_mx_b", F.floor(F.col("_mx_i") / block))
+    dealt = both.join(F.broadcast(plan.select(F.col("_mx_s").alias("_mx_ps"), F.col("_mx_i").alias("_mx_pi"), F.col("_mx_t").alias("_mx_pt"))), src.eqNullSafe(F.col("_mx_ps")) & (F.pmod("_mx_b", "_mx_share") == F.col("_mx_pi")))
+    slot = F.floor(F.col("_mx_b") / F.col("_mx_share")) * m + F.col("_mx_pt")
     return dealt.select(
         *docs.columns,
         slot.cast("long").alias("mix_slot"),
-        F.pmod("_i", F.lit(block)).cast("long").alias("mix_pos"),
-        F.expr(f"_b * {m} div share").alias("mix_release"),
-        F.expr(f"((_b + 1) * {m} + share - 1) div share").alias("mix_deadline"),
+        F.pmod("_mx_i", F.lit(block)).cast("long").alias("mix_pos"),
+        F.expr(f"_mx_b * {m} div _mx_share").alias("mix_release"),
+        F.expr(f"((_mx_b + 1) * {m} + _mx_share - 1) div _mx_share").alias("mix_deadline"),
         (slot < F.lit(int(end))).alias("in_mix"),
     )
 
