@@ -107,7 +107,8 @@ def dedup_lines(docs: DataFrame, least: int = 20, most_docs: int = 3, batches: i
     runs = Runs(fanout)
     for k in range(len(cuts), -1, -1):
         runs.add(staged.filter(F.col("batch") == k).drop("batch"))
-    common = totals(runs.all()).filter(F.col("n") >= most_docs).select("h1", "h2", "holder")
+    # a table of its own, so that Spark can split the partition of a line that very many documents hold
+    common = saved(totals(runs.all()).filter(F.col("n") >= most_docs).select("h1", "h2", "holder"), "common-lines")
     th = F.xxhash64("text")
     lines = (
         key_rows(docs.withColumn("_th", th), least)

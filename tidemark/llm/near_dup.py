@@ -286,9 +286,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, b
         tried = tried.select("a", "b").unionByName(pairs)
     member = sigs.select("doc_id", "th", "content", "n_words").join(comp.withColumnRenamed("node", "content"), "content", "left")
     member = member.withColumn("comp", F.when(F.col("n_words") > 0, F.coalesce("comp", "content")))
-    heads = nodes.join(comp.withColumnRenamed("node", "content"), "content", "left").groupBy(F.coalesce("comp", "content").alias("comp")).agg(
+    # a table of its own, so that Spark can split the partition of a very large class
+    heads = saved(nodes.join(comp.withColumnRenamed("node", "content"), "content", "left").groupBy(F.coalesce("comp", "content").alias("comp")).agg(
         F.min_by(F.struct(F.col("doc_id").alias("id"), F.col("th").alias("head_th")), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("head")
-    )
+    ), "heads")
     out = member.join(heads, "comp", "left")
     return out.select(
         "doc_id", "th", F.when(F.col("n_words") > 0, F.col("head.id")).otherwise(F.col("doc_id")).alias("class_id"),

@@ -150,11 +150,11 @@ def land_payload_hash(spark, sf):
     return r.select("r_regionkey", F.concat_ws("|", F.col("r_regionkey").cast("string"), "r_name").alias("grain"), A.payload_hash("r_regionkey", "r_name").alias("row_hash"))
 
 
-_REJ = """r AS (SELECT event_id, event_type, CASE WHEN user_id IS NULL THEN 'MISSING_FIELDS' WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'INVALID_TS_CODE' WHEN value IS NULL THEN 'NULL_NUMERIC' WHEN value < 1 THEN 'INVALID_NUMERIC' WHEN count(*) OVER (PARTITION BY user_id, ts) > 1 THEN 'DUPLICATE_GRAIN' END AS reject_code FROM events)"""
+_REJ = """r AS (SELECT event_id, event_type, CASE WHEN user_id IS NULL THEN 'MISSING_FIELDS' WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'INVALID_CODE' WHEN value IS NULL THEN 'NULL_NUMERIC' WHEN value < 1 THEN 'INVALID_NUMERIC' WHEN count(*) OVER (PARTITION BY user_id, ts) > 1 THEN 'DUPLICATE_GRAIN' END AS reject_code FROM events)"""
 
 
 def _rejects(spark, sf):
-    rules = [("MISSING_FIELDS", F.col("user_id").isNull()), ("INVALID_TS_CODE", ~F.col("event_type").isin("view", "click", "purchase")), ("NULL_NUMERIC", F.col("value").isNull()), ("INVALID_NUMERIC", F.col("value") < 1)]
+    rules = [("MISSING_FIELDS", F.col("user_id").isNull()), ("INVALID_CODE", ~F.col("event_type").isin("view", "click", "purchase")), ("NULL_NUMERIC", F.col("value").isNull()), ("INVALID_NUMERIC", F.col("value") < 1)]
     return A.reject_codes(table(spark, sf, "events"), rules, ["user_id", "ts"])
 
 
