@@ -24,15 +24,21 @@ def session(app: str = "tidemark", master: str | None = None, shuffle_partitions
     return b.getOrCreate()
 
 
+#: Folders of local applications whose session names none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir.
 
-    Only a session that names none (tests, local runs) gets a local temporary folder.
+    Only a local session that names none (tests) gets a temporary folder; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        path = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="tidemark-"))
     return path.rstrip("/")
 
 
