@@ -28,8 +28,8 @@ from tidemark.session import saved
 K, BAND_ROWS, SHINGLE, THRESHOLD = 128, 5, 5, 0.8
 #: Pairs whose signatures agree in fewer coordinates are not compared: 3.4 standard deviations below 0.8 at k = 128.
 SURE = 0.68
-#: Bins of the finer sketch of documents that share a bucket, and its bound: 4 standard deviations below 0.8.
-BINS, FINE_SURE = 1024, 0.75
+#: Bins of the finer sketch of documents that share a bucket, and its bound: more than 5 standard deviations below 0.8.
+BINS, FINE_SURE = 1024, 0.73
 BLOCK = 1024
 E48 = np.uint64((1 << 48) - 1)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -203,10 +203,11 @@ def _exact(pairs: DataFrame, els: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _apart(rows: DataFrame, most: int) -> DataFrame:
+def _apart(rows: DataFrame, most: int, band_rows: int) -> DataFrame:
     """(a, b): pairs of one bucket, but of two components, that both sketches let reach the threshold.
 
-    rows: (key, content, comp, sig, fine), written. Buckets are cut into blocks of about BLOCK rows, and each pair of
+    rows: (key, band, content, comp, sig, fine), written. A pair comes out of the bucket of its first common band only
+    (that bucket is open too, as it holds both components). Buckets are cut into blocks of about BLOCK rows, and each pair of
     blocks is one group, so no group grows with the bucket; small buckets share groups of about 20,000 rows. Each row
     gives its `most` best partners by block (0: all).
     """
@@ -215,7 +216,7 @@ def _apart(rows: DataFrame, most: int) -> DataFrame:
     placed = rows.join(n, "key").withColumn("blk", F.pmod(F.xxhash64("content", "key"), F.col("nb")))
     placed = placed.withColumn("part", F.when(F.col("nb") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).select(
-        "part", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "key", "blk", "content", "comp", "sig", "fine"
+        "part", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "key", "band", "blk", "content", "comp", "sig", "fine"
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -224,10 +225,12 @@ def _apart(rows: DataFrame, most: int) -> DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), -1)
         fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), -1)
         node, comp, blk, key = (pdf[c].to_numpy() for c in ("content", "comp", "blk", "key"))
+        bands = pdf["band"].to_numpy()
         edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         out = []
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            at = np.arange(lo, hi)
+            at, n = np.arange(lo, hi), int(bands[lo])
+            head = sig[lo:hi, : n * band_rows].reshape(hi - lo, n, band_rows)
             right = at[blk[lo:hi] == j]
             for r in at[blk[lo:hi] == i]:
                 to = right[comp[right] != comp[r]]
@@ -235,6 +238,8 @@ def _apart(rows: DataFrame, most: int) -> DataFrame:
                     to = to[node[to] > node[r]]
                 if len(to):
                     to = to[(sig[to] == sig[r]).mean(axis=1) >= SURE]
+                if len(to) and n:
+                    to = to[~(head[to - lo] == head[r - lo]).all(axis=2).any(axis=1)]
                 if len(to):
                     est = fine_similarity(fine[r], fine[to])
                     to, est = to[est >= FINE_SURE], est[est >= FINE_SURE]
@@ -261,9 +266,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, b
     nodes = saved(worded.groupBy("content").agg(F.min_by(F.struct("doc_id", "th", "sig"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("r")).select("content", "r.doc_id", "r.th", "r.sig"), "classes")
     bands = k // band_rows
     width = 2 * band_rows
-    keyed = nodes.select(
-        "content", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + width * b, width)) for b in range(bands)])).alias("key")
-    )
+    keyed = nodes.select("content", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + width * b, width)) for b in range(bands)])).alias("band", "key"))
     least = keyed.groupBy("key").agg(F.min("content").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a")
     buckets = saved(keyed.join(least, "key"), "buckets")
     pairs = buckets.filter("a <> content").select("a", F.col("content").alias("b")).distinct()
@@ -277,10 +280,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, b
         comp = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
         if most is None:
             break
-        now = buckets.select("key", "content").join(comp.withColumnRenamed("node", "content"), "content", "left").withColumn("comp", F.coalesce("comp", "content"))
+        now = buckets.select("key", "band", "content").join(comp.withColumnRenamed("node", "content"), "content", "left").withColumn("comp", F.coalesce("comp", "content"))
         open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         rows = saved(now.join(open_keys, "key").join(nodes.select("content", "sig"), "content").join(els.select("content", "fine"), "content"), "open-buckets")
-        pairs = saved(_apart(rows, most).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        pairs = saved(_apart(rows, most, band_rows).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
         tried = tried.select("a", "b").unionByName(pairs)
