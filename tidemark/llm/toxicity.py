@@ -10,6 +10,8 @@ loss of a text reaches its windows by a softmax of their logits.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import class_sample, remainder
 from tidemark.llm.words import Words, doc_slices, mix, text_buffers
+from tidemark.session import saved
 
 #: Bounds of the training sample: texts of each label, and words of each text's windows.
 SAMPLE_ROWS, SAMPLE_WORDS = 1000, 1200
@@ -232,6 +235,17 @@ class Model:
     def __init__(self, word_odds: Odds, gram_odds: Odds, net: Net) -> None:
         self.word_odds, self.gram_odds, self.net = word_odds, gram_odds, net
 
+    def dump(self) -> bytes:
+        """The arrays of the model, without its classes."""
+        return pickle.dumps([vars(self.word_odds), vars(self.gram_odds), vars(self.net)])
+
+    @classmethod
+    def load(cls, dumped: bytes) -> Model:
+        parts = [Odds.__new__(Odds), Odds.__new__(Odds), Net.__new__(Net)]
+        for part, arrays in zip(parts, pickle.loads(dumped), strict=True):
+            vars(part).update(arrays)
+        return cls(*parts)
+
     def inputs(self, words: np.ndarray, gw: np.ndarray, gh: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Dense part (n, 5) of n words with hashes `words`, and (word, row of emb) pairs. gw, gh: their n-grams."""
         n = len(words)
@@ -377,8 +391,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     ids = class_sample(known, "toxic", "doc_id", rows)
     part = docs.join(F.broadcast(ids), "doc_id").filter("text IS NOT NULL")
     # as many characters as SAMPLE_WORDS words take at most, so that the sample is bounded in bytes too
-    got = part.select("toxic", F.substring("text", 1, 10 * SAMPLE_WORDS).alias("text")).orderBy("toxic", F.xxhash64("text"), "text").collect()
-    return fit([r["text"] for r in got], [r["toxic"] for r in got])
+    sample = saved(part.select("toxic", F.substring("text", 1, 10 * SAMPLE_WORDS).alias("text")).select("toxic", F.xxhash64("text").alias("h"), "text"), "toxicity-sample")
+
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([fit([t for _, _, t in rows], [y for y, _, _ in rows]).dump()], pa.binary())], names=["model"])
+
+    # one task learns from the bounded sample, which keeps the driver free of it
+    got = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return Model.load(bytes(got[0]["model"])) if got else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
