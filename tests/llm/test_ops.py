@@ -364,6 +364,19 @@ def test_skip_chain_carries_a_label_to_a_distant_bare_form():
     assert pii.find_all("order 5550102030 and 555-010-2030 alone", crf)[1] == []
 
 
+def test_skip_chain_carries_a_label_over_many_repeats():
+    crf = pii.Crf()
+    crf.skip = np.eye(5) * 2
+    node = np.zeros((51, 5))
+    node[0] = [-50, -50, -50, -50, 50]
+    assert (crf.infer(node, np.stack([np.arange(50), np.arange(1, 51)], axis=1)).argmax(axis=1) == 4).all()
+    crf = pii.fit(["x +1 (234) 555-0147 y", "ip 10.2.3.4 z"])
+    bare = "".join(f"filler call {('555-010-2030', '1-555-010-2030', '(555) 010 2030')[k % 3]}, or " for k in range(50))
+    for text in (f"call +1 (555) 010-2030 now. {bare}", f"{bare}call +1 (555) 010-2030 now."):
+        base, added = pii.find_all(text, crf)
+        assert [k for _, _, k in base] == ["phone"] and [k for _, _, k in added] == ["phone"] * 50
+
+
 # --- op10
 
 
