@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import components, decontaminate, embedding_dup, lang_id, license_scan, line_dedup, mixing, near_dup, pii, queries, secrets, toxicity
+from tidemark.llm.common import class_sample
 from tidemark.llm.words import Words, text_buffers
 
 SF = "/root/testdata/sf0.001"
@@ -77,6 +78,18 @@ def test_language_is_right_on_held_out_documents(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) >= 0.95 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_copies_count_once_in_the_sample(spark):
+    groups = [f"tekst {k} ligger her" for k in range(20, 30)]
+    rows = [(k, groups[k % 10], "da") for k in range(10_000)] + [(k, f"text {k} lies here", "en") for k in range(3000)] + [(k, "a text of many copies", "en") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r.lang, r.text) for r in class_sample(df, "lang", "text", 400).collect()]
+    assert sorted(t for lang, t in got if lang == "da") == groups
+    assert len(got) == len(set(got)) == 410
+    hashed = df.filter("lang = 'en'").select("text").distinct().orderBy(F.xxhash64("text")).limit(400).collect()
+    assert {t for lang, t in got if lang == "en"} == {r.text for r in hashed}
+    assert lang_id.train(df).langs == ["da", "en"]
+
+
 def test_code_lengths_equal_the_tree_walk():
     model = lang_id.Ppm({"a": [b"abracadabra abra", b"cad"], "b": [b"banana band"]})
 

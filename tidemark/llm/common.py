@@ -18,13 +18,14 @@ def remainder(doc_id: Column, m: int) -> Column:
 
 
 def class_sample(df: DataFrame, label: str, by: str, rows: int, max_classes: int = 1000) -> DataFrame:
-    """At most `rows` rows of each label, those of the smallest hash of `by`; repeatable, and even over the table.
+    """(label, by) of at most `rows` distinct values of `by` for each label, those of the smallest hash; repeatable, and even.
 
-    Counts of the labels come first (a bounded table: more than max_classes labels is an error). They set a hash
-    threshold by label that leaves about twice the wanted rows, so the ranking that follows never sees a whole class.
+    Copies count once. Distinct values of each label are estimated first (a bounded table: more than max_classes labels is
+    an error). They set a hash threshold by label that leaves about twice the wanted values (an error of a few hundredths
+    cannot reach the wanted ones), so the ranking that follows never sees a whole class. Copies are joined before it.
     """
-    df = df.filter(F.col(label).isNotNull() & F.col(by).isNotNull()).withColumn("_h", F.xxhash64(by))
-    counts = df.groupBy(label).count().limit(max_classes + 1).collect()
+    df = df.filter(F.col(label).isNotNull() & F.col(by).isNotNull()).select(label, by, F.xxhash64(by).alias("_h"))
+    counts = df.groupBy(label).agg(F.approx_count_distinct("_h", 0.02).alias("count")).limit(max_classes + 1).collect()
     if len(counts) > max_classes:
         raise ValueError(f"more than {max_classes} labels")
     top = 1 << 63
@@ -33,4 +34,5 @@ def class_sample(df: DataFrame, label: str, by: str, rows: int, max_classes: int
         share = min(1.0, 2.0 * (rows + 20) / r["count"])
         few = few | ((F.col(label) == F.lit(r[label])) & (F.col("_h") <= F.lit(int(-top + share * (2 * top - 1)) if share < 1 else top - 1)))
     w = W.partitionBy(label).orderBy("_h", by)
-    return df.filter(few).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= rows).drop("_h", "_n")
+    one = df.filter(few).groupBy(label, "_h").agg(F.min(by).alias(by))
+    return one.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= rows).select(label, by)
