@@ -296,6 +296,15 @@ def test_secrets_are_told_from_look_alikes(spark):
     assert secrets.scan(docs(spark, rows).limit(0), f).count() == 0
 
 
+def test_long_secrets_are_found_whole(spark):
+    rng = random.Random(4)
+    v = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(2000))
+    rows = [(1, f"use eyJ{v[3:]} here"), (2, f'x token = "{v}" y'), (3, f"access_token={v}\n"), (4, f"password: {v[:1000]}.{v[1000:]}, z")]
+    got = {r.doc_id: [(e.start, e.end) for e in r.findings if e.score >= 0.5] for r in secrets.scan(docs(spark, rows), secrets.train()).collect()}
+    assert got == {1: [(4, 2004)], 2: [(11, 2011)], 3: [(13, 2013)], 4: [(10, 2011)]}
+    assert secrets.candidates("token=" * 50_000) == [(6, 300_000)]
+
+
 # --- op7
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,512}(?![A-Za-z0-9+/=_-])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}(?![A-Za-z0-9+/=_-])")
 #: Assignments are looked for only around these words: a pattern over the whole text would cost more.
 NAMES = ("passw", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "private_key")
 NAME = re.compile("|".join(re.escape(n) for n in NAMES), re.I)
-ASSIGNED = re.compile(r"[A-Za-z_.-]{0,20}[\"']?[ \t]{0,3}[:=]>?[ \t]{0,3}[\"']?([^\s\"',;<>]{6,512})")
+ASSIGNED = re.compile(r"[A-Za-z_.-]{0,20}[\"']?[ \t]{0,3}[:=]>?[ \t]{0,3}[\"']?")
+#: What ends an assigned value; one of fewer characters than LEAST is none.
+STOP = re.compile(r"[\s\"',;<>]")
+LEAST = 6
 HEADER = "-----BEGIN "
 # Public prefixes of well-known key formats.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "sk-", "AIza", "SG.", "npm_", "pypi-", "eyJ")
@@ -84,15 +88,26 @@ def features(value: str, left: str, right: str, path: str) -> list[float]:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans that may hold a secret, leftmost first, without overlaps; whole text, code points."""
-    found = []
-    for m in TOKEN.finditer(text):
-        v = m[0]
-        if any("0" <= c <= "9" for c in v) or v.startswith(PREFIXES):
-            found.append(m.span())
+    found, names = [], []
+    end = 0  # of the run in which the last value stood, so that names in one run do not each read it to its end
     for m in NAME.finditer(text):
         a = ASSIGNED.match(text, m.end())
         if a:
-            found.append(a.span(1))
+            if a.end() >= end:
+                stop = STOP.search(text, a.end())
+                end = stop.start() if stop else len(text)
+            if end - a.end() >= LEAST:
+                found.append((a.end(), end))
+                names.append(m.start())
+    starts = [a for a, _ in found]
+    for m in TOKEN.finditer(text):
+        a, e = m.span()
+        k = bisect_right(starts, a)
+        if k < len(starts) and starts[k] < e:  # a value assigned within the run stands for itself
+            e = names[k]
+        v = text[a:e]
+        if len(v) >= 16 and (any("0" <= c <= "9" for c in v) or v.startswith(PREFIXES)):
+            found.append((a, e))
     k = text.find(HEADER)
     while k >= 0:
         e = text.find("-----", k + len(HEADER))
