@@ -277,6 +277,23 @@ def test_toxicity_learns_words_anywhere_in_the_text(spark):
     assert toxicity.score(docs(spark, rows).limit(0), m).count() == 0
 
 
+def test_toxicity_is_learned_from_the_end_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "NET_WINDOWS", 64, raising=False)
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice(["ta", "re", "mi", "so", "lu", "ka", "no", "pe", "di", "fu"]) for _ in range(3)) for _ in range(800)]
+    text = lambda bad, n: " ".join([rng.choice(vocab) for _ in range(n)] + (["grumbal", "vilex", "grumbos", "vilex"] if bad else []))
+    known = docs(spark, [(k, text(k % 3 == 0, 1300)) for k in range(120)])
+    m = toxicity.train(known, spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, [(k, text(k % 2 == 1, 300)) for k in range(40)]), m).collect()}
+    assert np.mean([(got[k] >= 0.5) == (k % 2 == 1) for k in range(40)]) >= 0.9
+
+
+def test_every_short_context_lies_whole_in_a_window():
+    for n in (24, 25, 100, 501):
+        s = toxicity.window_starts(n)
+        assert all(any(a <= c and c + 20 <= a + toxicity.WINDOW for a in s) for c in range(n - 19))
+
+
 def test_windows_cover_every_word():
     for n in (1, 23, 24, 25, 40, 41, 500):
         s = toxicity.window_starts(n)

@@ -15,18 +15,21 @@ import pickle
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import class_sample, remainder
 from tidemark.llm.words import Words, doc_slices, mix, text_buffers
 from tidemark.session import saved
 
-#: Bounds of the training sample: texts of each label, and words of each text's windows.
-SAMPLE_ROWS, SAMPLE_WORDS = 1000, 1200
-WINDOW, STRIDE = 24, 16
+#: Bounds of the training sample: whole texts of each label, and their bytes (the text that passes the bound is the last).
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 12_000_000
+WINDOW, STRIDE = 24, 4
 HASHED, DIM, HIDDEN, EPOCHS = 1 << 14, 4, 8, 5
-#: Of the sample, the texts of each label that the network itself learns from, and their words.
-NET_ROWS, NET_WORDS = 400, 800
+#: Of the sample, the whole texts of each label that the network itself learns from, and their bytes.
+NET_ROWS, NET_BYTES = 400, 4_000_000
+#: Distance of the windows in training, and the most windows of a step; of a longer text those of the largest logits.
+NET_STRIDE, NET_WINDOWS = 16, 2048
 GRAMS = (3, 5, 7)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 INPUTS = 5 + DIM
@@ -178,6 +181,12 @@ class Net:
         e /= e.sum(axis=1, keepdims=True)
         return (e[:, :, None] * H).sum(axis=1) @ p["w"] + p["c"][0]
 
+    def window_logits(self, x: np.ndarray, inv: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The logit of each full window of a text; x: inputs of its distinct words, inv: which of them each word is."""
+        xf, xb = x @ self.p["Wf"] + self.p["bf"], x @ self.p["Wb"] + self.p["bb"]
+        idx = [inv[starts[k : k + 4096, None] + np.arange(WINDOW)] for k in range(0, len(starts), 4096)]
+        return np.concatenate([self.logits(xf[i], xb[i]) for i in idx])
+
     def step(self, x: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """Loss, gradients and the gradient of x. doc: text of each window (0..n-1, sorted); y: label of each text."""
         p, h = self.p, HIDDEN
@@ -263,11 +272,11 @@ class Model:
         return (out / np.sqrt(np.maximum(np.bincount(at, minlength=n), 1))[:, None]).astype(np.float32)
 
 
-def window_starts(n: int) -> np.ndarray:
+def window_starts(n: int, stride: int = STRIDE) -> np.ndarray:
     """Starts of overlapping windows that cover n words; the last one ends with the text."""
     if n <= WINDOW:
         return np.zeros(1, np.int64)
-    s = np.arange(0, n - WINDOW, STRIDE)
+    s = np.arange(0, n - WINDOW, stride)
     return np.append(s, n - WINDOW)
 
 
@@ -280,7 +289,6 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     def parsed(t: str):
         data, offs = text_buffers(pa.array([t], pa.large_string()))
         h, s, e, _ = tok(data, offs)
-        h, s, e = h[:SAMPLE_WORDS], s[:SAMPLE_WORDS], e[:SAMPLE_WORDS]
         u, first, inv = np.unique(h, return_index=True, return_inverse=True)
         return (h, u, inv, *grams_of(data, s[first], e[first], tok.low))
 
@@ -295,13 +303,13 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     n = (int((y == 1).sum()), int((y == 0).sum()))
     model = Model(Odds(words, n, 2), Odds(grams, n, 3), Net(rng))
     del words, grams, distinct
-    made, left = [], {0: NET_ROWS, 1: NET_ROWS}
+    made, left, room = [], {0: NET_ROWS, 1: NET_ROWS}, {0: NET_BYTES, 1: NET_BYTES}
     for k, label in zip(own, y.astype(int).tolist(), strict=True):
         left[label] -= 1
-        if left[label] >= 0 and len((d := parsed(texts[k]))[1]):
+        if left[label] >= 0 and room[label] > 0 and len((d := parsed(texts[k]))[1]):
+            room[label] -= len(texts[k].encode())
             dense, at, rows = model.inputs(d[1], d[3], d[4], own=label)
-            inv = d[2][:NET_WORDS]
-            made.append((dense, at.astype(np.int32), rows.astype(np.int32), inv, window_starts(len(inv))))
+            made.append((dense, at.astype(np.int32), rows.astype(np.int32), d[2].astype(np.int32), window_starts(len(d[2]), NET_STRIDE)))
         else:
             made.append(None)
     ok = np.array([k for k, m in enumerate(made) if m is not None], int)
@@ -315,7 +323,13 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     for epoch in range(EPOCHS if len(ok) and 0 < y[ok].sum() < len(ok) else 0):
         order = rng.permutation(ok)
         order = order[np.argsort([len(made[k][3]) >= WINDOW for k in order], kind="stable")]  # short texts apart
-        batches = [order[k : k + size] for k in range(0, len(order), size)]
+        batches, n = [], 0
+        for k in order:  # of at most `size` texts and NET_WINDOWS windows
+            n += min(len(made[k][4]), NET_WINDOWS)
+            if not batches or len(batches[-1]) == size or n > NET_WINDOWS:
+                batches.append([])
+                n = min(len(made[k][4]), NET_WINDOWS)
+            batches[-1].append(k)
         for b in rng.permutation(len(batches)):
             short = [k for k in batches[b] if len(made[k][3]) < WINDOW]
             for group in ([[k] for k in short] if short else []) + [[k for k in batches[b] if len(made[k][3]) >= WINDOW]]:
@@ -328,6 +342,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
                     emb = model.embed(len(dense), at, rows)
                     full = np.concatenate([dense, emb], axis=1)
                     t = min(WINDOW, len(inv))
+                    if len(starts) > NET_WINDOWS:
+                        starts = np.sort(starts[np.argsort(-model.net.window_logits(full, inv, starts), kind="stable")[:NET_WINDOWS]])
                     idx = inv[starts[:, None] + np.arange(t)]
                     xs.append(full[idx])
                     ids.append(idx + base)
@@ -390,8 +406,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     # drawn from the labels alone, so that no text moves: at most `rows` ids of each of two labels are sent to the scan
     ids = class_sample(known, "toxic", "doc_id", rows)
     part = docs.join(F.broadcast(ids), "doc_id").filter("text IS NOT NULL")
-    # as many characters as SAMPLE_WORDS words take at most, so that the sample is bounded in bytes too
-    sample = saved(part.select("toxic", F.substring("text", 1, 10 * SAMPLE_WORDS).alias("text")).select("toxic", F.xxhash64("text").alias("h"), "text"), "toxicity-sample")
+    sample = saved(part.select("toxic", F.xxhash64("text").alias("h"), "text"), "toxicity-sample")
+    # whole texts by hash until their bytes reach the bound: it is set by lengths alone
+    before = W.partitionBy("toxic").orderBy("h").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sample.groupBy("toxic", "h").agg(F.max(F.octet_length("text")).alias("size"))
+    fit_in = sizes.withColumn("past", F.coalesce(F.sum("size").over(before), F.lit(0))).filter(F.col("past") < SAMPLE_BYTES).select("toxic", "h")
+    sample = sample.join(F.broadcast(fit_in), ["toxic", "h"]).dropDuplicates(["toxic", "h"]).select("toxic", "h", "text")
 
     def run(batches):
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
