@@ -36,3 +36,13 @@ def class_sample(df: DataFrame, label: str, by: str, rows: int, max_classes: int
     w = W.partitionBy(label).orderBy("_h", by)
     one = df.filter(few).groupBy(label, "_h").agg(F.min(by).alias(by))
     return one.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= rows).select(label, by)
+
+
+def bounded_texts(sample: DataFrame, label: str, most_bytes: int) -> DataFrame:
+    """(label, text) of a bounded sample: whole texts of each label by hash, until their bytes reach the bound.
+
+    The text that passes the bound is the last. sample has few rows, so the sums by label are of few lengths.
+    """
+    sized = sample.select(label, "text", F.xxhash64("text").alias("_h"), F.octet_length("text").alias("_size"))
+    before = W.partitionBy(label).orderBy("_h").rowsBetween(W.unboundedPreceding, -1)
+    return sized.withColumn("_past", F.coalesce(F.sum("_size").over(before), F.lit(0))).filter(F.col("_past") < most_bytes).select(label, "text")
