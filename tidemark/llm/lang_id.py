@@ -10,18 +10,16 @@ n-gram pays the escapes of its context and goes on with the shorter one, as in t
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import class_sample, remainder
+from tidemark.llm.common import bounded_texts, class_sample, remainder
 from tidemark.llm.words import doc_slices, text_buffers
 
-LETTER = re.compile(r"[^\W\d_]")
-#: Bounds of the training sample: texts and bytes for each language.
+#: Bounds of the training sample: different whole texts for each language, and their bytes (the text that passes the
+#: bound is the last).
 SAMPLE_ROWS, SAMPLE_BYTES = 400, 400_000
 
 
@@ -151,16 +149,12 @@ class Ppm:
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES, order: int = 3) -> Ppm:
-    """Trees from at most `rows` texts and `limit` bytes of each language (a bounded, repeatable sample)."""
+    """Trees from at most `rows` different texts of each language, whole ones by hash until they reach `limit` bytes."""
     got: dict[str, list[bytes]] = {}
-    size: dict[str, int] = {}
     part = class_sample(df.select(F.col(text).alias("text"), F.col(lang).alias("lang")), "lang", "text", rows)
-    each = max(1000, 4 * limit // rows)
-    for r in part.select("lang", F.substring("text", 1, each).alias("text")).orderBy("lang", F.xxhash64("text"), "text").collect():
-        b = r["text"].encode()
-        if b and size.get(r["lang"], 0) < limit:
-            got.setdefault(r["lang"], []).append(b[: limit - size.get(r["lang"], 0)])
-            size[r["lang"]] = size.get(r["lang"], 0) + len(b)
+    for r in bounded_texts(part, "lang", limit).orderBy("lang", F.xxhash64("text"), "text").collect():
+        if r["text"]:
+            got.setdefault(r["lang"], []).append(r["text"].encode())
     return Ppm(got, order)
 
 
@@ -187,7 +181,7 @@ def identify(df: DataFrame, model: Ppm, text: str = "text") -> DataFrame:
                 best = bits.argmin(axis=1)
                 least = bits.min(axis=1, keepdims=True)
                 score = 1 / np.exp2(np.maximum(least - bits, -1000)).sum(axis=1)
-                letter = np.array([LETTER.search(t) is not None if t else False for t in col.to_pylist()], bool)
+                letter = np.array([any(map(str.isalpha, t)) if t else False for t in col.to_pylist()], bool)
             else:
                 letter, best, score, least = np.zeros(n, bool), np.zeros(n, int), np.zeros(n), np.zeros((n, 1))
             size = np.maximum(np.diff(offs), 1)
