@@ -175,6 +175,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == near_brute(rows)
 
 
+@pytest.mark.parametrize("many", [2, 64])
+def test_links_in_large_buckets_equal_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(near_dup, "MANY", many)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(500)]
+    base = [rng.choice(vocab) for _ in range(120)]
+    rows = []
+    for i in range(90):  # changed at one end: buckets of many rows, some below the threshold of each other
+        w = list(base)
+        for _ in range(rng.choice([1, 4, 9, 14])):
+            w[rng.randrange(30)] = rng.choice(vocab)
+        rows.append((i, " ".join(w)))
+    assert {r.doc_id: r.class_id for r in near_dup.op2(docs(spark, rows)).collect()} == near_brute(rows)
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     el = rng.integers(0, 1 << 48, 400, dtype=np.uint64)

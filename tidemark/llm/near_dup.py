@@ -26,11 +26,13 @@ from tidemark.llm.words import Words, doc_slices, mix, text_buffers
 from tidemark.session import saved
 
 K, BAND_ROWS, SHINGLE, THRESHOLD = 128, 5, 5, 0.8
-#: Pairs whose signatures agree in fewer coordinates are not compared: 3.4 standard deviations below 0.8 at k = 128.
-SURE = 0.68
+#: Pairs whose signatures agree in fewer coordinates are not compared: 5 standard deviations below 0.8 at k = 128.
+SURE = 0.62
 #: Bins of the finer sketch of documents that share a bucket, and its bound: more than 5 standard deviations below 0.8.
 BINS, FINE_SURE = 1024, 0.73
 BLOCK = 1024
+#: Rows of a bucket from which its rows are first given a few partners.
+MANY = 64
 E48 = np.uint64((1 << 48) - 1)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -206,14 +208,13 @@ def _exact(pairs: DataFrame, els: DataFrame, threshold: float) -> DataFrame:
 def _apart(rows: DataFrame, most: int, band_rows: int) -> DataFrame:
     """(a, b): pairs of one bucket, but of two components, that both sketches let reach the threshold.
 
-    rows: (key, band, content, comp, sig, fine), written. A pair comes out of the bucket of its first common band only
+    rows: (key, band, n, content, comp, sig, fine), written; n: rows of the bucket. A pair comes out of the bucket of its first common band only
     (that bucket is open too, as it holds both components). Buckets are cut into blocks of about BLOCK rows, and each pair of
     blocks is one group, so no group grows with the bucket; small buckets share groups of about 20,000 rows. Each row
     gives its `most` best partners by block (0: all).
     """
     groups = max(1, rows.count() // 20_000)
-    n = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nb"))
-    placed = rows.join(n, "key").withColumn("blk", F.pmod(F.xxhash64("content", "key"), F.col("nb")))
+    placed = rows.withColumn("nb", F.ceil(F.col("n") / BLOCK)).withColumn("blk", F.pmod(F.xxhash64("content", "key"), F.col("nb")))
     placed = placed.withColumn("part", F.when(F.col("nb") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).select(
         "part", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "key", "band", "blk", "content", "comp", "sig", "fine"
@@ -252,6 +253,15 @@ def _apart(rows: DataFrame, most: int, band_rows: int) -> DataFrame:
     return dealt.groupBy("part", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def _first_parents(edges: DataFrame) -> DataFrame:
+    """(node, comp): of nodes with links to smaller ones the least of these, or that one's least in turn.
+
+    Nodes of one comp are connected, but a component may still hold several.
+    """
+    up = edges.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("v")).groupBy("node").agg(F.min("v").alias("comp"))
+    return up.join(up.select(F.col("node").alias("comp"), F.col("comp").alias("higher")), "comp", "left").select("node", F.coalesce("higher", "comp").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, band_rows: int = BAND_ROWS, size: int = SHINGLE) -> DataFrame:
     """One row for each row of docs: doc_id, class_id, th (hash of its text), kept.
 
@@ -259,44 +269,47 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, b
     class_id with the smallest text hash. Texts of the same words are linked without comparison. Texts without words
     (null or empty ones too) are classes of their own, each row kept. Null ids count as larger than any other; a
     class of null ids has a null class_id. Rows that repeat id and text are one document and carry the same flags;
-    keep_one() leaves one of them. An empty table gives an empty one.
+    keep_one() leaves one of them. An empty table gives an empty one. Texts of any length are read whole, in slices;
+    other columns of docs do not matter.
     """
     sigs = saved(signatures(docs, k), "signatures")
-    worded = sigs.filter("n_words > 0")
-    nodes = saved(worded.groupBy("content").agg(F.min_by(F.struct("doc_id", "th", "sig"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("r")).select("content", "r.doc_id", "r.th", "r.sig"), "classes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    nodes = saved(sigs.filter("n_words > 0").groupBy("content").agg(F.min_by(F.struct("doc_id", "th", "sig"), order).alias("r")).select("content", "r.doc_id", "r.th", "r.sig"), "classes")
     bands = k // band_rows
     width = 2 * band_rows
     keyed = nodes.select("content", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + width * b, width)) for b in range(bands)])).alias("band", "key"))
     least = keyed.groupBy("key").agg(F.min("content").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a")
     buckets = saved(keyed.join(least, "key"), "buckets")
-    pairs = buckets.filter("a <> content").select("a", F.col("content").alias("b")).distinct()
-    pairs = saved(_agreement(pairs, nodes), "pairs")
-    in_buckets = buckets.select("content").distinct()
-    els = saved(_shingle_table(docs, nodes.drop("sig").join(in_buckets, "content"), size), "shingles")
-    tried, links = pairs, None
-    for most in (8, 0, None):  # partners that the next look into the buckets gives each row; 0: all
-        new = saved(_exact(pairs, els, threshold), "links")
-        links = new if links is None else links.unionByName(new)
-        comp = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-        if most is None:
-            break
-        now = buckets.select("key", "band", "content").join(comp.withColumnRenamed("node", "content"), "content", "left").withColumn("comp", F.coalesce("comp", "content"))
-        open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        rows = saved(now.join(open_keys, "key").join(nodes.select("content", "sig"), "content").join(els.select("content", "fine"), "content"), "open-buckets")
+    stars = buckets.filter("a <> content").select("a", F.col("content").alias("b")).distinct()
+    tried = pairs = saved(_agreement(stars, nodes), "pairs")
+    els = saved(_shingle_table(docs, nodes.drop("sig").join(buckets.select("content").distinct(), "content"), size).join(nodes.select("content", "sig"), "content"), "shingles")
+    edges = saved(_exact(pairs, els, threshold), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    comp = None
+    # buckets of many rows are first looked into for a few partners of each row, whose links leave few rows apart; then
+    # all open buckets are, for all partners
+    for most, many in ((8, MANY), (0, 1)):
+        group = _first_parents(edges) if comp is None else comp
+        now = buckets.select("key", "band", "content").join(group.withColumnRenamed("node", "content"), "content", "left").withColumn("comp", F.coalesce("comp", "content"))
+        open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter(f"lo <> hi AND n > {many}").select("key", "n")
+        rows = saved(now.join(open_keys, "key").join(els.select("content", "sig", "fine"), "content"), "open-buckets")
+        if rows.isEmpty():
+            continue
         pairs = saved(_apart(rows, most, band_rows).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
         tried = tried.select("a", "b").unionByName(pairs)
-    member = sigs.select("doc_id", "th", "content", "n_words").join(comp.withColumnRenamed("node", "content"), "content", "left")
-    member = member.withColumn("comp", F.when(F.col("n_words") > 0, F.coalesce("comp", "content")))
-    # a table of its own, so that Spark can split the partition of a very large class
-    heads = saved(nodes.join(comp.withColumnRenamed("node", "content"), "content", "left").groupBy(F.coalesce("comp", "content").alias("comp")).agg(
-        F.min_by(F.struct(F.col("doc_id").alias("id"), F.col("th").alias("head_th")), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("head")
-    ), "heads")
-    out = member.join(heads, "comp", "left")
+        more = saved(_exact(pairs, els, threshold), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        edges = edges.unionByName(more)
+        if most:
+            comp = saved(components(edges), "components")
+            edges = comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))
+    comp = saved(components(edges), "components")
+    member = saved(nodes.select("content", "doc_id", "th").join(comp.withColumnRenamed("node", "content"), "content", "left").withColumn("comp", F.coalesce("comp", "content")), "members")
+    heads = member.groupBy("comp").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), F.col("th").alias("head_th")), order).alias("head"))
+    # a table of its own, so that Spark can split the partition of a text that very many rows repeat
+    classes = saved(member.select("content", "comp").join(heads, "comp").select("content", "head.id", "head.head_th"), "heads")
+    out = sigs.select("doc_id", "th", "n_words", F.when(F.col("n_words") > 0, F.col("content")).alias("content")).join(classes, "content", "left")
     return out.select(
-        "doc_id", "th", F.when(F.col("n_words") > 0, F.col("head.id")).otherwise(F.col("doc_id")).alias("class_id"),
-        ((F.col("n_words") == 0) | (F.col("doc_id").eqNullSafe(F.col("head.id")) & (F.col("th") == F.col("head.head_th")))).alias("kept"),
+        "doc_id", "th", F.when(F.col("n_words") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("class_id"),
+        ((F.col("n_words") == 0) | (F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("head_th")))).alias("kept"),
     )
 
 
