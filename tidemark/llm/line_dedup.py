@@ -1,15 +1,16 @@
 """Line deduplication with levelled sorted runs of line keys.
 
 A line's key is the line stripped of `[\\x20\\x09-\\x0D]` and with A-Z lower-cased, held as a 128-bit hash. Keys enter
-batch by batch, the largest document ids first. Each batch is anti-joined with the runs: keys not in them are fresh,
-and the batch's largest document id becomes their holder; the others add to the counts. What the batch brings is
-written as a new sorted run, and `fanout` runs of a level are compacted into one run of the next level. After the last
-batch the runs hold every key's number of documents and its holder.
+batch by batch, the largest document ids first. Each batch is merged with the runs: keys not in them are fresh, and the
+batch's largest document id becomes their holder; the others add to the counts. What the batch brings is written as a
+new sorted run, and `fanout` runs of a level are compacted into one run of the next level. Batches and runs are bucketed
+and sorted by key, so that a merge joins bucket with bucket and moves no row. After the last batch the runs hold every
+key's number of documents and its holder.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import forget, saved
+from tidemark.session import forget, run_dir, saved
 
 BLANK = b" \t\n\x0b\x0c\r"
 RUN = "h1 long, h2 long, n long, holder long, fresh boolean"
@@ -35,39 +36,46 @@ def line_keys(text: bytes, least: int) -> list[bytes]:
     return out
 
 
+def bucketed(df: DataFrame, buckets: int, *parts: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed and sorted by key; parts: partition columns."""
+    spark, name = df.sparkSession, f"tidemark_run_{uuid.uuid4().hex}"
+    w = df.write.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{run_dir(spark)}/{name}")
+    (w.partitionBy(*parts) if parts else w).saveAsTable(name)
+    out = spark.table(name)
+    out._tidemark_path, out._tidemark_table = f"{run_dir(spark)}/{name}", name
+    return out
+
+
 class Runs:
-    """Levelled runs of (h1, h2, n, holder, fresh), each a sorted table in the shared folder.
+    """Levelled runs of (h1, h2, n, holder, fresh), each a bucketed and sorted table in the shared folder.
 
     fresh marks the one row of a key that names its holder. A lost executor costs the tasks it ran, nothing else.
     """
 
-    def __init__(self, fanout: int = 3) -> None:
-        self.fanout, self.levels = fanout, [[]]
+    def __init__(self, fanout: int = 3, buckets: int | None = None) -> None:
+        self.fanout, self.buckets, self.levels = fanout, buckets, [[]]
 
     def live(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
     def all(self) -> DataFrame | None:
-        out = None
-        for r in self.live():
-            out = r if out is None else out.unionByName(r)
-        return out
+        """The rows of all runs, read without their buckets: those of a union are not in one place."""
+        return union(self.live()) if self.live() else None
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Merge one batch of (h1, h2, n, holder), a row for each key. Returns its run; fresh rows are new keys."""
-        seen = self.all()
-        if seen is None:
-            run = batch.withColumn("fresh", F.lit(True))
-        else:
-            seen = seen.filter("fresh").select("h1", "h2")
-            new = batch.join(seen, ["h1", "h2"], "left_anti").withColumn("fresh", F.lit(True))
-            old = batch.join(seen, ["h1", "h2"], "left_semi").withColumn("holder", F.lit(None).cast("long")).withColumn("fresh", F.lit(False))
-            run = new.unionByName(old)
-        run = saved(run.sortWithinPartitions("h1", "h2"), "run")
+        run = batch.withColumn("fresh", F.lit(True))
+        for r in self.live():
+            seen = r.filter("fresh").select("h1", "h2", F.lit(True).alias("seen"))
+            run = run.join(seen, ["h1", "h2"], "left").withColumn("fresh", F.col("fresh") & F.col("seen").isNull()).drop("seen")
+        run = self._write(run.withColumn("holder", F.when(F.col("fresh"), F.col("holder"))))
         self.levels[0].append(run)
         self._compact()
         return run
 
+    def _write(self, run: DataFrame) -> DataFrame:
+        return bucketed(run.select("h1", "h2", "n", "holder", "fresh"), self.buckets or int(run.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def _compact(self) -> None:
         for k in range(len(self.levels)):
             if len(self.levels[k]) < self.fanout:
@@ -75,15 +83,18 @@ class Runs:
             if k + 1 == len(self.levels):
                 self.levels.append([])
             old = self.levels[k]
-            merged = old[0]
-            for r in old[1:]:
-                merged = merged.unionByName(r)
-            self.levels[k + 1].append(saved(totals(merged).sortWithinPartitions("h1", "h2"), "run"))
+            self.levels[k + 1].append(self._write(totals(union(old))))
             self.levels[k] = []
             for r in old:
+                r.sparkSession.sql(f"DROP TABLE {r._tidemark_table}")
                 forget(r)
 
 
+def union(runs: list[DataFrame]) -> DataFrame:
+    """Rows of several runs, from their files."""
+    return runs[0].sparkSession.read.schema(runs[0].schema).parquet(*[r._tidemark_path for r in runs])
+
+
 def totals(runs: DataFrame) -> DataFrame:
     return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("holder").alias("holder"), F.max("fresh").alias("fresh"))
 
@@ -91,20 +102,21 @@ def totals(runs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, least: int = 20, most_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
     """docs with text rewritten, and n_lines and n_dropped (columns of docs with these names are replaced).
 
-    A key of at least `least` code points that stands in at least `most_docs` rows loses all its lines but those of
-    the largest doc_id that holds it. Rows that repeat a doc_id count as documents of their own and all keep the lines
-    their id holds; null ids count as the smallest id. Null and empty texts are one empty line (text becomes "").
-    An empty table gives an empty one.
+    A key of at least `least` code points that stands in at least `most_docs` documents loses all its lines but those of
+    the largest doc_id that holds it. Rows of one doc_id are one document: they count once and all keep the lines their
+    id holds. Rows without an id count for nothing and keep their lines. Null and empty texts are one empty line (text
+    becomes ""). Texts and lines of any length are read whole. An empty table gives an empty one.
     """
     docs = docs.drop("n_lines", "n_dropped")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / batches for k in range(1, batches)], 0.02) if batches > 1 else []
     batch = F.lit(0)
     for c in cuts:
         batch = batch + F.when(F.col("doc_id") > F.lit(c), 1).otherwise(0)
-    staged = saved(
-        key_rows(docs.withColumn("_th", F.lit(0).cast("long")), least).withColumn("batch", batch).groupBy("batch", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder")), "line-batches", "batch"
-    )
-    runs = Runs(fanout)
+    held = key_rows(docs.filter("doc_id IS NOT NULL").withColumn("_th", F.lit(0).cast("long")), least).select("h1", "h2", "doc_id").distinct()
+    counted = held.withColumn("batch", batch).groupBy("batch", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder"))
+    staged = bucketed(counted.repartition(buckets, "h1", "h2"), buckets, "batch")
+    runs = Runs(fanout, buckets)
     for k in range(len(cuts), -1, -1):
         runs.add(staged.filter(F.col("batch") == k).drop("batch"))
     # a table of its own, so that Spark can split the partition of a line that very many documents hold
@@ -113,7 +125,7 @@ def dedup_lines(docs: DataFrame, least: int = 20, most_docs: int = 3, batches: i
     lines = (
         key_rows(docs.withColumn("_th", th), least)
         .join(common, ["h1", "h2"])
-        .filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
+        .filter("doc_id <> holder")
         .groupBy("doc_id", "_th")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
     )
@@ -176,25 +188,3 @@ def _rewrite(joined: DataFrame, columns: list[str], least: int) -> DataFrame:
 def op7(docs: DataFrame) -> DataFrame:
     """Digest of dedup_lines over documents."""
     return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
-
-
-def brute(rows: list[tuple[int | None, str | None]], least: int = 20, most_docs: int = 3) -> list[tuple]:
-    """What op7 returns, worked out in memory; for tests."""
-    blank, up = " \t\n\x0b\x0c\r", {c: c + 32 for c in range(65, 91)}
-    split = [(i, (t or "").split("\n")) for i, t in rows]
-    key = lambda a: a.strip(blank).translate(up)
-    held: dict[str, list] = {}
-    for i, lines in split:
-        for k in {key(a) for a in lines}:
-            if len(k) >= least:
-                held.setdefault(k, []).append(i)
-    out = []
-    for i, lines in split:
-        keep = []
-        for a in lines:
-            ids = held.get(key(a), [])
-            top = max((x for x in ids if x is not None), default=None)
-            if len(ids) < most_docs or i == top:
-                keep.append(a)
-        out.append((i, len(lines), len(lines) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest()))
-    return out
