@@ -72,49 +72,57 @@ def templates(spark: SparkSession, base: dict[str, str] | None = None, notices:
 
 
 def spans(docs: DataFrame, least: float = 0.7, gap: int = 2, **lists) -> DataFrame:
-    """(doc_id, th, label, base, start, end, coverage): verified spans in words, end exclusive; th: hash of the text.
+    """(doc_id, th, n_words, label, base, start, end, coverage): verified spans in words, end exclusive; th: hash of the text.
 
     A base phrase is a span only where all its words stand consecutively; a notice is one where merged diagonals
-    cover `least` of its k-grams within its length plus half.
+    cover `least` of its k-grams within its length plus half. One more row for each text has n_words, else null, and no
+    span. Texts are read and cut into words once.
     """
-    w = words(F.col("text"))
-    grams = (
-        docs.select("doc_id", F.xxhash64("text").alias("th"), w.alias("w"))
-        .select("doc_id", "th", F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, size(w))").alias("b"), F.expr("slice(w, 3, size(w))").alias("c"))).alias("pos", "g"))
-        .select("doc_id", "th", "pos", *[F.col(f"g.{x}") for x in ("a", "b", "c")])
-        .filter("c IS NOT NULL")
-        .withColumn("h", F.xxhash64("a", "b", "c"))
+    cut = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
+    grams = F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, size(w))").alias("b"), F.expr("slice(w, 3, size(w))").alias("c"))
+    size = F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("c"), F.size("w").cast("long").alias("n"))
+    whole = F.transform(F.filter(grams, lambda g: g["c"].isNotNull()), lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), g["c"].alias("c"), F.lit(None).cast("long").alias("n")))
+    rows = (
+        cut.select("doc_id", "th", F.posexplode(F.concat(F.array(size), whole)).alias("pos", "g"))
+        .select("doc_id", "th", (F.col("pos") - 1).alias("pos"), *[F.col(f"g.{x}").alias(x) for x in ("a", "b", "c")], F.col("g.n").alias("n_words"))
+        .withColumn("h", F.when(F.col("c").isNotNull(), F.xxhash64("a", "b", "c")))
     )
     t = F.broadcast(templates(docs.sparkSession, **lists).withColumn("h", F.xxhash64("g1", "g2", "g3")))  # a fixed list
-    hits = grams.join(t, "h").filter("a = g1 AND b = g2 AND c = g3").withColumn("diagonal", F.col("pos") - F.col("t"))
+    r, q = rows.alias("r"), t.alias("q")
+    same = (F.col("r.h") == F.col("q.h")) & (F.col("r.a") == F.col("q.g1")) & (F.col("r.b") == F.col("q.g2")) & (F.col("r.c") == F.col("q.g3"))
+    hits = r.join(q, same, "left").filter("q.t IS NOT NULL OR r.n_words IS NOT NULL").withColumn("diagonal", F.col("pos") - F.col("t"))
     of = ["doc_id", "th", "template"]
     votes = hits.groupBy(*of, "diagonal").agg(
-        *[F.first(c).alias(c) for c in ("label", "base", "grams")], F.collect_set("t").alias("ts"), F.min("pos").alias("lo"), F.max("pos").alias("hi")
+        *[F.first(c).alias(c) for c in ("label", "base", "grams")], F.max("n_words").alias("n_words"), F.collect_set("t").alias("ts"), F.min("pos").alias("lo"), F.max("pos").alias("hi")
     )
-    exact = votes.filter(F.col("base") & (F.size("ts") == F.col("grams"))).select("doc_id", "th", "label", "base", F.col("lo").alias("start"), (F.col("hi") + K).alias("end"), F.lit(1.0).alias("coverage"))
     line = W.partitionBy(*of).orderBy("diagonal")
-    fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= gap, 0).otherwise(1)
+    near = ~F.col("base") & (F.col("diagonal") - F.lag("diagonal").over(line) <= gap)  # a base phrase never bridges a gap
     merged = (
-        votes.filter("NOT base")
-        .withColumn("fresh", fresh)
+        votes.withColumn("fresh", F.when(near, 0).otherwise(1))
         .withColumn("span", F.sum("fresh").over(line))
         .groupBy(*of, "span")
-        .agg(F.first("label").alias("label"), F.first("grams").alias("grams"), F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("covered"), F.min("lo").alias("start"), (F.max("hi") + K).alias("end"))
+        .agg(
+            *[F.first(c).alias(c) for c in ("label", "base", "grams", "n_words")],
+            F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("covered"), F.min("lo").alias("start"), (F.max("hi") + K).alias("end"),
+        )
         .withColumn("coverage", F.col("covered") / F.col("grams"))
-        .filter((F.col("coverage") >= least) & (F.col("end") - F.col("start") <= 1.5 * (F.col("grams") + K)))
-        .select("doc_id", "th", "label", F.lit(False).alias("base"), "start", "end", "coverage")
-    )
+    )
+    whole = F.col("base") & (F.col("covered") == F.col("grams"))
+    noticed = ~F.col("base") & (F.col("coverage") >= least) & (F.col("end") - F.col("start") <= 1.5 * (F.col("grams") + K))
+    found = merged.filter(F.col("n_words").isNotNull() | whole | noticed)
     # of notices that start at one place (say two versions of a license), the best covered ones
-    merged = merged.withColumn("best", F.max("coverage").over(W.partitionBy("doc_id", "th", "start"))).filter("coverage = best").drop("best")
-    return exact.unionByName(merged)
+    best = F.max("coverage").over(W.partitionBy("doc_id", "th", "start", "base"))
+    found = found.withColumn("best", best).filter("n_words IS NOT NULL OR base OR coverage = best")
+    return found.select("doc_id", "th", "n_words", "label", "base", *[F.when(F.col("n_words").isNull(), F.col(c)).alias(c) for c in ("start", "end", "coverage")])
 
 
 def scan(docs: DataFrame, **how) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and n_spans.
 
     n_base counts the places of base phrases, first_word and last_word are the smallest and largest start of those
-    (null if none); score is the best coverage of any span, else 0. Null and empty texts have no words. Repeated rows
-    are judged alike, whatever their ids; columns of docs with one of these names are replaced.
+    (null if none); score is the best coverage of any span, else 0. Null and empty texts have no words, texts of any
+    length are read whole, and an empty table gives an empty one. Repeated rows are judged alike, whatever their ids;
+    columns of docs with one of these names are replaced.
     """
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_spans"]
     docs = docs.drop(*new)
@@ -123,14 +131,14 @@ def scan(docs: DataFrame, **how) -> DataFrame:
     sums = found.groupBy("doc_id", "th").agg(
         F.count(on_base).alias("n_base"), F.min(on_base).cast("long").alias("first_word"), F.max(on_base).cast("long").alias("last_word"),
         F.sort_array(F.collect_set(F.when(F.col("base"), F.col("label")))).alias("bl"), F.sort_array(F.collect_set("label")).alias("l"),
-        F.max("coverage").alias("score"), F.count(F.when(~F.col("base"), 1)).alias("n_spans"),
+        F.max("coverage").alias("score"), F.count(F.when(~F.col("base"), 1)).alias("n_spans"), F.max("n_words").alias("n_words"),
     )
     # rows of equal id and text vote together, so their spans are found once and joined to each
-    d = docs.withColumn("_th", F.xxhash64("text")).withColumn("n_words", F.size(words(F.col("text"))).cast("long")).alias("d")
+    d = docs.withColumn("_th", F.xxhash64("text")).alias("d")
     r = sums.alias("r")
     both = d.join(r, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d._th") == F.col("r.th")), "left")
     return both.select(
-        *[F.col(f"d.{c}") for c in docs.columns], "d.n_words", F.coalesce("r.n_base", F.lit(0)).cast("long").alias("n_base"), "r.first_word", "r.last_word",
+        *[F.col(f"d.{c}") for c in docs.columns], "r.n_words", F.coalesce("r.n_base", F.lit(0)).cast("long").alias("n_base"), "r.first_word", "r.last_word",
         F.concat_ws(",", F.col("r.bl")).alias("base_labels"), F.concat_ws(",", F.col("r.l")).alias("labels"), F.coalesce("r.score", F.lit(0.0)).alias("score"),
         F.coalesce("r.n_spans", F.lit(0)).cast("long").alias("n_spans"),
     )
@@ -139,13 +147,3 @@ def scan(docs: DataFrame, **how) -> DataFrame:
 def op3(docs: DataFrame) -> DataFrame:
     """License labels of every whole text of documents."""
     return scan(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_spans")
-
-
-def brute(text: str | None, base: dict[str, str] | None = None) -> tuple[int, int, int | None, int | None, str]:
-    """n_words, n_base, first_word, last_word and base_labels worked out word by word; for tests."""
-    import re
-
-    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
-    at = [(i, label) for p, label in (BASE if base is None else base).items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-    return len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
-
