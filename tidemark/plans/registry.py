@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import domain, market, relational, research, scalars, serve
+from tidemark.plans import domain, market, relational, research, scalars, serve, states
 
-_GROUPS = [relational, market, research, scalars, domain, serve]
+_GROUPS = [relational, market, research, scalars, domain, serve, states]
 QUERIES = {k: v for g in _GROUPS for k, v in g.QUERIES.items()}
 ORACLE_SQL = {k: v for g in _GROUPS for k, v in g.ORACLE.items()}
