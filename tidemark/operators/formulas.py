@@ -1,97 +1,126 @@
-"""Entry and exit signals of four bar formulas. Each walks one code's history, so a code is one group."""
+"""Entry and exit signals of four bar formulas, as frames over one code's bars in order.
+
+A crossing is a bar on which one line stands above another that it did not stand above on the bar before; `since` counts
+bars from the last time a flag was set. volume_base looks back for a burst whose base it then measures, which no frame
+of a fixed size does, so it walks one code's history.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.technical import bars_last, cooldown, cross, ema, ma
+from tidemark.operators import windows as X
+from tidemark.operators.technical import by, cooldown, ma
 
 SIGNALS = "code {code}, d date, entry boolean, exit boolean"
+NEVER = 1_000_000
 
 
-def _rolling(x: np.ndarray, n: int, how: str) -> np.ndarray:
-    """Partial at the start, as all counts and extremes of the formulas are."""
-    return getattr(pd.Series(x.astype(float)).rolling(n, min_periods=1), how)().to_numpy()
+def true(c: Column) -> Column:
+    """Unknown counts as not set."""
+    return F.coalesce(c, F.lit(False))
 
 
-def _before(x: np.ndarray, n: int, fill: float = np.nan) -> np.ndarray:
-    out = np.full(len(x), fill, float)
-    if n < len(x):
-        out[n:] = x[:-n]
-    return out
+def crosses(a: str, b: str) -> Column:
+    return true((F.col(a) > F.col(b)) & (F.lag(a).over(by()) <= F.lag(b).over(by())))
+
+
+def since(flag: Column) -> Column:
+    """Bars since the flag was last set, today's included; NEVER before the first time."""
+    i = F.row_number().over(by())
+    return F.coalesce(i - F.max(F.when(flag, F.col("_i"))).over(X.over(["code"], ["d"], None, 0)), F.lit(NEVER))
+
+
+def frame(n: int):
+    """The last n bars, fewer at the start."""
+    return X.over(["code"], ["d"], -(n - 1), 0)
+
+
+def count(flag: Column, n: int) -> Column:
+    return F.sum(flag.cast("int")).over(frame(n))
+
+
+def mean(n: int) -> Column:
+    return X.full_mean("close", ["code"], ["d"], n)
+
+
+def numbered(bars: DataFrame) -> DataFrame:
+    return bars.select("code", "d", "open", "high", "low", "close", "vol", "amount", F.row_number().over(by()).alias("_i"))
 
 
-def crossings(o: np.ndarray, h: np.ndarray, lo: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buy and sell crossings of a weighted price with its mean line, after ten passes that undo weak crossings.
+def turns(bars: DataFrame, passes: int = 10) -> DataFrame:
+    """Numbered bars with buy and sell: crossings of a weighted price with its mean line, weak ones undone.
 
-    A pass moves the price of a falling bar that crosses up to 2 % below the line, and of a holding bar that crosses
-    down to 2 % above it.
+    The line is the mean of those of the 3, 7, 13 and 27-bar means that are known, before them a 5-bar exponential mean.
+    In each pass, the price of a weak bar that crosses up is moved to 2 % below the line, and of a firm bar that crosses
+    down to 2 % above it; crossings of what is left after all passes count.
     """
-    parts = np.vstack([ma(c, n) for n in (3, 7, 13, 27)])
-    known = np.isfinite(parts).sum(axis=0)
-    line = np.where(known > 0, np.nansum(parts, axis=0) / np.maximum(known, 1), ema(c, 5))
-    body, top, bottom = c - o, h - c, c - lo
-    last = _before(c, 1, c[0] if len(c) else 0.0)
-    step = np.where(last != 0, c / np.where(last != 0, last, 1), 1.0)
+    o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    prev = lambda x, first: F.coalesce(F.lag(x).over(by()), first)
+    d = numbered(bars).withColumns({f"_m{n}": mean(n) for n in (3, 7, 13, 27)})
+    known = [F.col(f"_m{n}") for n in (3, 7, 13, 27)]
+    some = sum((k.isNotNull().cast("int") for k in known), F.lit(0))
+    total = sum((F.coalesce(k, F.lit(0.0)) for k in known), F.lit(0.0))
+    early = F.when(F.col("_i") == 1, c).otherwise(F.lag("close").over(by()) * 2 / 3 + c / 3)  # the first two bars only
+    d = d.withColumn("_line", F.when(some > 0, total / some).otherwise(early)).withColumn("_body", c - o).withColumn("_step", F.when(prev("close", c) != 0, c / prev("close", c)).otherwise(1.0))
+    body, upper, lower, step = F.col("_body"), h - c, c - lo, F.col("_step")
     # The limits of the day's step that belong to each shape of bar.
-    weak = [body < 0, (body > 0) & (c < _before(h, 1, c[0] if len(c) else 0.0)), (body >= 0) & (top >= body) & (step < 1.02), (body == 0) & (top >= bottom) & (step < 1.05)]
-    firm = [(body > 0) & (step > 0.94), (body < 0) & (c > _before(lo, 1, lo[0] if len(lo) else 0.0)), (body <= 0) & (bottom >= -body) & (step > 0.98), (body == 0) & (bottom >= top) & (step > 0.95)]
-    weak, firm = np.any(weak, axis=0), np.any(firm, axis=0)
-    x = (h + lo + 2 * o + 6 * c) / 10
-    for _ in range(10):
-        up, down = cross(x, line) & weak, cross(line, x) & firm
-        x = np.where(up, line * 0.98, np.where(down, line * 1.02, x))
-    return cross(x, line), cross(line, x)
+    weak = (body < 0) | ((body > 0) & (c < prev("high", c))) | ((body >= 0) & (upper >= body) & (step < 1.02)) | ((body == 0) & (upper >= lower) & (step < 1.05))
+    firm = ((body > 0) & (step > 0.94)) | ((body < 0) & (c > prev("low", lo))) | ((body <= 0) & (lower >= -body) & (step > 0.98)) | ((body == 0) & (lower >= upper) & (step > 0.95))
+    d = d.withColumn("_weak", weak).withColumn("_firm", firm).withColumn("_x", (h + lo + 2 * o + 6 * c) / 10)
+    for _ in range(passes):
+        moved = F.when(crosses("_x", "_line") & F.col("_weak"), F.col("_line") * 0.98).when(crosses("_line", "_x") & F.col("_firm"), F.col("_line") * 1.02)
+        d = d.withColumn("_x", moved.otherwise(F.col("_x")))
+    return d.withColumn("buy", crosses("_x", "_line")).withColumn("sell", crosses("_line", "_x")).select("code", "d", "_i", "open", "high", "low", "close", "buy", "sell")
 
 
-def raw_crossing(p: dict) -> tuple[np.ndarray, np.ndarray]:
-    return crossings(p["open"], p["high"], p["low"], p["close"])
+def raw_crossing(bars: DataFrame) -> DataFrame:
+    return turns(bars).select("code", "d", F.col("buy").alias("entry"), F.col("sell").alias("exit"))
 
 
-def pullback_confirm(p: dict) -> tuple[np.ndarray, np.ndarray]:
+def pullback_confirm(bars: DataFrame) -> DataFrame:
     """Entry on a pullback in an up trend whose earlier crossings mostly came back fast; exit on a sell crossing."""
-    c = p["close"]
-    buy, sell = crossings(p["open"], p["high"], p["low"], c)
-    ls, lb = bars_last(sell), bars_last(buy)
-    short = ls < lb
-    fast, total = _rolling(buy & (ls > 0) & (ls <= 3), 90, "sum"), _rolling(buy & (ls > 0), 90, "sum")
-    hist = (total >= 1) & (fast >= 1) & (fast * 100 / np.maximum(total, 1) >= 40)
-    calm = np.array([_longest(short[max(0, i - 44) : i + 1]) <= 8 for i in range(len(c))], bool) & (_rolling(short, 45, "mean") <= 0.6)
-    quality = (_rolling(np.where(buy, ls, 0), 90, "max") <= 20) & (_rolling(buy & (ls > 10), 90, "sum") <= 2)
-    m20, m60, m90 = ma(c, 20), ma(c, 60), ma(c, 90)
-    with np.errstate(invalid="ignore"):
-        up = (m20 > m60) & (m60 > m90) & (m60 > _before(m60, 20)) & (m90 > _before(m90, 20)) & (c > m90) & (c > 0.97 * m60)
-        pull = c / _rolling(p["high"], 20, "max")
-    return short & (ls <= 3) & hist & calm & quality & up & (pull >= 0.78) & (pull <= 0.995), sell
+    c = F.col("close")
+    d = turns(bars).withColumn("_sold", since(F.col("sell"))).withColumn("_bought", since(F.col("buy"))).withColumn("_down", F.col("_sold") < F.col("_bought"))
+    d = X.run_length(d, ["code"], ["d"], F.col("_down"), "_fall").withColumns({f"_m{n}": mean(n) for n in (20, 60, 90)})
+    back = F.col("buy") & (F.col("_sold") > 0)
+    fast, total = count(back & (F.col("_sold") <= 3), 90), count(back, 90)
+    history = (fast >= 1) & (fast * 100 >= total * 40)
+    calm = (F.max("_fall").over(frame(45)) <= 8) & (count(F.col("_down"), 45) / 45 <= 0.6)  # a run counts from where it began
+    steady = (F.max(F.when(F.col("buy"), F.col("_sold")).otherwise(0)).over(frame(90)) <= 20) & (count(F.col("buy") & (F.col("_sold") > 10), 90) <= 2)
+    order = (F.col("_m20") > F.col("_m60")) & (F.col("_m60") > F.col("_m90")) & (c > F.col("_m90")) & (c > 0.97 * F.col("_m60"))
+    rising = (F.col("_m60") > F.lag("_m60", 20).over(by())) & (F.col("_m90") > F.lag("_m90", 20).over(by()))
+    depth = c / F.max("high").over(frame(20))
+    entry = F.col("_down") & (F.col("_sold") <= 3) & history & calm & steady & order & rising & depth.between(0.78, 0.995)
+    return d.select("code", "d", true(entry).alias("entry"), F.col("sell").alias("exit"))
+
+
+def average_base(bars: DataFrame) -> DataFrame:
+    """Entry soon after the close crosses its 145-bar mean out of a long base and stays above; exit below that mean."""
+    c = F.col("close")
+    d = numbered(bars).withColumns({f"_m{n}": mean(n) for n in (5, 90, 145)})
+    d = d.withColumn("_up", crosses("close", "_m145")).withColumn("_met", crosses("_m90", "_m145") | crosses("_m145", "_m90")).withColumn("_rose", true(F.col("_m5") > F.lag("_m5").over(by())))
+    above, below = true(c > F.col("_m145")), true(c < F.col("_m145"))
+    d = d.withColumn("_since", since(F.col("_up")))
+    base = (since(true(F.col("_m5") >= F.col("_m90"))) >= 45) & (F.col("_m5") < F.col("_m90")) & (count(F.col("_rose"), 10) >= 7)
+    left = (F.col("_since") <= 10) & above & (since(below) > F.col("_since")) & (count(above, 45) == F.col("_since") + 1)
+    near = (c <= 1.06 * F.greatest("_m90", "_m145")) & (c <= 1.10 * F.col("_m145")) & (count(F.col("_met"), 45) == 0)
+    return d.select("code", "d", true(base & left & near).alias("entry"), below.alias("exit"))
 
 
-def _longest(flags: np.ndarray) -> int:
-    best = run = 0
-    for f in flags:
-        run = run + 1 if f else 0
-        best = max(best, run)
-    return best
+def _rolling(x: np.ndarray, n: int, how: str) -> np.ndarray:
+    """Partial at the start, as all counts and extremes of the formulas are."""
+    return getattr(pd.Series(x.astype(float)).rolling(n, min_periods=1), how)().to_numpy()
 
 
-def average_base(p: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Entry soon after the close crosses its 145-day mean out of a long base and stays above; exit below that mean."""
-    c = p["close"]
-    m5, m90, m145 = ma(c, 5), ma(c, 90), ma(c, 145)
-    with np.errstate(invalid="ignore"):
-        base = (bars_last(m5 >= m90) >= 45) & (m5 < m90)
-        rising = _rolling(np.concatenate([[False], m5[1:] > m5[:-1]]) if len(c) else np.zeros(0, bool), 10, "sum") >= 7
-        hit = cross(c, m145)
-        since = bars_last(hit)
-        above, below = c > m145, c < m145
-        recent = (_rolling(hit, 11, "sum") >= 1) & (since <= 10) & above
-        stayed = bars_last(below) > since
-        count = _rolling(above, 45, "sum") == since + 1
-        close_by = (c <= 1.06 * np.maximum(m90, m145)) & (c <= 1.10 * m145)
-        apart = _rolling(cross(m90, m145) | cross(m145, m90), 45, "sum") == 0
-    return base & rising & recent & stayed & count & close_by & apart, below
+def _before(x: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(len(x), np.nan)
+    if n < len(x):
+        out[n:] = x[:-n]
+    return out
 
 
 def volume_base(p: dict, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -121,20 +150,24 @@ def volume_base(p: dict, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
         return (cooldown(first, gap) if gap else first), c < m20
 
 
-FORMULAS = {"raw_crossing": raw_crossing, "pullback_confirm": pullback_confirm, "average_base": average_base, "volume_base": volume_base}
-
-
-def signals(bars: DataFrame, formula: str) -> DataFrame:
-    """(code, d, entry, exit) of a formula by name. A code's history is bounded by years of trading days."""
-    f = FORMULAS[formula]
+def volume_base_signals(bars: DataFrame) -> DataFrame:
+    """volume_base of each code; a code's history is bounded by years of trading days."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d")
-        entry, leave = f({k: pdf[k].to_numpy(float) for k in ("open", "high", "low", "close", "vol", "amount")})
+        entry, leave = volume_base({k: pdf[k].to_numpy(float) for k in ("high", "low", "close", "vol", "amount")})
         return pd.DataFrame({"code": pdf["code"].to_numpy(), "d": pdf["d"].to_numpy(), "entry": entry.astype(bool), "exit": leave.astype(bool)})
 
     code = bars.schema["code"].dataType.simpleString()
-    return bars.select("code", "d", "open", "high", "low", "close", "vol", "amount").groupBy("code").applyInPandas(run, SIGNALS.format(code=code))
+    return bars.select("code", "d", "high", "low", "close", "vol", "amount").groupBy("code").applyInPandas(run, SIGNALS.format(code=code))
+
+
+FORMULAS = {"raw_crossing": raw_crossing, "pullback_confirm": pullback_confirm, "average_base": average_base, "volume_base": volume_base_signals}
+
+
+def signals(bars: DataFrame, formula: str) -> DataFrame:
+    """(code, d, entry, exit) of a formula by name."""
+    return FORMULAS[formula](bars)
 
 
 def overlaps(entries: dict[str, DataFrame]) -> DataFrame:

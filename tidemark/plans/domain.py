@@ -23,17 +23,38 @@ def query(sql: str | None):
     return put
 
 
-@query(None)
+_MEAN = lambda n, x="close": f"CASE WHEN count({x}) OVER (PARTITION BY code ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN avg({x}) OVER (PARTITION BY code ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
+_SUM = lambda x, n: f"sum(({x})::INT) OVER (PARTITION BY code ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+_CROSS = lambda a, b: f"coalesce({a} > {b} AND lag({a}) OVER o <= lag({b}) OVER o, false)"
+_SINCE = lambda x: f"coalesce(i - max(CASE WHEN {x} THEN i END) OVER (PARTITION BY code ORDER BY d ROWS UNBOUNDED PRECEDING), 1000000)"
+_ORDER = "WINDOW o AS (PARTITION BY code ORDER BY d)"
+_TURNS = f"""WITH {LINE_BARS_SQL}, n AS (SELECT *, row_number() OVER o AS i, {", ".join(f"{_MEAN(k)} AS m{k}" for k in (3, 7, 13, 27))}, lag(close) OVER o AS pc, lag(high) OVER o AS ph, lag(low) OVER o AS pl FROM bars {_ORDER}),
+l AS (SELECT *, CASE WHEN m3 IS NOT NULL THEN (m3 + coalesce(m7, 0) + coalesce(m13, 0) + coalesce(m27, 0)) / (1 + (m7 IS NOT NULL)::INT + (m13 IS NOT NULL)::INT + (m27 IS NOT NULL)::INT) WHEN i = 1 THEN close ELSE pc * 2 / 3 + close / 3 END AS line, close - open AS body, CASE WHEN coalesce(pc, close) <> 0 THEN close / coalesce(pc, close) ELSE 1 END AS step FROM n),
+x0 AS (SELECT code, d, i, high, close, line, (high + low + 2 * open + 6 * close) / 10 AS x, body < 0 OR (body > 0 AND close < coalesce(ph, close)) OR (body >= 0 AND high - close >= body AND step < 1.02) OR (body = 0 AND high - close >= close - low AND step < 1.05) AS weak,
+ (body > 0 AND step > 0.94) OR (body < 0 AND close > coalesce(pl, low)) OR (body <= 0 AND close - low >= -body AND step > 0.98) OR (body = 0 AND close - low >= high - close AND step > 0.95) AS firm FROM l),
+""" + ",\n".join(f"x{k + 1} AS (SELECT * REPLACE (CASE WHEN {_CROSS('x', 'line')} AND weak THEN line * 0.98 WHEN {_CROSS('line', 'x')} AND firm THEN line * 1.02 ELSE x END AS x) FROM x{k} {_ORDER})" for k in range(10)) + f""",
+turns AS (SELECT code, d, i, high, close, {_CROSS("x", "line")} AS buy, {_CROSS("line", "x")} AS sell FROM x10 {_ORDER})"""
+
+
+@query(f"{_TURNS} SELECT code, d, buy AS entry, sell AS exit FROM turns")
 def formula_raw_crossing(spark, sf):
     return M.signals(line_bars(spark, sf), "raw_crossing")
 
 
-@query(None)
+@query(f"""{_TURNS}, s AS (SELECT *, {_SINCE("sell")} AS sold, {_SINCE("buy")} AS bought, {_MEAN(20)} AS a20, {_MEAN(60)} AS a60, {_MEAN(90)} AS a90, max(high) OVER (PARTITION BY code ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS top FROM turns),
+r AS (SELECT *, sum(CASE WHEN sold < bought THEN 0 ELSE 1 END) OVER (PARTITION BY code ORDER BY d ROWS UNBOUNDED PRECEDING) AS grp, lag(a60, 20) OVER o AS b60, lag(a90, 20) OVER o AS b90 FROM s {_ORDER}),
+q AS (SELECT *, CASE WHEN sold < bought THEN row_number() OVER (PARTITION BY code, grp, sold < bought ORDER BY d) ELSE 0 END AS run FROM r),
+w AS (SELECT *, {_SUM("buy AND sold > 0 AND sold <= 3", 90)} AS fast, {_SUM("buy AND sold > 0", 90)} AS total, {_SUM("sold < bought", 45)} AS downs, {_SUM("buy AND sold > 10", 90)} AS slow, max(run) OVER (PARTITION BY code ORDER BY d ROWS BETWEEN 44 PRECEDING AND CURRENT ROW) AS longest,
+ max(CASE WHEN buy THEN sold ELSE 0 END) OVER (PARTITION BY code ORDER BY d ROWS BETWEEN 89 PRECEDING AND CURRENT ROW) AS latest FROM q)
+SELECT code, d, coalesce(sold < bought AND sold <= 3 AND fast >= 1 AND fast * 100 >= total * 40 AND longest <= 8 AND downs / 45 <= 0.6 AND latest <= 20 AND slow <= 2 AND a20 > a60 AND a60 > a90 AND close > a90 AND close > 0.97 * a60 AND a60 > b60 AND a90 > b90 AND close / top BETWEEN 0.78 AND 0.995, false) AS entry, sell AS exit FROM w""")
 def formula_pullback_confirm(spark, sf):
     return M.signals(line_bars(spark, sf), "pullback_confirm")
 
 
-@query(None)
+@query(f"""WITH {LINE_BARS_SQL}, n AS (SELECT code, d, close, row_number() OVER o AS i, {", ".join(f"{_MEAN(k)} AS m{k}" for k in (5, 90, 145))} FROM bars {_ORDER}),
+c AS (SELECT *, {_CROSS("close", "m145")} AS up, {_CROSS("m90", "m145")} OR {_CROSS("m145", "m90")} AS met, coalesce(m5 > lag(m5) OVER o, false) AS rose, coalesce(close > m145, false) AS above, coalesce(close < m145, false) AS below, coalesce(m5 >= m90, false) AS high5 FROM n {_ORDER}),
+s AS (SELECT *, {_SINCE("up")} AS since_up, {_SINCE("below")} AS since_below, {_SINCE("high5")} AS since5, {_SUM("rose", 10)} AS roses, {_SUM("above", 45)} AS aboves, {_SUM("met", 45)} AS mets FROM c)
+SELECT code, d, coalesce(since5 >= 45 AND m5 < m90 AND roses >= 7 AND since_up <= 10 AND above AND since_below > since_up AND aboves = since_up + 1 AND close <= 1.06 * greatest(m90, m145) AND close <= 1.1 * m145 AND mets = 0, false) AS entry, below AS exit FROM s""")
 def formula_average_base(spark, sf):
     return M.signals(line_bars(spark, sf), "average_base")
 
@@ -43,10 +64,12 @@ def formula_volume_base(spark, sf):
     return M.signals(line_bars(spark, sf), "volume_base")
 
 
-@query(None)
+@query(f"""{_TURNS}, late AS (SELECT code, d, {_MEAN(145)} AS m, close FROM bars), e AS (SELECT code, d, 'raw_crossing' AS f FROM turns WHERE buy UNION ALL SELECT code, d, 'raw_exit' FROM turns WHERE sell UNION ALL SELECT code, d, 'exit_of_average' FROM late WHERE close < m)
+SELECT x.f AS a, y.f AS b, count(*) AS shared FROM e x JOIN e y ON x.code = y.code AND x.d = y.d AND x.f < y.f GROUP BY 1, 2""")
 def formula_overlaps(spark, sf):
     b = line_bars(spark, sf)
-    return M.overlaps({"raw_crossing": M.signals(b, "raw_crossing"), "volume_base": M.signals(b, "volume_base")})
+    exits = M.signals(b, "raw_crossing").select("code", "d", F.col("exit").alias("entry"))
+    return M.overlaps({"raw_crossing": M.signals(b, "raw_crossing"), "exit_of_average": M.signals(b, "average_base").select("code", "d", F.col("exit").alias("entry")), "raw_exit": exits})
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'code:' || c_custkey ELSE 'name:' || lower(trim(c_name)) END AS holder_key, CASE WHEN c_custkey % 3 = 0 THEN 'institution' WHEN c_custkey % 5 = 1 THEN CASE WHEN c_acctbal > 0 THEN 'institution' ELSE 'person' END WHEN c_mktsegment = 'BUILDING' THEN 'person' ELSE 'institution' END AS kind,
