@@ -150,6 +150,46 @@ def test_episode_machine(spark):
     assert e[0].cost == 6 and e[0].realized == 15 * 2 + 5 * 3 and e[0].ret == pytest.approx(45 / 120)
 
 
+def test_episodes_equal_a_walk_move_by_move(spark):
+    import random
+
+    rng = random.Random(4)
+    moves = [(rng.randint(0, 5), rng.randint(0, 3), D(rng.randint(0, 40)), k, rng.choice(["new", "add", "trim", "hold", "exit"]), rng.choice([None, 1.0, 5.0, 8.0, 20.0]), rng.choice([None, float("nan"), 2.0, 3.5, 7.0])) for k in range(600)]
+    want = []
+    for key in sorted({m[:2] for m in moves}):
+        at = None  # opened, seeded, shares, peak, cost, realized
+
+        def end(status, day, key=key):
+            o, seeded, _, peak, cost, got = at
+            want.append((*key, o, day, status, seeded, peak, round(cost, 6), round(got, 6), round(got / (cost * peak), 6) if cost * peak > 0 else None))
+
+        for _, _, d, _, kind, n, px in sorted((m for m in moves if m[:2] == key), key=lambda m: (m[2], m[3])):
+            known = px is not None and px == px
+            if kind == "exit":
+                if at:
+                    at[5] += at[2] * (px - at[4]) if known else 0
+                    end("closed" if known else "unpriced_close", d)
+                at = None
+            elif known and n is not None:
+                if at and kind == "new":
+                    at[5] += at[2] * (px - at[4])
+                    end("superseded", d)
+                    at = None
+                if at is None:
+                    at = [d, kind != "new", n, n, px, 0.0]
+                elif kind != "hold":
+                    if n > at[2]:
+                        at[4] = (at[4] * at[2] + (n - at[2]) * px) / n
+                    else:
+                        at[5] += (at[2] - n) * (px - at[4])
+                    at[2], at[3] = n, max(at[3], n)
+        if at:
+            end("holding", None)
+    got = S.episodes(spark.createDataFrame(moves, "holder long, stock long, d date, seq long, kind string, shares double, price double")).collect()
+    r6 = lambda v: None if v is None else round(v, 6)
+    assert sorted(map(str, ((r.holder, r.stock, r.opened, r.closed, r.status, r.seeded, r.peak_shares, r6(r.cost), r6(r.realized), r6(r.ret)) for r in got))) == sorted(map(str, want))
+
+
 def test_rally_scan_goes_on_past_the_peak(spark):
     px = [9, 8, 5, 6, 7, 9, 8, 7, 6, 7, 8, 9]
     got = S.rally_scan(flat(spark, px), side=2, ahead=5, gain=0.5, least=2).collect()

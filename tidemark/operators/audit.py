@@ -31,8 +31,8 @@ def reject_codes(df: DataFrame, rules: list[tuple[str, Column]], grain: list[str
 
 
 def batch_verdict(checked: DataFrame, batch: list[str], least: int) -> DataFrame:
-    """By batch: rows, rejected rows, the most frequent code, and ACCEPTED or the reason against it."""
-    g = checked.groupBy(*batch).agg(F.count(F.lit(1)).alias("rows"), F.count("reject_code").alias("rejected"), F.min("reject_code").alias("first_code"))
+    """By batch: rows, rejected rows, the most frequent code (of ties the first by name), and ACCEPTED or the reason against it."""
+    g = checked.groupBy(*batch).agg(F.count(F.lit(1)).alias("rows"), F.count("reject_code").alias("rejected"), F.mode("reject_code", True).alias("first_code"))
     return g.withColumn("verdict", F.when(F.col("rejected") > 0, F.col("first_code")).when(F.col("rows") < least, "BELOW_MIN_ROWS").otherwise("ACCEPTED"))
 
 

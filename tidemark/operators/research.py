@@ -53,7 +53,8 @@ def pair_stats(signals: DataFrame, base: DataFrame, hold: int) -> DataFrame:
     d = s.join(b, "code").withColumn("n_eff_base", F.floor((F.col("n_days") - 1) / (hold + 1)) + 1)
     pair = F.when((F.col("n_eff_sig") > 0) & (F.col("n_eff_base") > 0), 1 / (1 / F.col("n_eff_sig") + 1 / F.col("n_eff_base"))).otherwise(0.0)
     d = d.withColumn("wr", F.col("wins") / F.col("n_sig")).withColumn("n_pair", pair)
-    lo, hi = wilson(F.col("wins").cast("double"), F.col("n_sig").cast("double"))
+    size = F.col("n_eff_sig").cast("double")  # the bounds must not gain from overlapping signals
+    lo, hi = wilson(F.col("wr") * size, size)
     half = Z * F.sqrt(F.col("wr") * (1 - F.col("wr")) / F.col("n_eff_sig") + F.col("base_wr") * (1 - F.col("base_wr")) / F.col("n_eff_base"))
     tier = F.when(F.col("n_pair") < 10, "too_few").when(F.col("n_pair") < 30, "low").when(F.col("n_pair") < 200, "fair").otherwise("good")
     return d.withColumn("excess", F.col("wr") - F.col("base_wr")).withColumn("wilson_lo", lo).withColumn("wilson_hi", hi).withColumn("half_width", half).withColumn("tier", tier)
@@ -101,55 +102,50 @@ def pivot_lows(bars: DataFrame, side: int, ahead: int) -> DataFrame:
     return d.withColumn("peak", F.max("high").over(after)).withColumn("complete", F.count(F.lit(1)).over(after) == ahead).filter("pivot").drop("pivot")
 
 
-EPISODE = "holder {h}, stock {s}, opened date, closed date, status string, seeded boolean, peak_shares double, cost double, realized double, ret double"
+_EPISODE = "array<struct<opened:date,closed:date,status:string,seeded:boolean,peak_shares:double,cost:double,realized:double>>"
+
+
+def _walk() -> str:
+    """The fold of a pair's moves, in order: s holds the open episode and the ended ones, m is the next move."""
+    state = ("open", "opened", "seeded", "shares", "peak", "cost", "realized", "done")
+
+    def to(**new: str) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {new.get(k, f's.{k}')}" for k in state) + ")"
+
+    def ended(status: str, day: str, realized: str) -> str:
+        return f"array_append(s.done, named_struct('opened', s.opened, 'closed', {day}, 'status', {status}, 'seeded', s.seeded, 'peak_shares', s.peak, 'cost', s.cost, 'realized', {realized}))"
+
+    known, last_leg = "(m.price IS NOT NULL AND NOT isnan(m.price))", "s.realized + s.shares * (m.price - s.cost)"
+    fresh = {"open": "true", "opened": "m.d", "seeded": "m.kind <> 'new'", "shares": "m.shares", "peak": "m.shares", "cost": "m.price", "realized": "0D"}
+    none = "0D"
+    steps = (
+        ("m.kind = 'exit' AND NOT s.open", "s"),
+        (f"m.kind = 'exit' AND {known}", to(open="false", done=ended("'closed'", "m.d", last_leg))),
+        ("m.kind = 'exit'", to(open="false", done=ended("'unpriced_close'", "m.d", "s.realized"))),
+        (f"NOT {known} OR m.shares IS NULL OR isnan(m.shares)", "s"),
+        ("NOT s.open", to(**fresh)),
+        ("m.kind = 'new'", to(**fresh, done=ended("'superseded'", "m.d", last_leg))),
+        ("m.kind = 'hold'", "s"),
+        ("m.shares > s.shares", to(shares="m.shares", peak="greatest(s.peak, m.shares)", cost="(s.cost * s.shares + (m.shares - s.shares) * m.price) / m.shares")),
+    )
+    trim = to(shares="m.shares", realized="s.realized + (s.shares - m.shares) * (m.price - s.cost)")
+    start = f"named_struct('open', false, 'opened', CAST(NULL AS date), 'seeded', false, 'shares', {none}, 'peak', {none}, 'cost', {none}, 'realized', {none}, 'done', CAST(array() AS {_EPISODE}))"
+    left = ended("'holding'", "CAST(NULL AS date)", "s.realized")
+    return f"aggregate(moves, {start}, (s, m) -> CASE {' '.join(f'WHEN {c} THEN {v}' for c, v in steps)} ELSE {trim} END, s -> CASE WHEN s.open THEN {left} ELSE s.done END)"
 
 
 def episodes(moves: DataFrame) -> DataFrame:
     """Holding episodes of each (holder, stock) from dated moves (holder, stock, d, seq, kind, shares, price).
 
     kind: new, add, trim, hold or exit. An exit closes at its price, or stays unpriced without one; other moves without
-    a price are skipped. A new position over an open one supersedes it; add, trim or hold without one seeds it. The
-    moves of one pair are walked in order (their number is bounded by reports).
+    a price are skipped. A new position over an open one supersedes it, and the old one's shares are realised at that
+    price; hold leaves an open position as it is; add, trim or hold without one seeds it. The moves of one pair are
+    folded in order, in the JVM (their number is bounded by reports).
     """
-    h, s = moves.schema["holder"].dataType.simpleString(), moves.schema["stock"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d", "seq"])
-        out, op = [], None
-
-        def close(status: str, day) -> None:
-            nonlocal op
-            base = op["cost"] * op["peak"]
-            out.append((pdf["holder"].iloc[0], pdf["stock"].iloc[0], op["opened"], day, status, op["seeded"], op["peak"], op["cost"], op["realized"], op["realized"] / base if base > 0 else None))
-            op = None
-
-        for d, kind, shares, px in zip(pdf["d"], pdf["kind"], pdf["shares"], pdf["price"], strict=True):
-            known = px is not None and not np.isnan(px)
-            if kind == "exit":
-                if op is not None:
-                    if known:
-                        op["realized"] += op["shares"] * (px - op["cost"])
-                    close("closed" if known else "unpriced_close", d)
-                continue
-            if not known or shares is None or np.isnan(shares):
-                continue
-            if kind == "new" or op is None:
-                if op is not None:
-                    close("superseded", d)
-                op = {"opened": d, "seeded": kind != "new", "shares": float(shares), "peak": float(shares), "cost": float(px), "realized": 0.0}
-                continue
-            delta = float(shares) - op["shares"]
-            if delta > 0 and shares > 0:
-                op["cost"] = (op["cost"] * op["shares"] + delta * px) / shares
-            elif delta < 0:
-                op["realized"] += -delta * (px - op["cost"])
-            op["shares"] = float(shares)
-            op["peak"] = max(op["peak"], op["shares"])
-        if op is not None:
-            close("holding", None)
-        return pd.DataFrame(out, columns=["holder", "stock", "opened", "closed", "status", "seeded", "peak_shares", "cost", "realized", "ret"])
-
-    return moves.groupBy("holder", "stock").applyInPandas(run, EPISODE.format(h=h, s=s))
+    one = F.struct("d", "seq", "kind", F.col("shares").cast("double").alias("shares"), F.col("price").cast("double").alias("price"))
+    walked = moves.groupBy("holder", "stock").agg(F.array_sort(F.collect_list(one)).alias("moves")).select("holder", "stock", F.explode(F.expr(_walk())).alias("e"))
+    paid = F.col("e.cost") * F.col("e.peak_shares")
+    return walked.select("holder", "stock", "e.*", F.when(paid > 0, F.col("e.realized") / paid).alias("ret"))
 
 
 def profiles(eps: DataFrame, least: int = 10) -> DataFrame:

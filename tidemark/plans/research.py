@@ -50,7 +50,7 @@ def casebook_baseline_by_day(spark, sf):
 @query(f"""WITH RECURSIVE {LINE_BARS_SQL}, {_OUT}, sig AS (SELECT code, bar, ret FROM out WHERE ret IS NOT NULL AND bar % 7 IN (0, 1)), g AS (SELECT code, min(bar) AS last, 1 AS n FROM sig GROUP BY code UNION ALL SELECT g.code, (SELECT min(s.bar) FROM sig s WHERE s.code = g.code AND s.bar > g.last + 5), g.n + 1 FROM g WHERE EXISTS (SELECT 1 FROM sig s WHERE s.code = g.code AND s.bar > g.last + 5)),
 eff AS (SELECT code, max(n) AS n_eff_sig FROM g GROUP BY code), s AS (SELECT code, count(*) AS n_sig, count(*) FILTER (WHERE ret > 0) AS wins FROM sig GROUP BY code), b AS (SELECT code, count(*) AS n_days, avg((ret > 0)::INT) AS base_wr, floor((count(*) - 1) / 6.0) + 1 AS n_eff_base FROM out WHERE ret IS NOT NULL GROUP BY code),
 x AS (SELECT s.code, n_sig, wins, n_eff_sig, n_eff_base, wins / n_sig AS wr, base_wr, 1 / (1 / n_eff_sig + 1 / n_eff_base) AS n_pair FROM s JOIN b ON b.code = s.code JOIN eff ON eff.code = s.code)
-SELECT code, n_sig, wins, n_eff_sig::BIGINT AS n_eff_sig, n_eff_base::BIGINT AS n_eff_base, round(n_pair + 3e-7, 4) AS n_pair, round(wr - base_wr + 3e-8, 5) + 0.0 AS excess, round((wr + {S.Z * S.Z} / (2 * n_sig)) / (1 + {S.Z * S.Z} / n_sig) - {S.Z} * sqrt(wr * (1 - wr) / n_sig + {S.Z * S.Z} / (4.0 * n_sig * n_sig)) / (1 + {S.Z * S.Z} / n_sig) + 3e-8, 5) + 0.0 AS wilson_lo,
+SELECT code, n_sig, wins, n_eff_sig::BIGINT AS n_eff_sig, n_eff_base::BIGINT AS n_eff_base, round(n_pair + 3e-7, 4) AS n_pair, round(wr - base_wr + 3e-8, 5) + 0.0 AS excess, round((wr + {S.Z * S.Z} / (2 * n_eff_sig)) / (1 + {S.Z * S.Z} / n_eff_sig) - {S.Z} * sqrt(wr * (1 - wr) / n_eff_sig + {S.Z * S.Z} / (4.0 * n_eff_sig * n_eff_sig)) / (1 + {S.Z * S.Z} / n_eff_sig) + 3e-8, 5) + 0.0 AS wilson_lo,
 round({S.Z} * sqrt(wr * (1 - wr) / n_eff_sig + base_wr * (1 - base_wr) / n_eff_base) + 3e-8, 5) AS half_width, CASE WHEN n_pair < 10 THEN 'too_few' WHEN n_pair < 30 THEN 'low' WHEN n_pair < 200 THEN 'fair' ELSE 'good' END AS tier FROM x""")
 def casebook_pair_stats(spark, sf):
     o = S.outcome(line_bars(spark, sf), 5)
@@ -78,11 +78,11 @@ def rally_pivot_lows(spark, sf):
 
 def _moves(spark, sf):
     o = table(spark, sf, "orders").withColumn("d", F.to_date("o_orderdate"))
-    w = W.partitionBy("o_custkey").orderBy("d", "o_orderkey")
+    w = W.partitionBy("o_custkey", F.col("o_orderkey") % 3).orderBy("d", "o_orderkey")
     k = F.row_number().over(w)
     kind = F.when(k % 5 == 0, "exit").when(k % 5 == 1, "new").when(k % 2 == 0, "add").otherwise("trim")
     price = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice") / 1000)
-    return o.select(F.col("o_custkey").alias("holder"), F.lit(1).alias("stock"), "d", F.col("o_orderkey").alias("seq"), kind.alias("kind"), (F.col("o_orderkey") % 50 + 1).cast("double").alias("shares"), price.alias("price"))
+    return o.select(F.col("o_custkey").alias("holder"), (F.col("o_orderkey") % 3).alias("stock"), "d", F.col("o_orderkey").alias("seq"), kind.alias("kind"), (F.col("o_orderkey") % 50 + 1).cast("double").alias("shares"), price.alias("price"))
 
 
 @query(None)

@@ -23,7 +23,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def publish(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None) -> None:
-    """Write next to the table, validate what was written, then swap by rename. A failed check leaves the old data."""
+    """Write next to the table, validate what was written, then swap by rename. A failed check leaves the old data.
+
+    Between the two renames there is no table at path for a moment, so readers must be ready to try again. If the second
+    rename fails, the old data go back to where they were.
+    """
     spark = df.sparkSession
     fs, P = _fs(spark, path)
     nxt, old = f"{path}__next_{uuid.uuid4().hex}", f"{path}__old_{uuid.uuid4().hex}"
@@ -35,9 +39,13 @@ def publish(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None
         fs.delete(P(nxt), True)
         raise
     had = fs.exists(P(path))
-    if had:
-        fs.rename(P(path), P(old))
-    fs.rename(P(nxt), P(path))
+    if had and not fs.rename(P(path), P(old)):
+        fs.delete(P(nxt), True)
+        raise OSError(f"{path} cannot be renamed")
+    if not fs.rename(P(nxt), P(path)):
+        if had and not fs.rename(P(old), P(path)):
+            raise OSError(f"{path} cannot be put back; its data are in {old}, the new ones in {nxt}")
+        raise OSError(f"{nxt} cannot be renamed to {path}")
     if had:
         fs.delete(P(old), True)
 
