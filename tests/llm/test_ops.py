@@ -605,3 +605,17 @@ def test_pipeline_stages_take_effect(spark, duck):
     bad = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({queries.ORACLE_SQL['op10_decontaminate']}) WHERE contaminated").fetchall()}
     assert free == {r.doc_id for r in d.collect()} - bad
     assert P.mix_sources(spark, d, SF).count() == d.count()
+
+
+def test_whole_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    copies = "These ten words stand here more than once in it all. " * 3
+    rows = [*ODD, (20, copies), (21, copies), (30, "clean words of a text that nobody else has written so far"), (31, "a passage of benchmark words that must not be learned from at all")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "passage of benchmark words that must not be learned from"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(20, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = P.run(spark, str(tmp_path)).collect()
+    # without toxic labels to learn from all scores are low; copies and the benchmark passage go, the rest stays
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 20, 30] and sum(r.doc_id is None for r in got) == 1
+    assert len({(r.mix_slot, r.mix_pos) for r in got}) == len(got)

@@ -281,7 +281,7 @@ def window_starts(n: int, stride: int = STRIDE) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Train on texts with labels 0 and 1. Deterministic."""
+    """Train on texts with labels 0 and 1. Deterministic. Without texts of both labels all get the score of the one there is."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     tok = Words()
@@ -320,7 +320,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         share[y == label] = (y == label).sum() / used * len(ok) / max(1, len(y))
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.net.p.items()}
     steps, size = 0, 24
-    for epoch in range(EPOCHS if len(ok) and 0 < y[ok].sum() < len(ok) else 0):
+    both = bool(len(ok)) and 0 < y[ok].sum() < len(ok)
+    if not both:  # nothing to tell apart: every text gets the label there is, and 0 if there is none
+        model.net.p["w"][:] = 0
+        model.net.p["c"][:] = 20 if len(ok) and y[ok].all() else -20
+    for epoch in range(EPOCHS if both else 0):
         order = rng.permutation(ok)
         order = order[np.argsort([len(made[k][3]) >= WINDOW for k in order], kind="stable")]  # short texts apart
         batches, n = [], 0
