@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import audit as A
 from tidemark.operators import calendar as C
 from tidemark.operators import flow as L
+from tidemark.operators import ladder as R2
 from tidemark.operators import price as P
 from tidemark.operators import relational as R
 from tidemark.operators import research as S
@@ -263,3 +264,25 @@ def test_streaming_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tumbling").agg(F.sum("n")).first()[0] == src.filter("ts IS NOT NULL").count()
+
+
+def test_limit_days_tell_no_source_from_no_limits(spark):
+    x = spark.createDataFrame([(1, D(0), "U", 1, "92500"), (2, D(0), "U", 2, "100000"), (3, D(0), "Z", None, None), (1, D(1), "U", 2, "93059"), (2, D(1), "U", None, "93100"), (3, D(3), "D", None, None), (1, D(4), "U", 3, None)], "code long, d date, kind string, times int, first_time string")
+    got = rows(R2.limit_days(spark.createDataFrame([(D(i),) for i in range(5)], "d date"), x).select("d", "up", "highest", "early", "promotion", "broken_rate", "ladder"), "d")
+    assert [r[1:] for r in got] == [(2, 2, 1, None, 1 / 3, '{"1":1,"2":1}'), (2, 2, 1, 0.5, 0.0, '{"2":1}'), (None,) * 6, (0, 0, 0, 0.0, None, "{}"), (1, 3, 0, None, 0.0, '{"3":1}')]
+
+
+def test_held_trades_wait_for_a_bar_that_trades(spark):
+    b = bars(spark, [(1, i, c, c, c, c, v, c * v) for i, (c, v) in enumerate([(10, 1), (11, 1), (12, 0), (12, 1), (10.8, 1), (10, 0), (10.5, 1)])])
+    got = rows(R2.held_trades(b.select("code", "d"), b, F.lit(0.1), 1, 2).select("d", "status", "bought", "sold", F.round("ret", 6)), "d")
+    # day 1 closes at its upper limit, day 4 at its lower one, days 2 and 5 have no volume
+    late = ("closed", D(3), D(6), round(10.5 / 12 - 1, 6))
+    assert got[:3] == [(D(k), *late) for k in range(3)] and got[3] == (D(3), "closed", D(4), D(6), round(10.5 / 10.8 - 1, 6))
+    assert [(r[1], r[2]) for r in got[-2:]] == [("open", D(6)), ("unfilled", None)]
+
+
+def test_spaced_and_funnel(spark):
+    assert spark.createDataFrame([([9, 1, 3, 5, 6],), ([],)], "p array<long>").select(R2.spaced(F.col("p"), 4)).collect()[0][0] == [1, 5, 9]
+    d = spark.createDataFrame([(1, None), (2, True), (3, False)], "x int, y boolean")
+    assert rows(R2.funnel(d, [("big", F.col("x") > 1), ("y", F.col("y"))]), "step") == [(0, "all", 3), (1, "big", 2), (2, "y", 1)]
+    assert rows(R2.funnel(d.limit(0), [("y", F.col("y"))]), "step") == [(0, "all", 0), (1, "y", 0)]
