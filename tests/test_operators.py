@@ -286,3 +286,25 @@ def test_spaced_and_funnel(spark):
     d = spark.createDataFrame([(1, None), (2, True), (3, False)], "x int, y boolean")
     assert rows(R2.funnel(d, [("big", F.col("x") > 1), ("y", F.col("y"))]), "step") == [(0, "all", 3), (1, "big", 2), (2, "y", 1)]
     assert rows(R2.funnel(d.limit(0), [("y", F.col("y"))]), "step") == [(0, "all", 0), (1, "y", 0)]
+
+
+def test_ext_days_and_blocks(spark, tmp_path):
+    a = np.zeros(2, binary.EXT_DAY)
+    a["date"], a["close"], a["vol"], a["settle"], a["amount"] = [20240102, 20241399], [1.5, 1], [7, 1], [1.25, 1], [np.float32(2.5).view("<u4"), 1]
+    (tmp_path / "28#CU.day").write_bytes(a.tobytes() + b"torn")
+    r = binary.read_ext_day(spark, str(tmp_path)).collect()
+    assert [(x.code, x.ts, x.close, x.vol, x.settle, x.amount_float) for x in r] == [("28#CU", dt.datetime(2024, 1, 2), 1.5, 7.0, 1.25, 2.5)]
+    b = np.zeros(2, binary.BLOCK)
+    b[0]["name"], b[0]["n"], b[0]["kind"] = "银行".encode("gbk"), 2, 2
+    b[0]["codes"][0], b[0]["codes"][1] = b"600000", b"000001"
+    (tmp_path / "block_gn.dat").write_bytes(bytes(384) + (3).to_bytes(2, "little") + b.tobytes())
+    (tmp_path / "block_no.dat").write_bytes(b"")
+    assert rows(binary.read_blocks(spark, str(tmp_path)), "seq") == [("block_gn", "银行", 2, 0, "600000"), ("block_gn", "银行", 2, 1, "000001")]
+
+
+def test_special_prefix(spark):
+    n = spark.createDataFrame([(D(0), 1, "*ST a"), (D(0), 2, "SST b"), (D(0), 3, "BEST"), (D(0), 4, None)], "d date, code int, name string")
+    f = spark.createDataFrame([(D(0), 3, True), (D(1), 1, True)], "d date, code int, flag boolean")
+    need = spark.createDataFrame([(D(0), 1), (D(1), 1), (D(2), 1)], "d date, code int")
+    assert rows(R2.special_members(need, n, f), "d", "code") == [(D(0), 1, "names"), (D(0), 2, "names"), (D(1), 1, "flags")]
+    assert rows(R2.special_paths(need, n, f), "d") == [(D(0), "names", 1), (D(1), "flags", 0), (D(2), None, 1)]

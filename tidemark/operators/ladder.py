@@ -130,3 +130,32 @@ def count_updates(held: DataFrame, events: DataFrame, keys: list[str], column: s
     """Rows of held whose column is not the number of their events: keys, held value and counted one; no events are NULL."""
     n = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("counted"))
     return held.select(*keys, F.col(column).alias("held")).join(n, keys, "left").filter(~F.col("held").eqNullSafe(F.col("counted")))
+
+
+def special_paths(required: DataFrame, names: DataFrame, flags: DataFrame) -> DataFrame:
+    """(d, path, missing): how the special codes of a day can be told: `names` where a snapshot of names was taken on
+    that day, else `flags` where every required code has a known flag, else NULL, with the number of codes without one.
+
+    required (d, code): codes of the day; names (d, code, name); flags (d, code, flag).
+    """
+    known = flags.filter("flag IS NOT NULL").select("d", "code").distinct().withColumn("_k", F.lit(True))
+    day = required.select("d", "code").distinct().join(known, ["d", "code"], "left").groupBy("d").agg(F.count(F.when(F.col("_k").isNull(), 1)).alias("missing"))
+    d = day.join(names.select("d").distinct().withColumn("_n", F.lit(True)), "d", "left")
+    return d.select("d", F.when(F.col("_n"), "names").when(F.col("missing") == 0, "flags").alias("path"), "missing")
+
+
+def special_members(required: DataFrame, names: DataFrame, flags: DataFrame, prefix: str = r"^S?\*?ST") -> DataFrame:
+    """(d, code, path): special codes of the days that special_paths() can tell, by the name's prefix or the flag."""
+    p = special_paths(required, names, flags)
+    one = names.filter(F.upper(F.trim("name")).rlike(prefix)).select("d", "code", F.lit("names").alias("path"))
+    two = flags.filter("flag").select("d", "code", F.lit("flags").alias("path"))
+    return one.unionByName(two).distinct().join(p.select("d", "path"), ["d", "path"]).select("d", "code", "path")
+
+
+def edge_gates(df: DataFrame, claim_trades: int, claim_folds: int, trades: int, drawdown: float, holdout: float = 0.0) -> DataFrame:
+    """df (claimable, folds, trades, ret, max_drawdown, holdout_ret) with verdict: short_window before any other reason,
+    then passed if the held-out return, the drawdown, the trades and the return all do, else unmet. NULL passes nothing."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    power = yes(F.col("claimable")) & yes(F.col("trades") >= claim_trades) & yes(F.col("folds") >= claim_folds)
+    edge = yes(F.col("holdout_ret") > holdout) & yes(F.col("max_drawdown") <= drawdown) & yes(F.col("trades") >= trades) & yes(F.col("ret") > 0)
+    return df.withColumn("verdict", F.when(~power, "short_window").when(edge, "passed").otherwise("unmet"))

@@ -101,3 +101,34 @@ def flow_count_updates(spark, sf):
     now = table(spark, sf, "customer").join(o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n")), "c_custkey", "left")
     held = now.select(k.alias("o_custkey"), F.when(k % 3 > 0, F.col("n")).when(k % 2 == 0, F.coalesce("n", F.lit(0)) + 1).alias("times"))
     return R.count_updates(held, o, ["o_custkey"], "times")
+
+
+_SPECIAL_SQL = f"""{LINE_BARS_SQL}, names AS (SELECT d, code, s_name || CASE WHEN code % 4 = 0 THEN ' X' ELSE '' END AS name FROM bars JOIN supplier ON s_suppkey = code WHERE day(d) % 10 = 0), flags AS (SELECT d, code, CASE WHEN code % 9 > 0 OR day(d) % 3 = 0 THEN code % 5 = 0 END AS flag FROM bars WHERE day(d) % 10 <> 0),
+p AS (SELECT b.d, count(*) FILTER (WHERE f.flag IS NULL) AS missing, CASE WHEN day(b.d) % 10 = 0 THEN 'names' WHEN count(*) FILTER (WHERE f.flag IS NULL) = 0 THEN 'flags' END AS path FROM bars b LEFT JOIN flags f ON f.d = b.d AND f.code = b.code GROUP BY b.d)"""
+
+
+def _special(spark, sf):
+    b, day = line_bars(spark, sf).select("d", "code"), F.dayofmonth("d") % 10
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), "s_name")
+    names = b.filter(day == 0).join(s, "code").select("d", "code", F.concat("s_name", F.when(F.col("code") % 4 == 0, " X").otherwise("")).alias("name"))
+    flags = b.filter(day != 0).withColumn("flag", F.when((F.col("code") % 9 > 0) | (F.dayofmonth("d") % 3 == 0), F.col("code") % 5 == 0))
+    return b, names, flags
+
+
+@query(f"WITH {_SPECIAL_SQL} SELECT d, path, missing FROM p")
+def land_special_paths(spark, sf):
+    return R.special_paths(*_special(spark, sf))
+
+
+@query(f"WITH {_SPECIAL_SQL} SELECT p.d, code, path FROM p JOIN names n ON n.d = p.d WHERE path = 'names' AND name LIKE '% X' UNION ALL SELECT p.d, code, path FROM p JOIN flags f ON f.d = p.d WHERE path = 'flags' AND flag")
+def land_special_members(spark, sf):
+    return R.special_members(*_special(spark, sf), prefix=" X$")
+
+
+@query("""WITH m AS (SELECT o_custkey, count(*) AS trades, count(DISTINCT year(o_orderdate)) AS folds, max(o_totalprice) / 500000 - 0.4 AS ret, CASE WHEN o_custkey % 7 > 0 THEN min(o_totalprice) / 100000 END AS max_drawdown, avg(o_totalprice) / 150000 - 0.9 AS holdout_ret FROM orders GROUP BY 1)
+SELECT o_custkey, CASE WHEN NOT (o_custkey % 11 > 0 AND trades >= 5 AND folds >= 3) THEN 'short_window' WHEN coalesce(holdout_ret > 0 AND max_drawdown <= 0.5 AND trades >= 8 AND ret > 0, false) THEN 'passed' ELSE 'unmet' END AS verdict FROM m""")
+def paper_edge_gates(spark, sf):
+    p = F.col("o_totalprice")
+    m = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("trades"), F.count_distinct(F.year("o_orderdate")).alias("folds"), (F.max(p) / 500000 - 0.4).alias("ret"), (F.min(p) / 100000).alias("_m"), (F.avg(p) / 150000 - 0.9).alias("holdout_ret"))
+    m = m.withColumn("max_drawdown", F.when(F.col("o_custkey") % 7 > 0, F.col("_m"))).withColumn("claimable", F.col("o_custkey") % 11 > 0)
+    return R.edge_gates(m, 5, 3, 8, 0.5).select("o_custkey", "verdict")

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 DAY = np.dtype([("date", "<u4"), ("open", "<u4"), ("high", "<u4"), ("low", "<u4"), ("close", "<u4"), ("amount", "<f4"), ("vol", "<u4"), ("rest", "<u4")])
 MINUTE_FLOAT = np.dtype([("day", "<u2"), ("minute", "<u2"), ("open", "<f4"), ("high", "<f4"), ("low", "<f4"), ("close", "<f4"), ("amount", "<f4"), ("vol", "<u4"), ("rest", "<u4")])
 MINUTE_INT = np.dtype([("day", "<u2"), ("minute", "<u2"), ("open", "<u4"), ("high", "<u4"), ("low", "<u4"), ("close", "<u4"), ("amount", "<f4"), ("vol", "<u4"), ("rest", "<u4")])
+EXT_DAY = np.dtype([("date", "<u4"), ("open", "<f4"), ("high", "<f4"), ("low", "<f4"), ("close", "<f4"), ("amount", "<u4"), ("vol", "<u4"), ("settle", "<f4")])
+BLOCK = np.dtype([("name", "S9"), ("n", "<u2"), ("kind", "<u2"), ("codes", "S7", 400)])
+BLOCK_HEAD = 384
 BARS = "code string, ts timestamp_ntz, open double, high double, low double, close double, vol double, amount double"
 
 
@@ -60,3 +63,35 @@ def read_minute_float(spark: SparkSession, path: str) -> DataFrame:
 def read_minute_int(spark: SparkSession, path: str, scale: float = 0.01) -> DataFrame:
     """Minute bars with integer prices (`.1`, `.5`)."""
     return _read(spark, path, MINUTE_INT, scale, "*.[15]")
+
+
+def read_ext_day(spark: SparkSession, path: str) -> DataFrame:
+    """Daily bars of extended markets (`.day`): float prices, a settlement price, and the amount also read as a float."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.day").load(path).select("path", "content")
+
+    def run(batches):
+        for pdf in batches:
+            for p, c in zip(pdf["path"], pdf["content"], strict=True):
+                a = np.frombuffer(c[: len(c) // EXT_DAY.itemsize * EXT_DAY.itemsize], EXT_DAY)
+                ts = pd.to_datetime(pd.Series(a["date"].astype(str)), format="%Y%m%d", errors="coerce")
+                out = pd.DataFrame({"code": _code(p), "ts": ts, **{k: a[k].astype(float) for k in ("open", "high", "low", "close", "vol", "amount", "settle")}})
+                out["amount_float"] = a["amount"].copy().view("<f4").astype(float)
+                yield out[out["ts"].notna()]
+
+    return files.mapInPandas(run, f"{BARS}, settle double, amount_float double")
+
+
+def read_blocks(spark: SparkSession, path: str, glob: str = "block*.dat") -> DataFrame:
+    """(file, block, kind, seq, code): the codes of each block of block files; torn blocks at the end are left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+
+    def run(batches):
+        for pdf in batches:
+            for p, c in zip(pdf["path"], pdf["content"], strict=True):
+                said = int.from_bytes(c[BLOCK_HEAD : BLOCK_HEAD + 2], "little")
+                whole = max(0, len(c) - BLOCK_HEAD - 2) // BLOCK.itemsize
+                blocks = np.frombuffer(c, BLOCK, min(said, whole), BLOCK_HEAD + 2) if min(said, whole) else []
+                rows = [(_code(p), b["name"].decode("gbk", "ignore"), int(b["kind"]), k, b["codes"][k].decode("utf-8", "ignore")) for b in blocks for k in range(min(int(b["n"]), len(b["codes"])))]
+                yield pd.DataFrame(rows, columns=["file", "block", "kind", "seq", "code"])
+
+    return files.mapInPandas(run, "file string, block string, kind long, seq long, code string")
