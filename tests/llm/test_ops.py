@@ -364,6 +364,43 @@ def test_every_short_context_lies_whole_in_a_window():
         assert all(any(a <= c and c + 20 <= a + toxicity.WINDOW for a in s) for c in range(n - 19))
 
 
+def test_toxicity_scores_are_those_of_every_window_by_itself(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice(["ta", "re", "mi", "so", "lu"]) for _ in range(3)) for _ in range(60)] + ["grumbal", "vilex"]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    m = toxicity.fit([text(60) + (" grumbal vilex" if k % 3 == 0 else "") for k in range(60)], [int(k % 3 == 0) for k in range(60)])
+    p, h, tok = m.net.p, toxicity.HIDDEN, Words()
+    s1 = lambda v: 1 / (1 + np.exp(-v))
+
+    def plain(t):
+        data, offs = text_buffers(pa.array([t], pa.large_string()))
+        hs, s, e, _ = tok(data, offs)
+        dense, at, rows = m.inputs(hs, *toxicity.grams_of(data, s, e, tok.low))
+        x = np.concatenate([dense, m.embed(len(dense), at, rows)], axis=1)
+        logits = []
+        for a in toxicity.window_starts(len(x)):
+            w = x[a : a + toxicity.WINDOW]
+            sides = []
+            for d, seq in (("f", w), ("b", w[::-1])):
+                state, out = np.zeros(h), []
+                for v in seq:
+                    g = v @ p[f"W{d}"] + p[f"b{d}"]
+                    z, r = s1(g[:h] + state @ p[f"U{d}"][:, :h]), s1(g[h : 2 * h] + state @ p[f"U{d}"][:, h : 2 * h])
+                    c = np.tanh(g[2 * h :] + (r * state) @ p[f"U{d}"][:, 2 * h :])
+                    state = (1 - z) * state + z * c
+                    out.append(state)
+                sides.append(out if d == "f" else out[::-1])
+            H = np.concatenate([np.array(side) for side in sides], axis=1)
+            e = np.exp(np.tanh(H @ p["A"] + p["a"]) @ p["v"])
+            logits.append(e / e.sum() @ H @ p["w"] + p["c"][0])
+        return float(s1(max(logits)))
+
+    texts = [text(n) for n in (1, 2, 23, 24, 25, 26, 27, 28, 29, 47, 48, 49, 100, 24, 311, 5)]
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, list(enumerate(texts))), m).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx([plain(t) for t in texts], abs=1e-5)
+    assert len({round(v, 4) for v in got.values()}) > 5
+
+
 def test_windows_cover_every_word():
     for n in (1, 23, 24, 25, 40, 41, 500):
         s = toxicity.window_starts(n)

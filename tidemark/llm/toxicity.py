@@ -30,6 +30,8 @@ HASHED, DIM, HIDDEN, EPOCHS = 1 << 14, 4, 8, 5
 NET_ROWS, NET_BYTES = 400, 4_000_000
 #: Distance of the windows in training, and the most windows of a step; of a longer text those of the largest logits.
 NET_STRIDE, NET_WINDOWS = 16, 2048
+#: Windows that are scored side by side.
+BLOCK = 2048
 GRAMS = (3, 5, 7)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 INPUTS = 5 + DIM
@@ -147,7 +149,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Net:
-    """Parameters and passes of the network. x: (windows, time, INPUTS); windows are full, or of one length."""
+    """Parameters and passes of the network. x of step(): (windows, time, INPUTS); windows are full, or of one length."""
 
     def __init__(self, rng: np.random.Generator) -> None:
         h, i = HIDDEN, INPUTS
@@ -157,7 +159,7 @@ class Net:
             self.p |= {f"W{d}": r(i, 3 * h), f"U{d}": r(h, 3 * h), f"b{d}": np.zeros(3 * h, np.float32)}
         self.p |= {"A": r(2 * h, h), "a": np.zeros(h, np.float32), "v": r(h, 1)[:, 0], "w": r(2 * h, 1)[:, 0], "c": np.zeros(1, np.float32)}
 
-    def gru(self, d: str, xw: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def gru(self, d: str, xw: np.ndarray, keep: list) -> np.ndarray:
         h, U = HIDDEN, self.p[f"U{d}"]
         n, t, _ = xw.shape
         s, out = np.zeros((n, h), np.float32), np.empty((n, t, h), np.float32)
@@ -166,26 +168,59 @@ class Net:
             z, r = g[:, :h], g[:, h:]
             rs = r * s
             c = np.tanh(xw[:, k, 2 * h :] + rs @ U[:, 2 * h :])
-            if keep is not None:
-                keep.append((k, s, z, r, rs, c))
+            keep.append((k, s, z, r, rs, c))
             s = s + z * (c - s)
             out[:, k] = s
         return out
 
-    def logits(self, xf: np.ndarray, xb: np.ndarray) -> np.ndarray:
-        """xf, xb: the inputs already multiplied by Wf and Wb."""
-        p = self.p
-        H = np.concatenate([self.gru("f", xf), self.gru("b", xb)], axis=2)
-        e = np.tanh(H @ p["A"] + p["a"]) @ p["v"]
-        e = np.exp(e - e.max(axis=1, keepdims=True))
-        e /= e.sum(axis=1, keepdims=True)
-        return (e[:, :, None] * H).sum(axis=1) @ p["w"] + p["c"][0]
-
-    def window_logits(self, x: np.ndarray, inv: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The logit of each full window of a text; x: inputs of its distinct words, inv: which of them each word is."""
-        xf, xb = x @ self.p["Wf"] + self.p["bf"], x @ self.p["Wb"] + self.p["bb"]
-        idx = [inv[starts[k : k + 4096, None] + np.arange(WINDOW)] for k in range(0, len(starts), 4096)]
-        return np.concatenate([self.logits(xf[i], xb[i]) for i in idx])
+    def table(self, x: np.ndarray) -> np.ndarray:
+        """What words of inputs x bring to the gates: (words, 6 * HIDDEN), forward, then backward.
+
+        Those of sigmoids are halved, since sigmoid(x) is (1 + tanh(x / 2)) / 2.
+        """
+        p, half = self.p, np.tile(np.repeat(np.array([0.5, 1], np.float32), [2 * HIDDEN, HIDDEN]), 2)
+        return (x @ np.concatenate([p["Wf"], p["Wb"]], axis=1) + np.concatenate([p["bf"], p["bb"]])) * half
+
+    def logits(self, steps: list[np.ndarray]) -> np.ndarray:
+        """The logit of each window; steps[k]: what table() has of the k-th words of all windows, (6 * HIDDEN, windows).
+
+        Windows lie side by side, so that every operation runs over all of them at once.
+        """
+        p, h, t = self.p, HIDDEN, len(steps)
+        states = np.empty((t, 2 * h, steps[0].shape[1]), np.float32)
+        for d, order in (("f", range(t)), ("b", range(t - 1, -1, -1))):
+            low, U = (0 if d == "f" else h), np.ascontiguousarray(p[f"U{d}"].T) / 2
+            s = np.zeros((h, states.shape[2]), np.float32)
+            for k in order:
+                x = steps[k][3 * low : 3 * (low + h)]
+                g = U[: 2 * h] @ s
+                g += x[: 2 * h]
+                np.tanh(g, out=g)
+                z, r = g[:h], g[h:]
+                r *= s
+                r += s
+                c = U[2 * h :] @ r
+                c += x[2 * h :]
+                np.tanh(c, out=c)
+                c -= s
+                z += 1
+                z *= c
+                z /= 2
+                s = np.add(s, z, out=states[k, low : low + h])
+        e, o = np.empty((t, states.shape[2]), np.float32), np.empty((t, states.shape[2]), np.float32)
+        A = np.ascontiguousarray(p["A"].T)
+        for k in range(t):
+            q = A @ states[k]
+            q += p["a"][:, None]
+            np.tanh(q, out=q)
+            e[k], o[k] = p["v"] @ q, p["w"] @ states[k]
+        e = np.exp(e - e.max(axis=0))
+        return (e * o).sum(axis=0) / e.sum(axis=0) + p["c"][0]
+
+    def window_logits(self, table: np.ndarray, inv: np.ndarray, starts: np.ndarray, t: int = WINDOW) -> np.ndarray:
+        """The logit of each window of t words; inv: which row of table() each word is."""
+        parts = [starts[k : k + BLOCK] for k in range(0, len(starts), BLOCK)]
+        return np.concatenate([self.logits([np.ascontiguousarray(table[inv[s + k]].T) for k in range(t)]) for s in parts])
 
     def step(self, x: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """Loss, gradients and the gradient of x. doc: text of each window (0..n-1, sorted); y: label of each text."""
@@ -347,7 +382,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
                     full = np.concatenate([dense, emb], axis=1)
                     t = min(WINDOW, len(inv))
                     if len(starts) > NET_WINDOWS:
-                        starts = np.sort(starts[np.argsort(-model.net.window_logits(full, inv, starts), kind="stable")[:NET_WINDOWS]])
+                        starts = np.sort(starts[np.argsort(-model.net.window_logits(model.net.table(full), inv, starts), kind="stable")[:NET_WINDOWS]])
                     idx = inv[starts[:, None] + np.arange(t)]
                     xs.append(full[idx])
                     ids.append(idx + base)
@@ -384,23 +419,33 @@ def score_slice(model: Model, tok: Words, data: np.ndarray, offs: np.ndarray) ->
     if not len(h):
         return out
     u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-    p = model.net.p
-    xf, xb = np.empty((len(u), 3 * HIDDEN), np.float32), np.empty((len(u), 3 * HIDDEN), np.float32)
+    net, table = model.net, np.empty((len(u), 6 * HIDDEN), np.float32)
     for k in range(0, len(u), 20_000):
         gw, gh = grams_of(data, s[first[k : k + 20_000]], e[first[k : k + 20_000]], tok.low)
         dense, wat, rows = model.inputs(u[k : k + 20_000], gw, gh)
-        x = np.concatenate([dense, model.embed(len(dense), wat, rows)], axis=1)
-        xf[k : k + 20_000], xb[k : k + 20_000] = x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]
+        table[k : k + 20_000] = net.table(np.concatenate([dense, model.embed(len(dense), wat, rows)], axis=1))
     n = np.diff(at)
+    # the last window of each text, which is the only one of a short text
     for t in np.unique(np.minimum(n, WINDOW)):
-        if not t:
-            continue
         docs = np.flatnonzero(np.minimum(n, WINDOW) == t)
-        starts = [window_starts(int(n[d])) + at[d] for d in docs]
-        doc, st = np.repeat(docs, [len(x) for x in starts]), np.concatenate(starts)
-        for k in range(0, len(st), 4096):
-            idx = inv[st[k : k + 4096, None] + np.arange(t)]
-            np.maximum.at(out, doc[k : k + 4096], model.net.logits(xf[idx], xb[idx]))
+        if t:
+            out[docs] = net.window_logits(table, inv, at[docs] + n[docs] - t, int(t))
+    # all others: every long text begins a new group of STRIDE words, and a window begins with each group
+    docs = np.flatnonzero(n > WINDOW)
+    groups = -(-n[docs] // STRIDE)
+    base = np.cumsum(groups) - groups
+    total, more = int(groups.sum()), WINDOW // STRIDE - 1
+    word = np.zeros((total + more) * STRIDE, np.int64)
+    for d, g in zip(docs.tolist(), base.tolist(), strict=True):
+        word[g * STRIDE : g * STRIDE + n[d]] = inv[at[d] : at[d] + n[d]]
+    doc, start = np.repeat(docs, groups), (np.arange(total) - np.repeat(base, groups)) * STRIDE
+    whole = start + WINDOW <= n[doc]
+    for k in range(0, total, BLOCK):
+        m = min(BLOCK, total - k)
+        x = table[word[k * STRIDE : (k + m + more) * STRIDE]].reshape(-1, STRIDE, 6 * HIDDEN)
+        x = np.ascontiguousarray(x.transpose(1, 2, 0))
+        got = net.logits([x[j % STRIDE][:, j // STRIDE : j // STRIDE + m] for j in range(WINDOW)])
+        np.maximum.at(out, doc[k : k + m][whole[k : k + m]], got[whole[k : k + m]])
     return out
 
 
