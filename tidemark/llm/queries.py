@@ -69,6 +69,24 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.url_filter import op11
+
+    return op11(table(spark, sf_dir, "pages"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.divergence import op12
+
+    return op12(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.clustering import op13
+
+    return op13(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_near_dup": op2_near_dup,
@@ -80,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dup": op8_embedding_dup,
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
+    "op11_url_filter": op11_url_filter,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 #: Lower case of A-Z only, as a DuckDB expression.
@@ -146,8 +167,84 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = c
 FROM v JOIN comp ON vec_id = comp.a LEFT JOIN n ON vec_id = n.a
 """
 
+_OP11_SQL = f"""
+WITH rules(h, p, v) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), rest AS (
+  SELECT row_number() OVER () AS n, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS a FROM pages
+), parts AS (
+  SELECT n, page_id, {_LOWER.format("regexp_extract(a, '^[^/?#]*')")} AS host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+)
+SELECT any_value(page_id) AS page_id, any_value(host) AS host, any_value(path) AS path,
+       max_by(h || p, length(h || p)) AS rule, coalesce(max_by(v, length(h || p)), 'allow') AS verdict
+FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+GROUP BY n
+"""
+
+_OP12_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (total + v) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) JOIN sums USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), q AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1) // (any_value(total) + any_value(v)) AS q
+  FROM p JOIN (SELECT lang, sum(total) AS total FROM sums GROUP BY lang) USING (lang) JOIN v USING (lang) GROUP BY lang, term
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source
+), term AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def _op13_sql(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """K-means round by round: centroids c0, c1, ... and the assignments a0, a1, ... to them."""
+    dist = "list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    out = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), q) - 1)::INTEGER AS i, q AS c FROM v
+  QUALIFY i < {k}
+)"""
+    for r in range(rounds + 1):
+        out += f""", a{r} AS (
+  SELECT n, vec_id, q, i, d FROM (SELECT n, vec_id, q, i, {dist} AS d FROM v, c{r}) QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, i) = 1
+)"""
+        if r < rounds:
+            out += f""", m{r} AS (
+  SELECT i, list(((s - ((s % m) + m) % m) / m)::BIGINT ORDER BY k) AS c
+  FROM (SELECT i, k, sum(x)::BIGINT AS s, count(*) AS m FROM (SELECT i, unnest(q) AS x, unnest(range({dim})) AS k FROM a{r}) GROUP BY i, k) GROUP BY i
+), c{r + 1} AS (SELECT i, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (i))"""
+    return out + f"""
+SELECT vec_id, i AS cluster, d AS distance, sum(d) OVER (PARTITION BY i)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (i)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": _OP7_SQL,
     "op8_embedding_dup": _OP8_SQL,
     "op10_decontaminate": _OP10_SQL,
+    "op11_url_filter": _OP11_SQL,
+    "op12_source_divergence": _OP12_SQL,
+    "op13_centroid_clustering": _op13_sql(),
 }
