@@ -120,7 +120,7 @@ ODD = [(None, "en", "s0"), ("", "en", "empty"), ("1 2 3 @[`{~", "en", "s1"), ("a
 
 @pytest.mark.parametrize(("block", "terms", "counters", "cut"), [(64, 2048, 400_000, 1 << 20), (2, 10, 50, 64)])
 def test_audit_equals_plain_counts(spark, monkeypatch, block, terms, counters, cut):
-    for name, x in (("BLOCK", block), ("TERMS", terms), ("COUNTERS", counters), ("SLICE", cut)):
+    for name, x in (("BLOCK", block), ("TERMS", terms), ("COUNTERS", counters), ("ENTRIES", counters), ("SLICE", cut)):
         monkeypatch.setattr(divergence, name, x)
     rows = rows_for_audit(3, 300, 7, 60) + ODD + ODD
     docs = spark.createDataFrame([(i, *r, 0) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, term int").repartition(6)
@@ -146,8 +146,8 @@ def test_trie_walks_in_byte_order():
     keys = ["".join(rng.choice("aé漢b") for _ in range(rng.randint(0, 6))).encode() for _ in range(500)]
     trie = divergence.Trie()
     for k in keys:
-        trie.leaf(k)[0] += 1
-    assert [(k, leaf[0]) for k, leaf in trie.walk()] == sorted(Counter(keys).items())
+        trie.leaf(k)[None] += 1
+    assert [(k, leaf[None]) for k, leaf in trie.walk()] == sorted(Counter(keys).items())
 
 
 # --- op13

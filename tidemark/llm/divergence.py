@@ -29,8 +29,8 @@ from tidemark.session import forget, saved
 
 #: Shares are whole parts of SCALE. Three factors, so that no product leaves 64 bits.
 SCALE, STEPS = 1_000_000_000, (1000, 1000, 1000)
-#: Counters (a source of a leaf) in a task's tries at most, and bytes of text cut at once.
-COUNTERS, SLICE = 400_000, 1 << 20
+#: Counters (a source of a leaf) in a task's tries, and terms by source counted before they enter them, about; bytes of text cut at once.
+COUNTERS, ENTRIES, SLICE = 500_000, 300_000, 1 << 20
 #: Sources in a block of the pairwise sums, and terms in one of their groups, about.
 BLOCK, TERMS = 64, 2048
 #: Every byte of a term in lower case (A-Z only), every other one as a space.
@@ -41,41 +41,45 @@ LEAF = "lang string, term binary, df long, sources array<string>, counts array<l
 
 
 class Trie:
-    """Radix trie over bytes. A leaf is [documents, {source: count}]."""
+    """Radix trie over bytes. A leaf is {source: occurrences}, with the number of documents under None."""
 
     def __init__(self) -> None:
-        self.root: list = [{}, None]  # edges by first byte: [label, node]; leaf
+        self.root: list = [None, None]  # edges by first byte, each [label, node]; leaf
 
-    def leaf(self, key: bytes) -> list:
+    def leaf(self, key: bytes) -> dict:
         """The leaf of key, made if need be."""
-        node, at = self.root, 0
-        while at < len(key):
-            edge = node[0].get(key[at])
+        node, at, end = self.root, 0, len(key)
+        while at < end:
+            edges = node[0]
+            if edges is None:
+                edges = node[0] = {}
+            edge = edges.get(key[at])
             if edge is None:
-                node[0][key[at]] = edge = [key[at:], [{}, None]]
-                at = len(key)
+                edges[key[at]] = edge = [key[at:], [None, None]]
+                at = end
             elif key.startswith(edge[0], at):
                 at += len(edge[0])
             else:  # the edge is cut where the keys part
-                n = 1
-                while at + n < len(key) and n < len(edge[0]) and key[at + n] == edge[0][n]:
+                label, n = edge[0], 1
+                while at + n < end and n < len(label) and key[at + n] == label[n]:
                     n += 1
-                edge[1] = [{edge[0][n]: [edge[0][n:], edge[1]]}, None]
-                edge[0] = edge[0][:n]
+                edge[1] = [{label[n]: [label[n:], edge[1]]}, None]
+                edge[0] = label[:n]
                 at += n
             node = edge[1]
         if node[1] is None:
-            node[1] = [0, {}]
+            node[1] = {None: 0}
         return node[1]
 
-    def walk(self) -> Iterator[tuple[bytes, list]]:
+    def walk(self) -> Iterator[tuple[bytes, dict]]:
         """Keys and leaves in byte order."""
         stack = [(b"", self.root)]
         while stack:
             key, node = stack.pop()
             if node[1] is not None:
                 yield key, node[1]
-            stack += [(key + node[0][b][0], node[0][b][1]) for b in sorted(node[0], reverse=True)]
+            if node[0]:
+                stack += [(key + node[0][b][0], node[0][b][1]) for b in sorted(node[0], reverse=True)]
 
 
 class Tries:
@@ -87,28 +91,33 @@ class Tries:
 
     def add(self, lang: str, docs: Counter, counts: dict[str, Counter]) -> None:
         """Documents by term, and occurrences by source and term."""
-        trie = self.tries[lang]
+        find, at = self.tries[lang].leaf, {}
         for term, n in docs.items():
-            trie.leaf(term)[0] += n
+            at[term] = leaf = find(term)
+            leaf[None] += n
         for source, own in counts.items():
             for term, n in own.items():
-                leaf = trie.leaf(term)[1]
-                self.size += source not in leaf
-                leaf[source] = leaf.get(source, 0) + n
+                leaf = at[term]
+                if source in leaf:
+                    leaf[source] += n
+                else:
+                    leaf[source] = n
+                    self.size += 1
 
     def rows(self, chunk: int = 20_000) -> Iterator[pa.RecordBatch]:
         """All leaves, language by language in byte order."""
         leaves = ((lang, term, leaf) for lang in sorted(self.tries) for term, leaf in self.tries[lang].walk())
         while part := list(itertools.islice(leaves, chunk)):
-            yield leaf_batch([(lang, term, leaf[0], leaf[1]) for lang, term, leaf in part])
+            lang, term, by = zip(*part, strict=True)
+            df = [x.pop(None) for x in by]
+            sources, counts = [y for x in by for y in x], [n for x in by for n in x.values()]
+            yield leaf_batch(pa.array(lang, pa.string()), pa.array(term, pa.binary()), np.array(df), np.array([len(x) for x in by]), pa.array(sources, pa.string()), np.array(counts, np.int64))
 
 
-def leaf_batch(rows: list[tuple[str, bytes, int, dict[str, int]]]) -> pa.RecordBatch:
-    lang, term, df, by = zip(*rows, strict=True)
-    cols = [
-        pa.array(lang, pa.string()), pa.array(term, pa.binary()), pa.array(df, pa.int64()),
-        pa.array([list(x) for x in by], pa.list_(pa.string())), pa.array([list(x.values()) for x in by], pa.list_(pa.int64())),
-    ]
+def leaf_batch(lang: pa.Array, term: pa.Array, df: np.ndarray, size: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """Leaves with `size` counters each, which follow one another in sources and counts."""
+    at = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+    cols = [lang, term, pa.array(df, pa.int64()), pa.ListArray.from_arrays(at, sources), pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))]
     return pa.RecordBatch.from_arrays(cols, names=["lang", "term", "df", "sources", "counts"])
 
 
@@ -131,12 +140,11 @@ def count_terms(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        tries = Tries()
+        tries, room = Tries(), ENTRIES
         for batch in batches:
             texts, langs, sources = batch.column(0).cast(pa.large_binary()), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             held: defaultdict[str, Counter] = defaultdict(Counter)
             counts: defaultdict[str, defaultdict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-            room = 0
             for text, lang, source in zip(texts, langs, sources, strict=True):
                 seen: set[bytes] = set()
                 own = counts[lang][source]
@@ -144,13 +152,15 @@ def count_terms(docs: DataFrame) -> DataFrame:
                     terms = part.translate(_CUT).split()
                     own.update(terms)
                     seen.update(terms)
-                    room += len(terms)
                 own[b""] += 1
                 seen.add(b"")
                 held[lang].update(seen)
-                if room >= COUNTERS:
-                    yield from _settle(tries, held, counts)
-                    room = 0
+                room -= len(seen)
+                if room <= 0:
+                    room = ENTRIES - sum(len(c) for by in counts.values() for c in by.values())
+                    if room <= ENTRIES // 20:
+                        yield from _settle(tries, held, counts)
+                        room = ENTRIES
             yield from _settle(tries, held, counts)
         yield from tries.rows()
 
@@ -175,28 +185,40 @@ def merge_leaves(leaves: DataFrame) -> DataFrame:
     n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        last: tuple[str, bytes] | None = None
-        df, by, out = 0, {}, []
+        rest = None  # the last leaf so far, which may go on in the next batch
         for batch in batches:
-            for row in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                if row[:2] != last:
-                    if last:
-                        out.append((*last, df, by))
-                    last, df, by = row[:2], 0, {}
-                    if len(out) >= 5000:
-                        yield leaf_batch(out)
-                        out = []
-                df += row[2]
-                for source, k in zip(row[3], row[4], strict=True):
-                    by[source] = by.get(source, 0) + k
-        if last:
-            out.append((*last, df, by))
-        if out:
-            yield leaf_batch(out)
+            if batch.num_rows:
+                out = _added_up(batch if rest is None else pa.Table.from_batches([rest, batch.select(rest.schema.names).cast(rest.schema)]).combine_chunks().to_batches()[0])
+                yield out.slice(0, out.num_rows - 1)
+                rest = out.slice(out.num_rows - 1)
+        if rest is not None:
+            yield rest
 
     return leaves.repartitionByRange(n, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, LEAF)
 
 
+def _added_up(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Neighbouring leaves of the same language and term as one."""
+    lang, term = batch.column(0), batch.column(1)
+    n = batch.num_rows
+    fresh = np.ones(n, bool)
+    for col in (lang, term):
+        same = pa.compute.equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        fresh[1:] = ~same if col is lang else fresh[1:] | ~same
+    first = np.flatnonzero(fresh)
+    size = pa.compute.list_value_length(batch.column(3)).to_numpy()
+    names = batch.column(3).flatten().dictionary_encode()
+    of, code = np.repeat(np.cumsum(fresh) - 1, size), names.indices.to_numpy()
+    counts = batch.column(4).flatten().to_numpy()
+    width = max(len(names.dictionary), 1)
+    order = np.argsort(of * width + code, kind="stable")
+    key = (of * width + code)[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    total = np.add.reduceat(counts[order], start) if len(key) else counts
+    size = np.bincount(key[start] // width, minlength=len(first))
+    return leaf_batch(lang.take(first), term.take(first), np.add.reduceat(batch.column(2).to_numpy(), first), size, names.dictionary.take(pa.array(key[start] % width)), total)
+
+
 def share(count: Column, total: Column) -> Column:
     """1 + floor(SCALE (count + 1) / total), exactly: long division by 1000 three times."""
     q, r = _div(count + 1, total), (count + 1) % total
