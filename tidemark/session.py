@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -76,5 +78,21 @@ def forget(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Give back what the driver holds and does not use, between the steps of a long job.
+
+    Spark cleans broadcasts and shuffle files up only when the driver collects its garbage; freed native memory, most of it
+    from compiling queries, goes back to the system where the JVM has a command for that.
+    """
+    gc.collect()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    try:
+        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(bean, "systemTrimNativeHeap", None, None)
+    except Py4JError:  # other systems and older JVMs have no such command
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
