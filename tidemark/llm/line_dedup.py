@@ -1,11 +1,11 @@
 """Line deduplication with levelled sorted runs of line keys.
 
 A line's key is the line stripped of `[\\x20\\x09-\\x0D]` and with A-Z lower-cased, held as a 128-bit hash. Keys enter
-batch by batch, the largest document ids first. Each batch is merged with the runs: keys not in them are fresh, and the
-batch's largest document id becomes their holder; the others add to the counts. What the batch brings is written as a
-new sorted run, and `fanout` runs of a level are compacted into one run of the next level. Batches and runs are bucketed
-and sorted by key, so that a merge joins bucket with bucket and moves no row. After the last batch the runs hold every
-key's number of documents and its holder.
+batch by batch. Each batch is merged with the runs: keys not in them are fresh, the others take up the number of documents
+and the holder that the runs know and go on from there. What the batch brings is written as a new sorted run, whose rows
+stand for all that is known of their keys so far, and `fanout` runs of a level are compacted into one run of the next level.
+Batches and runs are bucketed and sorted by key, so that a merge joins bucket with bucket and moves no row. Runs can be kept:
+documents that come later are merged with them, and nothing of the earlier ones is read again.
 """
 
 from __future__ import annotations
@@ -49,7 +49,9 @@ def bucketed(df: DataFrame, buckets: int, *parts: str) -> DataFrame:
 class Runs:
     """Levelled runs of (h1, h2, n, holder, fresh), each a bucketed and sorted table in the shared folder.
 
-    fresh marks the one row of a key that names its holder. A lost executor costs the tasks it ran, nothing else.
+    n and holder of a row hold for all documents up to its batch, so of a key's rows the newest counts, which has the largest
+    n; fresh marks its first one. There are fewer than fanout runs on each level, and one more level for fanout times the
+    batches. A lost executor costs the tasks it ran, nothing else. drop() deletes all tables.
     """
 
     def __init__(self, fanout: int = 3, buckets: int | None = None) -> None:
@@ -64,15 +66,20 @@ class Runs:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Merge one batch of (h1, h2, n, holder), a row for each key. Returns its run; fresh rows are new keys."""
-        run = batch.withColumn("fresh", F.lit(True))
+        run = batch.select("h1", "h2", "n", "holder", F.lit(None).cast("long").alias("n0"), F.lit(None).cast("long").alias("h0"))
         for r in self.live():
-            seen = r.filter("fresh").select("h1", "h2", F.lit(True).alias("seen"))
-            run = run.join(seen, ["h1", "h2"], "left").withColumn("fresh", F.col("fresh") & F.col("seen").isNull()).drop("seen")
-        run = self._write(run.withColumn("holder", F.when(F.col("fresh"), F.col("holder"))))
+            known = r.select("h1", "h2", F.col("n").alias("n1"), F.col("holder").alias("holder1"))
+            run = run.join(known, ["h1", "h2"], "left").select("h1", "h2", "n", "holder", F.greatest("n0", "n1").alias("n0"), F.greatest("h0", "holder1").alias("h0"))
+        run = self._write(run.select("h1", "h2", (F.col("n") + F.coalesce("n0", F.lit(0))).alias("n"), F.greatest("holder", "h0").alias("holder"), F.col("n0").isNull().alias("fresh")))
         self.levels[0].append(run)
         self._compact()
         return run
 
+    def drop(self) -> None:
+        for r in self.live():
+            _drop(r)
+        self.levels = [[]]
+
     def _write(self, run: DataFrame) -> DataFrame:
         return bucketed(run.select("h1", "h2", "n", "holder", "fresh"), self.buckets or int(run.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -86,8 +93,12 @@ class Runs:
             self.levels[k + 1].append(self._write(totals(union(old))))
             self.levels[k] = []
             for r in old:
-                r.sparkSession.sql(f"DROP TABLE {r._tidemark_table}")
-                forget(r)
+                _drop(r)
+
+
+def _drop(table: DataFrame) -> None:
+    table.sparkSession.sql(f"DROP TABLE {table._tidemark_table}")
+    forget(table)
 
 
 def union(runs: list[DataFrame]) -> DataFrame:
@@ -96,19 +107,32 @@ def union(runs: list[DataFrame]) -> DataFrame:
 
 
 def totals(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("holder").alias("holder"), F.max("fresh").alias("fresh"))
+    """The newest row of each key: counts and holders only grow."""
+    return runs.groupBy("h1", "h2").agg(F.max("n").alias("n"), F.max("holder").alias("holder"), F.max("fresh").alias("fresh"))
 
 
-def dedup_lines(docs: DataFrame, least: int = 20, most_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 20, most_docs: int = 3, batches: int = 4, fanout: int = 3, runs: Runs | None = None) -> DataFrame:
     """docs with text rewritten, and n_lines and n_dropped (columns of docs with these names are replaced).
 
     A key of at least `least` code points that stands in at least `most_docs` documents loses all its lines but those of
     the largest doc_id that holds it. Rows of one doc_id are one document: they count once and all keep the lines their
-    id holds. Rows without an id count for nothing and keep their lines. Null and empty texts are one empty line (text
-    becomes ""). Texts and lines of any length are read whole. An empty table gives an empty one.
+    id holds. Rows without an id count for nothing and keep their lines; ids are whole numbers. Null and empty texts are one
+    empty line (text becomes ""). Texts and lines of any length are read whole. An empty table gives an empty one.
+
+    runs: those of documents that came before; docs (with ids that were not among them) are merged into them and judged by
+    all. Without, runs are made for this call and dropped.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = Runs(fanout, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if runs is None else runs
+    add_documents(kept, docs, least, batches)
+    out = apply_runs(kept, docs, least, most_docs)
+    if runs is None:
+        kept.drop()
+    return out
+
+
+def add_documents(runs: Runs, docs: DataFrame, least: int = 20, batches: int = 4) -> None:
+    """Merge the line keys of docs into runs, in `batches` batches of about as many documents, by ranges of their ids."""
+    buckets = runs.buckets = runs.buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / batches for k in range(1, batches)], 0.02) if batches > 1 else []
     batch = F.lit(0)
     for c in cuts:
@@ -116,9 +140,14 @@ def dedup_lines(docs: DataFrame, least: int = 20, most_docs: int = 3, batches: i
     held = key_rows(docs.filter("doc_id IS NOT NULL").withColumn("_th", F.lit(0).cast("long")), least).select("h1", "h2", "doc_id").distinct()
     counted = held.withColumn("batch", batch).groupBy("batch", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder"))
     staged = bucketed(counted.repartition(buckets, "h1", "h2"), buckets, "batch")
-    runs = Runs(fanout, buckets)
-    for k in range(len(cuts), -1, -1):
+    for k in range(len(cuts) + 1):
         runs.add(staged.filter(F.col("batch") == k).drop("batch"))
+    _drop(staged)
+
+
+def apply_runs(runs: Runs, docs: DataFrame, least: int = 20, most_docs: int = 3) -> DataFrame:
+    """docs without the lines that runs, which hold docs too, know as common; see dedup_lines()."""
+    docs = docs.drop("n_lines", "n_dropped")
     # a table of its own, so that Spark can split the partition of a line that very many documents hold
     common = saved(totals(runs.all()).filter(F.col("n") >= most_docs).select("h1", "h2", "holder"), "common-lines")
     th = F.xxhash64("text")
