@@ -24,7 +24,7 @@ from tidemark.session import saved
 
 #: Bounds of the training sample: whole texts of each label, and their bytes (the text that passes the bound is the last).
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 12_000_000
-WINDOW, STRIDE = 24, 4
+WINDOW, STRIDE = 24, 1
 HASHED, DIM, HIDDEN, EPOCHS = 1 << 14, 4, 8, 5
 #: Of the sample, the whole texts of each label that the network itself learns from, and their bytes.
 NET_ROWS, NET_BYTES = 400, 4_000_000
