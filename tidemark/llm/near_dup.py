@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.words import Words, doc_slices, mix, text_buffers
-from tidemark.session import saved
+from tidemark.session import release, saved
 
 K, BAND_ROWS, SHINGLE, THRESHOLD = 128, 5, 5, 0.8
 #: Pairs whose signatures agree in fewer coordinates are not compared: 5 standard deviations below 0.8 at k = 128.
@@ -284,6 +284,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, b
     tried = pairs = saved(_agreement(stars, nodes), "pairs")
     els = saved(_shingle_table(docs, nodes.drop("sig").join(buckets.select("content").distinct(), "content"), size).join(nodes.select("content", "sig"), "content"), "shingles")
     edges = saved(_exact(pairs, els, threshold), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    release(docs.sparkSession)
     comp = None
     # buckets of many rows are first looked into for a few partners of each row, whose links leave few rows apart; then
     # all open buckets are, for all partners
@@ -296,12 +297,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, b
             continue
         pairs = saved(_apart(rows, most, band_rows).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         tried = tried.select("a", "b").unionByName(pairs)
+        release(docs.sparkSession)
         more = saved(_exact(pairs, els, threshold), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
         edges = edges.unionByName(more)
         if most:
             comp = saved(components(edges), "components")
             edges = comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))
+    release(docs.sparkSession)
     comp = saved(components(edges), "components")
+    release(docs.sparkSession)
     member = saved(nodes.select("content", "doc_id", "th").join(comp.withColumnRenamed("node", "content"), "content", "left").withColumn("comp", F.coalesce("comp", "content")), "members")
     heads = member.groupBy("comp").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), F.col("th").alias("head_th")), order).alias("head"))
     # a table of its own, so that Spark can split the partition of a text that very many rows repeat
