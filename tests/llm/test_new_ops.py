@@ -120,7 +120,7 @@ ODD = [(None, "en", "s0"), ("", "en", "empty"), ("1 2 3 @[`{~", "en", "s1"), ("a
 
 @pytest.mark.parametrize(("block", "terms", "counters", "cut"), [(64, 2048, 400_000, 1 << 20), (2, 10, 50, 64)])
 def test_audit_equals_plain_counts(spark, monkeypatch, block, terms, counters, cut):
-    for name, x in (("BLOCK", block), ("TERMS", terms), ("COUNTERS", counters), ("ENTRIES", counters), ("SLICE", cut)):
+    for name, x in (("BLOCK", block), ("TERMS", terms), ("COUNTERS", counters), ("ENTRIES", counters), ("BAG", terms // 4), ("SLICE", cut)):
         monkeypatch.setattr(divergence, name, x)
     rows = rows_for_audit(3, 300, 7, 60) + ODD + ODD
     docs = spark.createDataFrame([(i, *r, 0) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, term int").repartition(6)
@@ -141,7 +141,9 @@ def test_shares_are_exact_for_huge_counts(spark):
     assert spark.range(1).select(divergence.share(F.lit(n), F.lit(total)).alias("p")).first().p == want
 
 
-def test_trie_walks_in_byte_order():
+@pytest.mark.parametrize("bag", [1, 7, 1024])
+def test_trie_walks_in_byte_order(monkeypatch, bag):
+    monkeypatch.setattr(divergence, "BAG", bag)
     rng = random.Random(2)
     keys = ["".join(rng.choice("aé漢b") for _ in range(rng.randint(0, 6))).encode() for _ in range(500)]
     trie = divergence.Trie()

@@ -2,7 +2,7 @@
 
 Each task counts the terms of its documents in byte tries, one for a language, whose leaves hold the number of documents
 and a counter for each source; the root counts documents, so that sources without terms are known too. A trie that has
-grown to its bound is written out and begun anew. Leaves of all tasks are dealt by ranges of (language, term), and each
+grown to its bound is written out and begun anew. Leaves of all tasks are dealt by ranges of language and term, and each
 range merges its tries by a walk in byte order, which is that of UTF-8 text. The merged leaves give the shares of every
 term, and from these the divergence of every two sources and the terms that mark a source.
 
@@ -30,56 +30,77 @@ from tidemark.session import forget, saved
 #: Shares are whole parts of SCALE. Three factors, so that no product leaves 64 bits.
 SCALE, STEPS = 1_000_000_000, (1000, 1000, 1000)
 #: Counters (a source of a leaf) in a task's tries, and terms by source counted before they enter them, about; bytes of text cut at once.
-COUNTERS, ENTRIES, SLICE = 500_000, 300_000, 1 << 20
+COUNTERS, ENTRIES, SLICE = 800_000, 400_000, 1 << 20
+#: Keys in a bag of a trie at most.
+BAG = 4096
 #: Sources in a block of the pairwise sums, and terms in one of their groups, about.
 BLOCK, TERMS = 64, 2048
 #: Every byte of a term in lower case (A-Z only), every other one as a space.
 _CUT = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _GAP = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 
-LEAF = "lang string, term binary, df long, sources array<string>, counts array<long>"
+#: A leaf's key is language, a zero byte and term: no term holds a zero byte, so the last one parts them.
+LEAF = "key binary, df long, sources array<string>, counts array<long>"
+MERGED = "lang string, term binary, df long, sources array<string>, counts array<long>"
+
+
+class Node(dict):
+    """An inner node: children by byte, and the leaf of the key that ends here."""
+
+    own: dict | None = None
 
 
 class Trie:
-    """Radix trie over bytes. A leaf is {source: occurrences}, with the number of documents under None."""
+    """Radix trie over bytes. A leaf is {source: occurrences}, with the number of documents under None.
+
+    Keys with a common beginning lie in one bag, {rest of the key: leaf}; a bag of more than BAG keys is parted by the next
+    byte. So inner nodes are few, and a bag is only put in order by a walk.
+    """
 
     def __init__(self) -> None:
-        self.root: list = [None, None]  # edges by first byte, each [label, node]; leaf
+        self.root: dict = {}
 
     def leaf(self, key: bytes) -> dict:
         """The leaf of key, made if need be."""
-        node, at, end = self.root, 0, len(key)
-        while at < end:
-            edges = node[0]
-            if edges is None:
-                edges = node[0] = {}
-            edge = edges.get(key[at])
-            if edge is None:
-                edges[key[at]] = edge = [key[at:], [None, None]]
-                at = end
-            elif key.startswith(edge[0], at):
-                at += len(edge[0])
-            else:  # the edge is cut where the keys part
-                label, n = edge[0], 1
-                while at + n < end and n < len(label) and key[at + n] == label[n]:
-                    n += 1
-                edge[1] = [{label[n]: [label[n:], edge[1]]}, None]
-                edge[0] = label[:n]
-                at += n
-            node = edge[1]
-        if node[1] is None:
-            node[1] = {None: 0}
-        return node[1]
+        above, node, at = None, self.root, 0
+        while type(node) is Node:
+            if at == len(key):
+                if node.own is None:
+                    node.own = {None: 0}
+                return node.own
+            above, b = node, key[at]
+            node = above.get(b)
+            if node is None:
+                node = above[b] = {}
+            at += 1
+        leaf = node.get(rest := key[at:])
+        if leaf is None:
+            leaf = node[rest] = {None: 0}
+            if len(node) > BAG:
+                parted = Node()
+                for k, x in node.items():
+                    if k:
+                        parted.setdefault(k[0], {})[k[1:]] = x
+                    else:
+                        parted.own = x
+                if above is None:
+                    self.root = parted
+                else:
+                    above[b] = parted
+        return leaf
 
     def walk(self) -> Iterator[tuple[bytes, dict]]:
         """Keys and leaves in byte order."""
         stack = [(b"", self.root)]
         while stack:
             key, node = stack.pop()
-            if node[1] is not None:
-                yield key, node[1]
-            if node[0]:
-                stack += [(key + node[0][b][0], node[0][b][1]) for b in sorted(node[0], reverse=True)]
+            if type(node) is Node:
+                if node.own is not None:
+                    yield key, node.own
+                stack += [(key + bytes((b,)), node[b]) for b in sorted(node, reverse=True)]
+            else:
+                for rest in sorted(node):
+                    yield key + rest, node[rest]
 
 
 class Tries:
@@ -106,19 +127,19 @@ class Tries:
 
     def rows(self, chunk: int = 20_000) -> Iterator[pa.RecordBatch]:
         """All leaves, language by language in byte order."""
-        leaves = ((lang, term, leaf) for lang in sorted(self.tries) for term, leaf in self.tries[lang].walk())
+        leaves = ((head + term, leaf) for lang in sorted(self.tries) for head in [lang.encode() + b"\0"] for term, leaf in self.tries[lang].walk())
         while part := list(itertools.islice(leaves, chunk)):
-            lang, term, by = zip(*part, strict=True)
+            key, by = zip(*part, strict=True)
             df = [x.pop(None) for x in by]
             sources, counts = [y for x in by for y in x], [n for x in by for n in x.values()]
-            yield leaf_batch(pa.array(lang, pa.string()), pa.array(term, pa.binary()), np.array(df), np.array([len(x) for x in by]), pa.array(sources, pa.string()), np.array(counts, np.int64))
+            yield leaf_batch(pa.array(key, pa.binary()), np.array(df), np.array([len(x) for x in by]), pa.array(sources, pa.string()), np.array(counts, np.int64))
 
 
-def leaf_batch(lang: pa.Array, term: pa.Array, df: np.ndarray, size: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+def leaf_batch(key: pa.Array, df: np.ndarray, size: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     """Leaves with `size` counters each, which follow one another in sources and counts."""
     at = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-    cols = [lang, term, pa.array(df, pa.int64()), pa.ListArray.from_arrays(at, sources), pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))]
-    return pa.RecordBatch.from_arrays(cols, names=["lang", "term", "df", "sources", "counts"])
+    cols = [key, pa.array(df, pa.int64()), pa.ListArray.from_arrays(at, sources), pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))]
+    return pa.RecordBatch.from_arrays(cols, names=["key", "df", "sources", "counts"])
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
@@ -134,7 +155,7 @@ def pieces(text: bytes) -> Iterator[bytes]:
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
-    """Leaves (lang, term, df, sources, counts) of the tries of docs (text, lang, source); the empty term is the root.
+    """Leaves (key, df, sources, counts) of the tries of docs (text, lang, source); the empty term is the root.
 
     A leaf has one row from each task and each time its tries were full.
     """
@@ -180,43 +201,49 @@ def _settle(tries: Tries, held: dict, counts: dict) -> Iterator[pa.RecordBatch]:
         tries.size = 0
 
 
-def merge_leaves(leaves: DataFrame) -> DataFrame:
-    """Leaves of the same (lang, term) added up: each range of terms is merged by a walk in byte order."""
+def merge_leaves(leaves: DataFrame, least_docs: int) -> DataFrame:
+    """(lang, term, df, sources, counts): leaves of one key added up, each range of keys by a walk in byte order.
+
+    Terms in fewer documents are left out; the root of each language (the empty term) stays.
+    """
     n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def kept(out: pa.RecordBatch) -> pa.RecordBatch:
+        out = out.filter(pa.compute.or_(pa.compute.greater_equal(out.column(1), least_docs), pa.compute.ends_with(out.column(0), b"\0")))
+        parts = [k.rpartition(b"\0") for k in out.column(0).to_pylist()]
+        lang, term = pa.array([x[0].decode() for x in parts], pa.string()), pa.array([x[2] for x in parts], pa.binary())
+        return pa.RecordBatch.from_arrays([lang, term, *out.columns[1:]], names=["lang", "term", "df", "sources", "counts"])
+
     def run(batches):
         rest = None  # the last leaf so far, which may go on in the next batch
         for batch in batches:
             if batch.num_rows:
                 out = _added_up(batch if rest is None else pa.Table.from_batches([rest, batch.select(rest.schema.names).cast(rest.schema)]).combine_chunks().to_batches()[0])
-                yield out.slice(0, out.num_rows - 1)
+                yield kept(out.slice(0, out.num_rows - 1))
                 rest = out.slice(out.num_rows - 1)
         if rest is not None:
-            yield rest
+            yield kept(rest)
 
-    return leaves.repartitionByRange(n, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, LEAF)
+    return leaves.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(run, MERGED)
 
 
 def _added_up(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Neighbouring leaves of the same language and term as one."""
-    lang, term = batch.column(0), batch.column(1)
-    n = batch.num_rows
+    """Neighbouring leaves of one key as one."""
+    key, n = batch.column(0), batch.num_rows
     fresh = np.ones(n, bool)
-    for col in (lang, term):
-        same = pa.compute.equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        fresh[1:] = ~same if col is lang else fresh[1:] | ~same
+    fresh[1:] = pa.compute.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False)
     first = np.flatnonzero(fresh)
-    size = pa.compute.list_value_length(batch.column(3)).to_numpy()
-    names = batch.column(3).flatten().dictionary_encode()
-    of, code = np.repeat(np.cumsum(fresh) - 1, size), names.indices.to_numpy()
-    counts = batch.column(4).flatten().to_numpy()
+    size = pa.compute.list_value_length(batch.column(2)).to_numpy()
+    names = batch.column(2).flatten().dictionary_encode()
     width = max(len(names.dictionary), 1)
-    order = np.argsort(of * width + code, kind="stable")
-    key = (of * width + code)[order]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    total = np.add.reduceat(counts[order], start) if len(key) else counts
-    size = np.bincount(key[start] // width, minlength=len(first))
-    return leaf_batch(lang.take(first), term.take(first), np.add.reduceat(batch.column(2).to_numpy(), first), size, names.dictionary.take(pa.array(key[start] % width)), total)
+    cell = np.repeat(np.cumsum(fresh) - 1, size) * width + names.indices.to_numpy()
+    counts = batch.column(3).flatten().to_numpy()
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    total = np.add.reduceat(counts[order], start) if len(cell) else counts
+    size = np.bincount(cell[start] // width, minlength=len(first))
+    return leaf_batch(key.take(first), np.add.reduceat(batch.column(1).to_numpy(), first), size, names.dictionary.take(pa.array(cell[start] % width)), total)
 
 
 def share(count: Column, total: Column) -> Column:
@@ -303,10 +330,10 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
     they stand. Only text, lang and source are read, whatever else docs has. An empty table gives an empty one.
     """
     counted = saved(count_terms(docs), "term-tries")
-    merged = saved(merge_leaves(counted), "term-leaves")
+    merged = saved(merge_leaves(counted, least_docs), "term-leaves")
     forget(counted)
     of_doc = merged.filter("term = X''").select("lang", F.explode("sources").alias("source"))
-    kept = merged.filter((F.col("term") != F.expr("X''")) & (F.col("df") >= least_docs))
+    kept = merged.filter("term <> X''")
     terms = kept.select("lang", "term", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("all"), F.explode(F.arrays_zip("sources", "counts")).alias("c"))
     terms = terms.select("lang", "term", "all", F.col("c.sources").alias("source"), F.col("c.counts").alias("n"))
     sums = terms.groupBy("lang", "source").agg(F.sum("n").alias("total"))
