@@ -219,3 +219,30 @@ def test_bounds_leave_out_work():
         full = clustering.nearest(x, c, of)
         assert (a == full[0]).all() and (lower <= full[2] * (1 + 1e-6) + 1e-3).all() and (upper >= np.sqrt(full[1]) - 1e-3).all()
     assert work < 0.6 * 6 * 3000 * 24
+
+
+# --- op8: many pivots
+
+
+def test_links_with_many_pivots_in_small_blocks_equal_brute_force(spark, monkeypatch):
+    """Several thousand vectors, as many pivots as are allowed, and rows in blocks of a few."""
+    from tidemark.llm import embedding_dup
+
+    for name, x in (("CELL", 50), ("MAX_PIVOTS", 64), ("GAPS", 256)):
+        monkeypatch.setattr(embedding_dup, name, x)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((700, 12))
+    rows = [(i, (base[rng.integers(700)] + rng.standard_normal(12) * rng.choice([0.0, 0.15, 0.6])).tolist(), int(i % 3 == 0)) for i in range(3000)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dup.op8(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array([e for _, e, _ in rows])
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    label = np.array([c for _, _, c in rows])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    comp = np.arange(3000)
+    while True:
+        new = np.minimum(comp, np.where(near, comp[None, :], 3000).min(axis=1))
+        if (new == comp).all():
+            break
+        comp = new
+    assert got == {i: (int(near[i].sum()), int(comp[i])) for i in range(3000)}

@@ -22,6 +22,8 @@ from tidemark.session import saved
 
 #: Rows for each pivot at least, and pivots in all at most: they are broadcast, dim x 8 bytes each.
 CELL, MAX_PIVOTS, BLOCK = 2000, 4096, 2048
+#: Distances of rows to pivots that are held at once: five arrays of 8 bytes each, some 40 MB.
+GAPS = 1 << 20
 
 
 def unit_rows(col: pa.Array) -> tuple[np.ndarray, list[bytes]]:
@@ -82,23 +84,26 @@ def _cells(reps: DataFrame, r: float) -> DataFrame:
         table, gaps = b.value
         for batch in batches:
             pdf = batch.to_pandas()
-            for key, part in pdf.groupby(["label", "dim"], sort=False):
+            for key, whole in pdf.groupby(["label", "dim"], sort=False):
                 p = table.get((key[0], int(key[1])))
-                if p is None:
-                    cell, row, home = np.zeros(len(part), np.int64), np.arange(len(part)), np.ones(len(part), bool)
-                else:
-                    x = np.frombuffer(b"".join(part["unit"])).reshape(len(part), -1)
-                    d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
-                    at = d.argmin(axis=1)
-                    own = d[np.arange(len(x)), at][:, None]
-                    gap = gaps[(key[0], int(key[1]))][at]
-                    eps = 1e-7  # rounding never loses a guest
-                    guest = (d <= own + 2 * r + eps) & (d * d - own * own <= 2 * gap * (r + eps) + eps)
-                    guest &= np.arange(len(p))[None, :] < at[:, None]
-                    row, cell = np.nonzero(guest)
-                    row, cell, home = np.concatenate([np.arange(len(x)), row]), np.concatenate([at, cell]), np.arange(len(x) + len(row)) < len(x)
-                out = part.iloc[row].assign(cell=cell.astype(np.int64), home=home)[["label", "dim", "cell", "home", "node", "mult", "unit"]]
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+                step = len(whole) if p is None else max(1, GAPS // len(p))
+                for lo in range(0, len(whole), step):
+                    part = whole.iloc[lo : lo + step]
+                    if p is None:
+                        cell, row, home = np.zeros(len(part), np.int64), np.arange(len(part)), np.ones(len(part), bool)
+                    else:
+                        x = np.frombuffer(b"".join(part["unit"])).reshape(len(part), -1)
+                        d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
+                        at = d.argmin(axis=1)
+                        own = d[np.arange(len(x)), at][:, None]
+                        gap = gaps[(key[0], int(key[1]))][at]
+                        eps = 1e-7  # rounding never loses a guest
+                        guest = (d <= own + 2 * r + eps) & (d * d - own * own <= 2 * gap * (r + eps) + eps)
+                        guest &= np.arange(len(p))[None, :] < at[:, None]
+                        row, cell = np.nonzero(guest)
+                        row, cell, home = np.concatenate([np.arange(len(x)), row]), np.concatenate([at, cell]), np.arange(len(x) + len(row)) < len(x)
+                    out = part.iloc[row].assign(cell=cell.astype(np.int64), home=home)[["label", "dim", "cell", "home", "node", "mult", "unit"]]
+                    yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
     return reps.select("label", "dim", "node", "mult", "unit").mapInArrow(run, "label string, dim int, cell long, home boolean, node long, mult long, unit binary")
 
