@@ -12,6 +12,12 @@ def trading_days(df: DataFrame, day: str = "d") -> DataFrame:
     return df.select(F.col(day).alias("d")).filter("d IS NOT NULL").distinct().withColumn("n", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("d")))
 
 
+def open_days(span: DataFrame, holidays: DataFrame) -> DataFrame:
+    """(d): the weekdays of span (first, last; one row) that are no holidays (d)."""
+    days = span.filter("first IS NOT NULL").select(F.explode(F.sequence("first", "last")).alias("d"))
+    return days.filter(F.weekday("d") < 5).join(holidays.select("d"), "d", "left_anti")
+
+
 def days_since(df: DataFrame, calendar: DataFrame, since: str, until: str, out: str = "days") -> DataFrame:
     """Trading days in (since, until]; NULL where a day lies outside the calendar, never clamped to 0."""
     span = calendar.agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"), F.array_sort(F.collect_list("d")).alias("_days"))

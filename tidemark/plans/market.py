@@ -73,11 +73,15 @@ def cal_point_in_time(spark, sf):
     return C.pit(o, F.lit("1996-06-30").cast("date"), "available", "event").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last_key"))
 
 
-@query("""SELECT CAST(x AS DATE) AS d FROM generate_series(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 1 DAY) t(x) WHERE isodow(x) <= 5 AND CAST(x AS DATE) NOT IN (DATE '2024-01-01', DATE '2024-02-12', DATE '2024-02-13')""")
+@query("""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1), h AS (SELECT d FROM o WHERE n < 0.4 * (SELECT avg(n) FROM o) AND isodow(d) <= 5)
+SELECT CAST(x AS DATE) AS d, coalesce(o.n, 0) AS orders FROM generate_series((SELECT min(d) FROM o), (SELECT max(d) FROM o), INTERVAL 1 DAY) t(x) LEFT JOIN o ON o.d = CAST(x AS DATE) WHERE isodow(x) <= 5 AND CAST(x AS DATE) NOT IN (SELECT d FROM h)""")
 def cal_open_days_by_rule(spark, sf):
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-03-31").cast("date"))).alias("d"))
-    holidays = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("date") for x in ("2024-01-01", "2024-02-12", "2024-02-13")])).alias("d"))
-    return days.filter(F.weekday("d") < 5).join(holidays, "d", "left_anti")
+    """Weekdays over the orders' time, less days that orders show as holidays (under four tenths of the mean day)."""
+    o = table(spark, sf, "orders").filter("o_orderdate IS NOT NULL").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    mean = o.agg(F.avg("n").alias("mean"))
+    holidays = o.join(F.broadcast(mean), F.col("n") < 0.4 * F.col("mean")).filter(F.weekday("d") < 5)
+    days = C.open_days(o.agg(F.min("d").alias("first"), F.max("d").alias("last")), holidays)
+    return days.join(o, "d", "left").select("d", F.coalesce("n", F.lit(0)).cast("long").alias("orders"))
 
 
 # --- prices

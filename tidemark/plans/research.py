@@ -65,7 +65,10 @@ def paper_nav_drawdown(spark, sf):
     return S.nav(o, "d", "r").select("d", off(F.col("bag_ret") * 100, 5).alias("bag_ret"), off("nav", 4).alias("nav"), off("drawdown", 4).alias("drawdown"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {LINE_BARS_SQL}, x AS (SELECT code, d, low, high, row_number() OVER (PARTITION BY code ORDER BY d) AS i, min(low) OVER a AS lo, count(*) OVER a AS n, max(high) OVER f AS top FROM bars WINDOW a AS (PARTITION BY code ORDER BY d ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), f AS (PARTITION BY code ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING)),
+p AS (SELECT x.code, x.d, x.i, x.top / x.low - 1 AS gain, min(h.i) AS pi FROM x JOIN x h ON h.code = x.code AND h.i BETWEEN x.i + 1 AND x.i + 60 AND h.high = x.top WHERE x.n = 11 AND x.low = x.lo AND x.low > 0 AND x.top / x.low - 1 >= 0.6 GROUP BY ALL HAVING min(h.i) - x.i >= 5),
+nx AS (SELECT a.code, a.i, min(b.i) AS nx FROM p a JOIN p b ON b.code = a.code AND b.i > a.pi GROUP BY 1, 2), k AS (SELECT code, min(i) AS i FROM p GROUP BY code UNION ALL SELECT k.code, nx.nx FROM k JOIN nx ON nx.code = k.code AND nx.i = k.i)
+SELECT p.code, p.d AS bottom, x.d AS peak, gain, pi - p.i AS days FROM k JOIN p ON p.code = k.code AND p.i = k.i JOIN x ON x.code = p.code AND x.i = p.pi""")
 def rally_episodes(spark, sf):
     return S.rally_scan(line_bars(spark, sf), side=5, ahead=60, gain=0.6, least=5)
 
@@ -85,14 +88,27 @@ def _moves(spark, sf):
     return o.select(F.col("o_custkey").alias("holder"), (F.col("o_orderkey") % 3).alias("stock"), "d", F.col("o_orderkey").alias("seq"), kind.alias("kind"), (F.col("o_orderkey") % 50 + 1).cast("double").alias("shares"), price.alias("price"))
 
 
-@query(None)
+_EPISODES = """q AS (SELECT *, o_orderkey % 3 AS stock, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS k FROM orders),
+m AS (SELECT o_custkey AS holder, stock, k AS rn, CAST(o_orderdate AS DATE) AS d, CASE WHEN k % 5 = 0 THEN 'exit' WHEN k % 5 = 1 THEN 'new' WHEN k % 2 = 0 THEN 'add' ELSE 'trim' END AS kind, (o_orderkey % 50 + 1)::DOUBLE AS n, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice / 1000 END AS px FROM q),
+s AS (SELECT DISTINCT holder, stock, 0::BIGINT AS rn, false AS open, NULL::DATE AS opened, false AS seeded, 0::DOUBLE AS sh, 0::DOUBLE AS peak, 0::DOUBLE AS cost, 0::DOUBLE AS got, NULL::VARCHAR AS status, NULL::DATE AS closed, NULL::DATE AS e_opened, NULL::BOOLEAN AS e_seeded, NULL::DOUBLE AS e_peak, NULL::DOUBLE AS e_cost, NULL::DOUBLE AS e_got FROM m
+UNION ALL SELECT holder, stock, rn, CASE WHEN b IN (1, 2) THEN false WHEN b IN (3, 4) THEN true ELSE open END, CASE WHEN b IN (3, 4) THEN d ELSE opened END, CASE WHEN b IN (3, 4) THEN kind <> 'new' ELSE seeded END, CASE WHEN b > 2 THEN n ELSE sh END, CASE b WHEN 3 THEN n WHEN 4 THEN n WHEN 5 THEN greatest(peak, n) ELSE peak END,
+ CASE b WHEN 3 THEN px WHEN 4 THEN px WHEN 5 THEN (cost * sh + (n - sh) * px) / n ELSE cost END, CASE b WHEN 3 THEN 0 WHEN 4 THEN 0 WHEN 6 THEN got + (sh - n) * (px - cost) ELSE got END, CASE b WHEN 1 THEN 'unpriced_close' WHEN 2 THEN 'closed' WHEN 4 THEN 'superseded' END, d, opened, seeded, peak, cost, CASE WHEN b = 1 THEN got ELSE got + sh * (px - cost) END
+ FROM (SELECT s.* EXCLUDE (rn, status, closed, e_opened, e_seeded, e_peak, e_cost, e_got), m.rn, m.d, m.kind, m.n, m.px, CASE WHEN kind = 'exit' AND NOT open THEN 0 WHEN kind = 'exit' AND px IS NULL THEN 1 WHEN kind = 'exit' THEN 2 WHEN px IS NULL THEN 0 WHEN NOT open THEN 3 WHEN kind = 'new' THEN 4 WHEN n > sh THEN 5 ELSE 6 END AS b FROM s JOIN m ON m.holder = s.holder AND m.stock = s.stock AND m.rn = s.rn + 1)),
+e AS (SELECT holder, stock, e_opened AS opened, closed, status, e_seeded AS seeded, e_peak AS peak_shares, e_cost AS cost, e_got AS realized FROM s WHERE status IS NOT NULL UNION ALL SELECT holder, stock, opened, NULL, 'holding', seeded, peak, cost, got FROM s WHERE open AND rn = (SELECT max(rn) FROM m WHERE m.holder = s.holder AND m.stock = s.stock)),
+episodes AS (SELECT *, CASE WHEN cost * peak_shares > 0 THEN realized / (cost * peak_shares) END AS ret FROM e)"""
+
+
+@query(f"WITH RECURSIVE {_EPISODES} SELECT * REPLACE (round(cost + 3e-7, 4) AS cost, round(realized + 3e-6, 3) AS realized, round(ret + 3e-9, 6) + 0.0 AS ret) FROM episodes")
 def holding_episodes(spark, sf):
-    return S.episodes(_moves(spark, sf))
+    e = S.episodes(_moves(spark, sf))
+    return e.withColumns({"cost": off("cost", 4), "realized": off("realized", 3), "ret": off("ret", 6) + 0.0})
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_EPISODES}, g AS (SELECT holder, count(*) AS episodes, count(*) FILTER (WHERE status = 'holding') AS holding, count(*) FILTER (WHERE r) AS rankable, round(avg((ret > 0)::INT) FILTER (WHERE r), 6) AS win_rate, round(median(ret) FILTER (WHERE r) + 3e-7, 4) + 0.0 AS median_ret FROM (SELECT *, status = 'closed' AND NOT seeded AND ret IS NOT NULL AS r FROM episodes) GROUP BY holder)
+SELECT *, CASE WHEN rankable >= 3 THEN 'ranked' WHEN rankable > 0 THEN 'low_sample' WHEN holding = episodes THEN 'holding_only' ELSE 'no_closed' END AS metrics_status FROM g""")
 def holding_profiles(spark, sf):
-    return S.profiles(S.episodes(_moves(spark, sf)), least=3)
+    p = S.profiles(S.episodes(_moves(spark, sf)), least=3)
+    return p.withColumns({"win_rate": F.round("win_rate", 6), "median_ret": off("median_ret", 4) + 0.0})
 
 
 @query(f"""WITH {LINE_BARS_SQL}, x AS (SELECT code, d, close, lead(open) OVER w AS eo, lead(vol) OVER w AS ev, lead(open, 6) OVER w AS xo, lead(vol, 6) OVER w AS xv FROM bars WINDOW w AS (PARTITION BY code ORDER BY d)), p AS (SELECT code, d FROM (SELECT code, d, row_number() OVER (PARTITION BY d ORDER BY amount DESC, code) AS rn FROM bars) WHERE rn <= 3),
