@@ -44,3 +44,20 @@ def test_strata_are_one_to_one_and_as_known(spark):
     assert got == {(1, D): ("new", "b", "q", "low"), (1, D + dt.timedelta(9)): ("new", "b", None, None), (2, D): (None, None, None, "high"), (None, D): (None, None, None, None)}
     none = {r.check: r.bad for r in T.landing_checks(ep.limit(0), {"x": F.col("base_days") > 0}, ["code"], ep).collect()}
     assert none == {"x": 0, "repeated": 0, "missing": 3, "unexpected": 0}
+
+
+def test_interval_join_equals_a_look_at_every_span(spark):
+    import random
+
+    from tidemark.operators.relational import interval_join
+
+    rng = random.Random(11)
+    spans = [(rng.choice("ab"), s := rng.choice([None, *range(30)]), None if s is None else rng.choice([None, s - 1, s, s + rng.randint(1, 15)]), k) for k in range(40)]
+    left = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(-2, 40)]), k % 5) for k in range(200)]
+    for closed in (False, True):
+        got = interval_join(spark.createDataFrame(left, "k string, t int, n int"), spark.createDataFrame(spans, "k string, s int, e long, v int"), ["k"], "t", "s", "e", ["v"], closed).collect()
+        want = []
+        for k, t, n in left:
+            fit = [(s, v) for c, s, e, v in spans if c == k and t is not None and s is not None and s <= t and (e is None or e > t or (closed and e == t))]
+            want.append((k, t, n, max(fit)[1] if fit else None))
+        assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))

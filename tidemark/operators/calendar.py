@@ -18,12 +18,23 @@ def open_days(span: DataFrame, holidays: DataFrame) -> DataFrame:
     return days.filter(F.weekday("d") < 5).join(holidays.select("d"), "d", "left_anti")
 
 
+def ordinals(calendar: DataFrame) -> DataFrame:
+    """(day, n): of every day from the calendar's first to its last, open or not, how many trading days there are up to it."""
+    span = calendar.agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("day"))
+    open_ = calendar.select(F.col("d").alias("day"), F.lit(1).alias("_o")).distinct()
+    w = W.partitionBy(F.lit(0)).orderBy("day").rowsBetween(W.unboundedPreceding, 0)  # days only: bounded by years
+    return span.join(open_, "day", "left").select("day", F.count("_o").over(w).alias("n"))
+
+
 def days_since(df: DataFrame, calendar: DataFrame, since: str, until: str, out: str = "days") -> DataFrame:
-    """Trading days in (since, until]; NULL where a day lies outside the calendar, never clamped to 0."""
-    span = calendar.agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"), F.array_sort(F.collect_list("d")).alias("_days"))
-    inside = F.col(since).between(F.col("_lo"), F.col("_hi")) & F.col(until).between(F.col("_lo"), F.col("_hi"))
-    n = F.size(F.filter("_days", lambda x: (x > F.col(since)) & (x <= F.col(until)))).cast("long")
-    return df.join(F.broadcast(span), F.lit(True)).withColumn(out, F.when(inside, n)).drop("_lo", "_hi", "_days")
+    """Trading days in (since, until], 0 if until is not later; NULL where a day lies outside the calendar, never clamped to 0.
+
+    Both days meet their ordinal in a table of days, which is small enough to broadcast.
+    """
+    n = ordinals(calendar)
+    a, b = F.broadcast(n.select(F.col("day").alias("_a"), F.col("n").alias("_na"))), F.broadcast(n.select(F.col("day").alias("_b"), F.col("n").alias("_nb")))
+    j = df.join(a, F.col(since).cast("date") == F.col("_a"), "left").join(b, F.col(until).cast("date") == F.col("_b"), "left")
+    return j.withColumn(out, F.greatest(F.when(F.col("_na").isNotNull(), F.col("_nb") - F.col("_na")), F.when(F.col("_na").isNotNull() & F.col("_nb").isNotNull(), F.lit(0).cast("long")))).drop("_a", "_na", "_b", "_nb")
 
 
 def period_keys(day: Column) -> dict[str, Column]:

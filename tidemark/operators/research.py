@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import calendar as C
 from tidemark.operators import windows as X
 
 Z = 1.959963984540054
@@ -229,8 +230,12 @@ def walk_forward(days: DataFrame, folds: int, embargo: int, holdout: int) -> Dat
 def first_signal_day(events: DataFrame, calendar: DataFrame) -> DataFrame:
     """events (stock, available, score): one row for each stock and first available day, at the next trading day."""
     g = events.groupBy("stock", "available").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("rows"))
-    span = calendar.agg(F.array_sort(F.collect_list("d")).alias("_days"))
-    return g.join(F.broadcast(span), F.lit(True)).withColumn("signal_day", F.try_element_at(F.filter("_days", lambda x: x > F.col("available")), F.lit(1))).drop("_days")
+    days = C.trading_days(calendar).select(F.col("d").alias("signal_day"), F.col("n").alias("_k"))
+    n = C.ordinals(calendar).select(F.col("day").alias("_day"), "n")
+    first = calendar.agg(F.min("d").alias("_first"))
+    g = g.join(F.broadcast(n), F.col("available").cast("date") == F.col("_day"), "left").join(F.broadcast(first), F.lit(True))
+    g = g.withColumn("_k", F.when(F.col("available") < F.col("_first"), 1).otherwise(F.col("n") + 1))
+    return g.join(F.broadcast(days), "_k", "left").select("stock", "available", "score", "rows", "signal_day")
 
 
 def holder_exits(reports: DataFrame) -> DataFrame:
