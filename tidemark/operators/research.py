@@ -190,14 +190,17 @@ def event_hold(events: DataFrame, bars: DataFrame, max_hold: int = 20, chase: in
         b = pdf[pdf["kind"] == "bar"].sort_values("d")
         days, opens, vols = b["d"].tolist(), b["open"].to_numpy(), b["vol"].to_numpy()
         tradable = (opens > 0) & (vols > 0)
-        nxt = lambda day: next((k for k in range(int(np.searchsorted(np.array(days, dtype="datetime64[D]"), np.datetime64(day), "right")), len(days)) if tradable[k]), None)
+        at, ahead = np.array(days, dtype="datetime64[D]"), [None] * (len(days) + 1)
+        for k in range(len(days) - 1, -1, -1):  # the next tradable bar from each one on, in one pass backwards
+            ahead[k] = k if tradable[k] else ahead[k + 1]
+        after = lambda day: int(np.searchsorted(at, np.datetime64(day), "right"))
+        nxt = lambda day: ahead[after(day)]
         ev = sorted(((d, 0 if k == "entry" else 1) for d, k in zip(pdf["d"], pdf["kind"], strict=True) if k in ("entry", "exit")))
         rows, free = [], None
         for d, what in ev:
             if what or (free is not None and d < free):
                 continue
-            first = int(np.searchsorted(np.array(days, dtype="datetime64[D]"), np.datetime64(d), "right"))
-            k = nxt(d)
+            first, k = after(d), nxt(d)
             if k is None or k - first > chase:
                 rows.append((pdf["code"].iloc[0], d, None, "unfilled", None))
                 free = d
