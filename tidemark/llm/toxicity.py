@@ -31,7 +31,7 @@ NET_ROWS, NET_BYTES = 400, 4_000_000
 #: Distance of the windows in training, and the most windows of a step; of a longer text those of the largest logits.
 NET_STRIDE, NET_WINDOWS = 16, 2048
 #: Windows that are scored side by side.
-BLOCK = 2048
+BLOCK = 4096
 GRAMS = (3, 5, 7)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 INPUTS = 5 + DIM
@@ -190,9 +190,15 @@ class Net:
         states = np.empty((t, 2 * h, steps[0].shape[1]), np.float32)
         for d, order in (("f", range(t)), ("b", range(t - 1, -1, -1))):
             low, U = (0 if d == "f" else h), np.ascontiguousarray(p[f"U{d}"].T) / 2
-            s = np.zeros((h, states.shape[2]), np.float32)
+            s = None
             for k in order:
                 x = steps[k][3 * low : 3 * (low + h)]
+                if s is None:  # nothing before the first word
+                    z, c = np.tanh(x[:h]), np.tanh(x[2 * h :])
+                    z += 1
+                    z *= c
+                    s = np.divide(z, 2, out=states[k, low : low + h])
+                    continue
                 g = U[: 2 * h] @ s
                 g += x[: 2 * h]
                 np.tanh(g, out=g)
