@@ -202,3 +202,10 @@ def test_rejections_stand_and_leave_the_version(spark, tmp_path):
     assert store.accept(plain).code == "MISSING_FIELDS"
     store.accept(land(store, spark, "next", [("p2", 1, 1.0), ("p2", 2, 1.0)], "p2"))
     assert {r[0] for r in shown(store)} == {"p/1", "p2"} and sinks.exists(spark, str(tmp_path / "versions"))
+
+
+def test_cut_proof_reads_inputs_that_differ_when_worked_out_anew_once(spark):
+    noise = F.udf(random.random, "double").asNondeterministic()
+    df = spark.range(50).select("id", F.lit(D0).alias("d"), noise().alias("x"))
+    r = proof.cut_proof(lambda t: t["x"], {"x": (df, "d")}, [D0], "d").first()
+    assert (r["rows"], r["only_cut"], r["only_full"]) == (50, 0, 0)
