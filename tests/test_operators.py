@@ -1,6 +1,8 @@
 """Operators on literals: boundaries, NULLs, ties, empty inputs and sequential state."""
 
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pytest
@@ -308,3 +310,40 @@ def test_special_prefix(spark):
     need = spark.createDataFrame([(D(0), 1), (D(1), 1), (D(2), 1)], "d date, code int")
     assert rows(R2.special_members(need, n, f), "d", "code") == [(D(0), 1, "names"), (D(0), 2, "names"), (D(1), 1, "flags")]
     assert rows(R2.special_paths(need, n, f), "d") == [(D(0), "names", 1), (D(1), "flags", 0), (D(2), None, 1)]
+
+
+def test_segments_by_day_ties_amounts_whose_sums_differ_in_the_last_bit(spark, tmp_path):
+    from tidemark.plans.domain import segments_by_day
+
+    at = dt.datetime(2024, 1, 4, 9)
+    users = {1: [0.1, 0.2, 0.3], 2: [0.3, 0.2, 0.1], 3: [5.0], 4: [6.0], 5: [7.0], 6: [0.01]}
+    rows = [(10 * u + i, at + dt.timedelta(seconds=i), u, v) for u, vs in users.items() for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert {r["code"]: r["cap_band"] for r in segments_by_day(spark, str(tmp_path)).collect() if r["code"] < 3} == {1: "small", 2: "small"}
+
+
+def test_array_frames_equal_sparks_frames(spark):
+    rng = random.Random(5)
+    draw = lambda: rng.choice([None, float("nan"), 0.0, 1.0, -1.0]) if rng.random() < 0.3 else rng.uniform(1, 9)
+    rows = [(c, k, draw()) for c in (1, 2, None) for k in rng.sample(range(100), 30)]
+    df = spark.createDataFrame(rows, "code long, d int, x double")
+    hows = ("count", "sum", "avg", "min", "max", "var_pop", "stddev_pop", "stddev_samp")
+    spec = {f"{h}{lo}{hi}": (h, "x", lo, hi) for h in hows for lo, hi in ((-4, 0), (-6, -2))} | {"below": ("below", "x", -4, 0), "lag3": ("lag", "x", -3, 0), "slope": ("slope", "x", -4, 0), "r2": ("r2", "x", -4, 0), "full_below": ("below", "x", -4, 0)}
+    over = lambda lo, hi: X.over(["code"], ["d"], lo, hi)
+    want = {n: getattr(F, h)("x").over(over(lo, hi)) for n, (h, _, lo, hi) in spec.items() if h in hows}
+    seen = F.collect_list("x").over(over(-4, 0))
+    below = F.when(F.col("x").isNotNull(), F.size(F.filter(seen, lambda v: v < F.col("x"))))
+    n = F.row_number().over(X.over(["code"], ["d"]))
+    want |= {"below": below, "full_below": F.when(F.size(seen) == 5, below), "lag3": F.lag("x", 3).over(X.over(["code"], ["d"])), "slope": F.regr_slope("x", "_n").over(over(-4, 0)), "r2": F.regr_r2("x", "_n").over(over(-4, 0))}
+    got = {(r["code"], r["d"]): r for r in X.frames(df, ["code"], ["d"], spec).collect()}
+    for r in df.withColumn("_n", n).withColumns(want).collect():
+        for c in want:
+            a, b = got[r["code"], r["d"]][c], r[c]
+            same = a is b is None or (a is not None and b is not None and (math.isnan(a) and math.isnan(b) or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)))
+            assert same, (r, c, a, b)
+
+
+def test_array_frames_find_the_deepest_fall_and_keep_other_columns(spark):
+    rows = [(1, k, x, "s") for k, x in enumerate([5.0, 10.0, 4.0, 8.0, None, 12.0, 9.0])]
+    got = X.frames(spark.createDataFrame(rows, "code long, d int, x double, s string"), ["code"], ["d"], {"fall": ("fall", "x", -2, 0)}).orderBy("d").collect()
+    assert [round(r["fall"], 3) for r in got] == [0, 0, 0.6, 0.6, 0, 0, 0.25] and {r["s"] for r in got} == {"s"}
