@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import states as S
 from tidemark.operators import technical as T
 from tidemark.operators.relational import asof_join
+from tidemark.session import saved
 
 #: Frames by period, with the windows of each.
 FRAMES = {"day": S.DAILY, "week": S.WEEKLY, "month": S.MONTHLY}
@@ -51,7 +52,7 @@ def form_table(bars: DataFrame, calendar: DataFrame, bench: DataFrame | None = N
     for c in LIMITS:
         if c not in bars.columns:
             bars = bars.withColumn(c, F.lit(None).cast("double"))
-    d = S.axes(S.limit_views(S.features(bars, bench, frames["day"]), tolerance))
+    d = saved(S.axes(S.limit_views(S.features(bars, bench, frames["day"]), tolerance)), "form-states")  # read by events and labels
     events = S.breakouts(d, **(breakout or {})).select("code", "d", "base_days", F.lit(True).alias("breakout"))
     out = S.labels(d).select("code", "d", *[c for n in S.AXES for c in (n, f"{n}_score")], "label", "sub", (~F.col("is_up_limit")).alias("buyable"), (~F.col("is_down_limit")).alias("sellable"), "is_one_word")
     for period in ("week", "month"):
