@@ -85,15 +85,21 @@ def pullback_confirm(bars: DataFrame) -> DataFrame:
     """Entry on a pullback in an up trend whose earlier crossings mostly came back fast; exit on a sell crossing."""
     c = F.col("close")
     d = turns(bars).withColumn("_sold", since(F.col("sell"))).withColumn("_bought", since(F.col("buy"))).withColumn("_down", F.col("_sold") < F.col("_bought"))
-    d = X.run_length(d, ["code"], ["d"], F.col("_down"), "_fall").withColumns({f"_m{n}": mean(n) for n in (20, 60, 90)})
     back = F.col("buy") & (F.col("_sold") > 0)
-    fast, total = count(back & (F.col("_sold") <= 3), 90), count(back, 90)
-    history = (fast >= 1) & (fast * 100 >= total * 40)
-    calm = (F.max("_fall").over(frame(45)) <= 8) & (count(F.col("_down"), 45) / 45 <= 0.6)  # a run counts from where it began
-    steady = (F.max(F.when(F.col("buy"), F.col("_sold")).otherwise(0)).over(frame(90)) <= 20) & (count(F.col("buy") & (F.col("_sold") > 10), 90) <= 2)
-    order = (F.col("_m20") > F.col("_m60")) & (F.col("_m60") > F.col("_m90")) & (c > F.col("_m90")) & (c > 0.97 * F.col("_m60"))
-    rising = (F.col("_m60") > F.lag("_m60", 20).over(by())) & (F.col("_m90") > F.lag("_m90", 20).over(by()))
-    depth = c / F.max("high").over(frame(20))
+    d = X.run_length(d, ["code"], ["d"], F.col("_down"), "_fall")
+    # flags as numbers: their sums over frames are whole
+    flags = {"_fast": back & (F.col("_sold") <= 3), "_back": back, "_slow": F.col("buy") & (F.col("_sold") > 10), "_downs": F.col("_down")}
+    d = d.withColumns({n: f.cast("int") for n, f in flags.items()}).withColumn("_held", F.when(F.col("buy"), F.col("_sold")).otherwise(0))
+    spec = {f"full_m{n}": ("avg", "close", 1 - n, 0) for n in (20, 60, 90)} | {"_l60": ("lag", "full_m60", -20, 0), "_l90": ("lag", "full_m90", -20, 0), "_top": ("max", "high", -19, 0)}
+    spec |= {"_f90": ("sum", "_fast", -89, 0), "_b90": ("sum", "_back", -89, 0), "_s90": ("sum", "_slow", -89, 0), "_d45": ("sum", "_downs", -44, 0), "_longest": ("max", "_fall", -44, 0), "_latest": ("max", "_held", -89, 0)}
+    d = X.frames(d.select("code", "d", "high", "close", "sell", "_sold", "_down", "_fall", "_held", *flags), ["code"], ["d"], spec)
+    m20, m60, m90 = (F.col(f"full_m{n}") for n in (20, 60, 90))
+    history = (F.col("_f90") >= 1) & (F.col("_f90") * 100 >= F.col("_b90") * 40)
+    calm = (F.col("_longest") <= 8) & (F.col("_d45") / 45 <= 0.6)  # a run counts from where it began
+    steady = (F.col("_latest") <= 20) & (F.col("_s90") <= 2)
+    order = (m20 > m60) & (m60 > m90) & (c > m90) & (c > 0.97 * m60)
+    rising = (m60 > F.col("_l60")) & (m90 > F.col("_l90"))
+    depth = c / F.col("_top")
     entry = F.col("_down") & (F.col("_sold") <= 3) & history & calm & steady & order & rising & depth.between(0.78, 0.995)
     return d.select("code", "d", true(entry).alias("entry"), F.col("sell").alias("exit"))
 

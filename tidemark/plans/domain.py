@@ -8,7 +8,7 @@ from tidemark.operators import domain as D
 from tidemark.operators import formulas as M
 from tidemark.plans.market import off
 from tidemark.sources.bars import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars
-from tidemark.session import table
+from tidemark.session import saved, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -68,8 +68,9 @@ def formula_volume_base(spark, sf):
 SELECT x.f AS a, y.f AS b, count(*) AS shared FROM e x JOIN e y ON x.code = y.code AND x.d = y.d AND x.f < y.f GROUP BY 1, 2""")
 def formula_overlaps(spark, sf):
     b = line_bars(spark, sf)
-    exits = M.signals(b, "raw_crossing").select("code", "d", F.col("exit").alias("entry"))
-    return M.overlaps({"raw_crossing": M.signals(b, "raw_crossing"), "exit_of_average": M.signals(b, "average_base").select("code", "d", F.col("exit").alias("entry")), "raw_exit": exits})
+    turns = saved(M.signals(b, "raw_crossing").filter("entry OR exit"), "turns")
+    exits = turns.select("code", "d", F.col("exit").alias("entry"))
+    return M.overlaps({"raw_crossing": turns, "exit_of_average": M.signals(b, "average_base").select("code", "d", F.col("exit").alias("entry")), "raw_exit": exits})
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'code:' || c_custkey ELSE 'name:' || lower(trim(c_name)) END AS holder_key, CASE WHEN c_custkey % 3 = 0 THEN 'institution' WHEN c_custkey % 5 = 1 THEN CASE WHEN c_acctbal > 0 THEN 'institution' ELSE 'person' END WHEN c_mktsegment = 'BUILDING' THEN 'person' ELSE 'institution' END AS kind,
