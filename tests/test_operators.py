@@ -347,3 +347,11 @@ def test_array_frames_find_the_deepest_fall_and_keep_other_columns(spark):
     rows = [(1, k, x, "s") for k, x in enumerate([5.0, 10.0, 4.0, 8.0, None, 12.0, 9.0])]
     got = X.frames(spark.createDataFrame(rows, "code long, d int, x double, s string"), ["code"], ["d"], {"fall": ("fall", "x", -2, 0)}).orderBy("d").collect()
     assert [round(r["fall"], 3) for r in got] == [0, 0, 0.6, 0.6, 0, 0, 0.25] and {r["s"] for r in got} == {"s"}
+
+
+def test_runs_and_streaks_take_few_sorts_and_wide_frames_none_of_sparks(spark):
+    rows = spark.createDataFrame([(1, 1, 1.0, 2.0)], "code long, d int, net double, pct double")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(X.run_length(rows, ["code"], ["d"], F.col("net") > 0, "n")).count("Sort [") == 1
+    p = plan(L.annotate(rows, ["code"]))
+    assert p.count("Sort [") <= 3 and "stddev_samp(" not in p

@@ -16,23 +16,23 @@ def annotate(df: DataFrame, keys: list[str], prior: int = 120, cum: int = 20, su
     px_cum compounds pct inside the streak. A surge comes before accumulation, which is silent while |px_cum| < quiet
     and driving when the price moved with the flow; NULL net has a NULL regime.
     """
-    o = ["d"]
-    s = X.sign(F.col("net"))
-    d = df.withColumn("_s", s).withColumn("_i", F.row_number().over(X.over(keys, o)) - F.row_number().over(W.partitionBy(*keys, "_s").orderBy(*o)))
-    inside = W.partitionBy(*keys, "_s", "_i").orderBy(*o).rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("streak", (F.col("_s") * F.row_number().over(W.partitionBy(*keys, "_s", "_i").orderBy(*o))).cast("long"))
-    d = d.withColumn("z", X.zscore_prior("net", keys, o, prior))
+    o, w = ["d"], X.over(keys, ["d"], -(cum - 1), 0)
+    spec = {"full_z_mean": ("avg", "net", -prior, -1), "full_z_sd": ("stddev_samp", "net", -prior, -1)}
+    d = X.frames(df, keys, o, spec).withColumns({"_s": X.sign(F.col("net")), "_i": F.row_number().over(X.over(keys, o)), "cum_net": F.sum("net").over(w), "cum_cnt": F.count("net").over(w)})
+    d = d.withColumn("z", F.when(F.col("full_z_sd") > 0, (F.col("net") - F.col("full_z_mean")) / F.col("full_z_sd")))
+    new = (F.col("_i") == 1) | ~F.col("_s").eqNullSafe(F.lag("_s").over(X.over(keys, o)))
+    d = d.withColumn("_new", new).withColumn("_start", F.max(F.when(F.col("_new"), F.col("_i"))).over(X.over(keys, o, None, 0)))
+    d = d.withColumn("streak", (F.col("_s") * (F.col("_i") - F.col("_start") + 1)).cast("long")).drop("full_z_mean", "full_z_sd", "_new")
     step = F.when(F.col("pct") > -100, F.ln(1 + F.col("pct") / 100))
+    inside = W.partitionBy(*keys, "_start").orderBy(*o).rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("px_cum", (F.exp(F.sum(step).over(inside)) - 1) * 100)
-    w = X.over(keys, o, -(cum - 1), 0)
-    d = d.withColumn("cum_net", F.sum("net").over(w)).withColumn("cum_cnt", F.count("net").over(w))
     n, z, p, k = F.col("net"), F.col("z"), F.col("px_cum"), F.col("streak")
     regime = (
         F.when(n.isNull(), F.lit(None).cast("string")).when((z >= surge) & (n > 0), "surge_in").when((z <= -surge) & (n < 0), "surge_out")
         .when((k >= run) & (F.abs(p) < quiet), "accum_in_silent").when((k >= run) & (p >= quiet), "accum_in_driving")
         .when((k <= -run) & (F.abs(p) < quiet), "accum_out_silent").when((k <= -run) & (p <= -quiet), "accum_out_driving").otherwise("neutral")
     )
-    return d.withColumn("regime", regime).drop("_s", "_i")
+    return d.withColumn("regime", regime).drop("_s", "_i", "_start")
 
 
 def quiet_days(df: DataFrame, keys: list[str], most: float = 1.0) -> DataFrame:
