@@ -97,3 +97,13 @@ def test_trades_equal_a_walk(spark, seed, hold, use, trail, delay):
     seen = Counter(r.status for r in got)
     assert seen["closed"] > 20 and seen["pending"] and seen["unfilled"] and (seen["open"] or hold == 1) and (seen["blocked"] or hold != 6)
     assert R.sell_rule_trades(picks.limit(0), df, F.lit(0.1), hold).count() == 0
+
+
+def test_tasks_follow_the_bars(spark, monkeypatch):
+    """Sorts are of a bounded number of bars."""
+    from tidemark import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 60)
+    df = spark.createDataFrame(bars(4), SCHEMA)
+    t = R.sell_rule_trades(df.select("code", "d"), df, F.lit(0.1), 6, [("flag", F.col("flag"))], 0.12, 2)
+    assert t.rdd.getNumPartitions() == -(-df.count() // 60)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import price as P
+from tidemark.session import in_tasks
 
 
 def sell_rule_trades(signals: DataFrame, bars: DataFrame, band: Column, hold: int, exits: list[tuple[str, Column]] | None = None, trail: float | None = None, delay: int = 3) -> DataFrame:
@@ -23,13 +24,18 @@ def sell_rule_trades(signals: DataFrame, bars: DataFrame, band: Column, hold: in
     last bar) or `closed`. drop is the lowest low from the buy to the sale (or last bar) against the buy price, 0 at most. A
     price of 0 or less gives no return. Trades of one code may overlap; repeated signals are one.
 
-    Everything is frames over one code's bars: the bars ahead of a buy are an array of at most hold + 1, walked once.
+    Everything is frames over one code's bars: the bars ahead of a buy are an array of at most hold + 1, walked once. Signals
+    are stacked with the bars and meet them in the same sort. Bars are counted first, so pass a written table: tasks are of a
+    bounded number of bars.
     """
     w = W.partitionBy("code").orderBy("d")
-    back = W.partitionBy("code").orderBy(F.desc("d")).rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("code").orderBy(F.desc("d"))
+    back, later = down.rowsBetween(W.unboundedPreceding, 0), down.rowsBetween(W.unboundedPreceding, -1)
     soon, ahead = w.rowsBetween(1, 1 + delay), w.rowsBetween(0, hold)
-    b = P.guarded_vwap(P.limit_flags(bars, band))
-    b = b.join(signals.select("code", "d").distinct().withColumn("_signal", F.lit(True)), ["code", "d"], "left")
+    asked = signals.select("code", "d", F.lit(True).alias("_signal")).dropna()
+    b = in_tasks(bars.withColumn("_bar", F.lit(True)).unionByName(asked, allowMissingColumns=True), bars.count(), "code")
+    b = b.withColumn("_signal", F.max("_signal").over(W.partitionBy("code", "d"))).filter("_bar")
+    b = P.guarded_vwap(P.limit_flags(b, band))
     rule = F.lit(None).cast("string")
     for name, met in reversed(exits or []):
         rule = F.when(met, name).otherwise(rule)
@@ -39,7 +45,7 @@ def sell_rule_trades(signals: DataFrame, bars: DataFrame, band: Column, hold: in
     b = b.withColumns({
         # the bars that share a sale lie before it, so this is the lowest low from a bar to its sale
         "_tail": F.min("low").over(W.partitionBy("code", "_sell.i").orderBy(F.desc("d")).rowsBetween(W.unboundedPreceding, 0)),
-        "_exit": F.min(F.when(F.col("_rule").isNotNull(), F.struct("i", F.col("_rule").alias("rule")))).over(w.rowsBetween(1, W.unboundedFollowing)),
+        "_exit": F.last(F.when(F.col("_rule").isNotNull(), F.struct("i", F.col("_rule").alias("rule"))), True).over(later),
         "_end": F.first(F.struct("i", "d", F.col("vwap").alias("px"), F.col("_no_sell").alias("why"))).over(back),
     })
     b = b.withColumn("_ahead", F.collect_list(F.struct("i", "low", "close", F.col("_sell").alias("sell"), F.col("_tail").alias("tail"))).over(ahead))

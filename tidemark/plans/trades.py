@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import trades as R
 from tidemark.plans.market import off
+from tidemark.session import in_tasks, saved
 from tidemark.sources.bars import LINE_BARS_SQL, line_bars
 
 QUERIES, ORACLE = {}, {}
@@ -38,7 +39,8 @@ FROM st LEFT JOIN x b ON b.code = st.code AND b.i = bi LEFT JOIN x c ON c.code =
 def paper_sell_rule_trades(spark, sf):
     """Every fifth bar is a signal; sold on the 28th of a month, after a jump, a quarter below the top, or after eight bars."""
     w = W.partitionBy("code").orderBy("d")
-    b = line_bars(spark, sf)
+    b = saved(line_bars(spark, sf), "bars")
+    b = in_tasks(b, b.count(), "code")
     b = b.withColumn("vol", F.when((F.col("code") + F.dayofmonth("d")) % 11 == 0, 0.0).otherwise(F.col("vol"))).withColumn("p", F.lag("close").over(w))
     last = F.row_number().over(W.partitionBy("code").orderBy(F.desc("d"))) == 1
     picks = b.withColumn("k", (F.row_number().over(w) % 5 == 0) | last).filter("k").select("code", "d")
