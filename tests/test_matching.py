@@ -98,3 +98,20 @@ def test_hints_of_residuals(spark):
     new = spark.createDataFrame([("a", "y", 10.0), ("b", "x", 14.9), ("b", "x", 500.0), ("c", "x", 15.1), ("d", "x", 3.0)], "g string, f string, q double")
     classes, _ = M.classify_keys(old, new, ["g", "f", "q"], ["g"], "q", candidate=["g", "f"], close=(["q"], 5.0))
     assert {r.g: r.left_as for r in classes.collect()} == {"a": "none", "b": "candidate_close", "c": "candidate", "d": "candidate_close"}
+
+
+def test_searches_are_spread(spark, monkeypatch):
+    """Groups that are searched take few bytes and much work, so their tasks follow their number."""
+    monkeypatch.setattr(M, "SEARCHES", 10)
+    side = lambda *q: spark.range(95).select(F.col("id").cast("string").alias("g"), F.lit("x").alias("f"), F.explode(F.array(*[F.lit(x).cast("decimal(12,2)") for x in q])).alias("q"))
+    old, new = side(0.7, 0.3), side(0.4, 0.6, 0.02)
+    tasks, real = [], M._searched
+
+    def counted(*args):
+        out = real(*args)
+        tasks.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(M, "_searched", counted)
+    classes, _ = M.classify_keys(old, new, ["g", "f", "q"], ["g"], "q")
+    assert tasks == [10] and {(r.left_as, r.n_parts) for r in classes.collect()} == {("merged", 2)}

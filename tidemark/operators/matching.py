@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from tidemark.session import saved
 
 #: Largest sum to leave out, in hundredths, and most rows of a group with negative amounts, that are searched; beyond them a group is `open`.
 REACH, ROWS = 4096, 32
+#: Groups that a task searches, about.
+SEARCHES = 1000
 
 
 def cents(amount: Column) -> Column:
@@ -98,19 +100,32 @@ def _searched(k: DataFrame, groups: DataFrame, group: list[str], tol: int, least
     rows = rows.groupBy(*group, "cents", "diff", "low", "n_free").agg(F.sum("free").alias("n"))
     rows = rows.withColumn("n", F.when(F.col("low") < 0, F.col("n")).otherwise(F.least("n", F.floor((F.col("diff") + tol) / F.col("cents")))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cents", ascending=False)
-        first = pdf.iloc[0]
-        values, counts, diff = pdf["cents"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(first["diff"])
-        out = least_dropped_signed(np.repeat(values, counts), diff - tol, diff + tol) if first["low"] < 0 else least_dropped(values, counts, max(diff - tol, 0), diff + tol)
-        if not out or int(first["n_free"]) - sum(out.values()) < least:
-            return pd.DataFrame(columns=[*group, "cents", "n_drop"])
-        return pdf[pdf["cents"].isin(list(out))][[*group, "cents"]].assign(n_drop=lambda d: d["cents"].map(out))
-
-    schema = rows.select(*group, "cents", F.lit(0).cast("long").alias("n_drop")).schema
+    schema = rows.select(*group, F.col("cents").cast("long"), F.lit(0).cast("long").alias("n_drop")).schema
     for f in schema.fields:
         f.nullable = True
-    return rows.groupBy(*group).applyInPandas(run, schema)
+    # a group is one row; few bytes are much work, so the number of tasks follows that of the groups
+    lists = rows.groupBy(*group, "diff", "low", "n_free").agg(F.sort_array(F.collect_list(F.struct("cents", F.col("n").cast("long").alias("n"))), False).alias("v"))
+    tasks = -(-groups.filter("state = 'search'").count() // SEARCHES)
+    names = [*group, "cents", "n_drop"]
+
+    def run(batches):
+        for b in batches:
+            at, cents_, times = [], [], []
+            v = b.column(b.schema.get_field_index("v"))
+            ends, flat = v.offsets.to_numpy(), v.values
+            values, counts = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            diffs, lows, frees = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("diff", "low", "n_free"))
+            for k, (diff, low, free) in enumerate(zip(diffs, lows, frees, strict=True)):
+                mine, n = values[ends[k] : ends[k + 1]], counts[ends[k] : ends[k + 1]]
+                out = least_dropped_signed(np.repeat(mine, n), diff - tol, diff + tol) if low < 0 else least_dropped(mine, n, max(diff - tol, 0), diff + tol)
+                if out and free - sum(out.values()) >= least:
+                    at += [k] * len(out)
+                    cents_ += out.keys()
+                    times += out.values()
+            mine = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[mine.column(b.schema.get_field_index(c)) for c in group], pa.array(cents_, pa.int64()), pa.array(times, pa.int64())], names=names)
+
+    return lists.repartition(max(1, tasks), *group).mapInArrow(run, schema)
 
 
 def classify_keys(
@@ -149,24 +164,27 @@ def classify_keys(
     g = g.alias("g").join(solved.alias("s"), same("g", "s", group), "left").select("g.*", "s.dropped")
     g = saved(g.withColumn("state", F.when(F.col("state") == "search", F.when(F.col("dropped").isNotNull(), "solved").otherwise("none")).otherwise(F.col("state"))), "groups")
 
-    c = k.filter("n_old > 0").alias("k").join(g.alias("g"), same("k", "g", group), "left").select("k.*", F.coalesce("g.state", F.lit("none")).alias("state"), (F.col("g.n_free") - F.coalesce("g.dropped", F.lit(0))).alias("n_set"))
-    merged = F.col("state").isin("whole", "solved") & (F.col("left") > 0)
+    # keys with nothing left, and those without a free new row, are answered without their group
+    c = k.filter("n_old > 0 AND left > 0").alias("k").join(g.alias("g"), same("k", "g", group), "left").select("k.*", F.coalesce("g.state", F.lit("none")).alias("state"), (F.col("g.n_free") - F.coalesce("g.dropped", F.lit(0))).alias("n_set"))
+    merged = F.col("state").isin("whole", "solved")
     c = c.withColumn("_hint", F.lit("residual"))
     if candidate:
         c = _hinted(c, new, key, candidate, close)
-    left_as = F.when(F.col("left") == 0, None).when(merged, "merged").when(F.col("state") == "open", "open").otherwise(F.col("_hint"))
+    left_as = F.when(merged, "merged").when(F.col("state") == "open", "open").otherwise(F.col("_hint"))
     classes = c.select(*key, "n_old", "n_exact", F.when(merged, F.col("left")).otherwise(0).cast("long").alias("n_merged"), F.when(merged, 0).otherwise(F.col("left")).cast("long").alias("n_residual"), left_as.alias("left_as"), F.when(merged, F.col("n_set")).alias("n_parts"))
+    zero, null = F.lit(0).cast("long"), F.lit(None)
+    classes = classes.unionByName(k.filter("n_old > 0 AND left = 0").select(*key, "n_old", "n_exact", zero.alias("n_merged"), zero.alias("n_residual"), null.cast("string").alias("left_as"), null.cast(classes.schema["n_parts"].dataType).alias("n_parts")))
 
-    p = k.filter("n_new > 0").alias("k").join(g.alias("g"), same("k", "g", group), "left").select("k.*", F.coalesce("g.state", F.lit("none")).alias("state"))
+    p = k.filter("n_new > 0 AND free > 0").alias("k").join(g.alias("g"), same("k", "g", group), "left").select("k.*", F.coalesce("g.state", F.lit("none")).alias("state"))
     p = p.alias("p").join(drops.alias("d"), same("p", "d", [*group, "cents"]), "left").select("p.*", F.coalesce("d.n_drop", F.lit(0)).alias("n_drop"))
     before = F.coalesce(F.sum("free").over(W.partitionBy(*group, "cents").orderBy(*key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     p = p.withColumn("out", F.greatest(F.lit(0), F.least("free", F.col("n_drop") - before)))
     parts = p.select(*key, "n_new", "n_exact", F.when(F.col("state").isin("whole", "solved"), F.col("free") - F.col("out")).otherwise(0).cast("long").alias("n_part"))
-    return classes, parts
+    return classes, parts.unionByName(k.filter("n_new > 0 AND free = 0").select(*key, "n_new", "n_exact", zero.alias("n_part")))
 
 
 def _hinted(c: DataFrame, new: DataFrame, key: list[str], candidate: list[str], close: tuple[list[str], float] | None) -> DataFrame:
-    """c with _hint by the new rows of equal candidate columns. Near amounts meet in buckets as wide as the tolerance."""
+    """c, of rows that are left, with _hint by the new rows of equal candidate columns. Near amounts meet in buckets as wide as the tolerance."""
     known = new.groupBy(*candidate).agg(F.count(F.lit(1)).alias("n_like"))
     c = c.alias("c").join(known.alias("w"), same("c", "w", candidate), "left").select("c.*", "w.n_like")
     hint = F.when(F.col("n_like").isNull(), "none")
@@ -175,7 +193,7 @@ def _hinted(c: DataFrame, new: DataFrame, key: list[str], candidate: list[str],
         value = lambda a, x: F.coalesce(F.col(f"{a}.{x}").cast("double"), F.lit(0.0))
         bucket = F.floor(F.coalesce(F.col(cols[0]).cast("double"), F.lit(0.0)) / width)
         near = new.select(*dict.fromkeys([*candidate, *cols])).distinct().withColumn("_b", bucket).alias("w")
-        asked = c.filter("left > 0").select(*dict.fromkeys([*key, *candidate, *cols])).withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1))).alias("c")
+        asked = c.select(*dict.fromkeys([*key, *candidate, *cols])).withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1))).alias("c")
         within = reduce(lambda a, b: a & b, [F.abs(value("c", x) - value("w", x)) <= width for x in cols])
         found = asked.join(near, same("c", "w", candidate) & (F.col("c._b") == F.col("w._b")) & within, "left_semi").select(*key).distinct().withColumn("_close", F.lit(True))
         c = c.alias("c").join(found.alias("f"), same("c", "f", key), "left").select("c.*", "f._close")

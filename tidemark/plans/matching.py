@@ -38,9 +38,9 @@ def _sides(spark, sf):
     return old, li.filter("g % 7 <> 0 OR n > 1").select("g", "f", "q").unionByName(dust(5, 1, 0.02)).unionByName(dust(10, 2, 0.01))
 
 
-def _classified(spark, sf):
+def _classified(spark, sf, **hints):
     old, new = _sides(spark, sf)
-    return M.classify_keys(old, new, ["g", "f", "q"], ["g"], "q", candidate=["g", "f"], close=(["q"], 5.0))
+    return M.classify_keys(old, new, ["g", "f", "q"], ["g"], "q", **hints)
 
 
 @query(f"""WITH RECURSIVE {_SIDES}
@@ -48,10 +48,11 @@ SELECT k.g, k.f, k.q, n_old, n_exact, CASE WHEN best.g IS NOT NULL THEN l ELSE 0
 CASE WHEN l = 0 THEN NULL WHEN best.g IS NOT NULL THEN 'merged' WHEN NOT EXISTS (SELECT 1 FROM new WHERE new.g = k.g AND new.f = k.f) THEN 'none' WHEN EXISTS (SELECT 1 FROM new WHERE new.g = k.g AND new.f = k.f AND abs(new.q - k.q) <= 5) THEN 'candidate_close' ELSE 'candidate' END AS left_as
 FROM k LEFT JOIN best USING (g) WHERE n_old > 0""")
 def recon_key_classes(spark, sf):
-    return _classified(spark, sf)[0]
+    return _classified(spark, sf, candidate=["g", "f"], close=(["q"], 5.0))[0]
 
 
 @query(f"""WITH RECURSIVE {_SIDES}
 SELECT k.g, sum(n_old)::BIGINT AS n_old, sum(n_exact)::BIGINT AS n_exact, sum(CASE WHEN best.g IS NOT NULL THEN l ELSE 0 END)::BIGINT AS n_merged, sum(CASE WHEN best.g IS NULL THEN l ELSE 0 END)::BIGINT AS n_residual, sum(n_new)::BIGINT AS n_new, coalesce(any_value(n_set), 0)::BIGINT AS n_part, true AS balanced FROM k LEFT JOIN best USING (g) GROUP BY k.g""")
 def recon_key_balance(spark, sf):
+    """Hints of residuals do not bear on sums, so none are asked for."""
     return M.balance(*_classified(spark, sf), ["g"])
