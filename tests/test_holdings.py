@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import holdings as H
 
 SCHEMA = "holder string, stock long, d date, seq long, kind string, shares double, change double, c1 double, c2 double, c3 double"
@@ -43,3 +45,12 @@ def test_window_prices_on_literals(spark):
     assert got[1, day(1)] == (day(1) - dt.timedelta(92), 17.5, 20.0, 17.5)
     assert got[1, day(2)] == (day(1), None, 30.0, None) and got[1, day(6)] == (day(2), 40.0, 40.0, None)
     assert got[1, day(9)] == (day(6), None, 40.0, None) and got[3, day(1)][1:] == (None, None, None) and len(got) == 5
+
+
+def test_window_prices_carry_the_next_report_along(spark):
+    """No frame to the end of a code's history, which is worked out anew for every row."""
+    b = spark.createDataFrame([("a", dt.date(2020, 1, k), 1.0 * k, 2.0) for k in range(1, 29)], "code string, d date, close double, vol double")
+    r = b.filter("day(d) IN (10, 20)").select("code", "d")
+    p = H.window_prices(r, b, b.select("code", "d", F.col("vol").alias("net")).limit(0))
+    assert "currentrow$(), unboundedfollowing$()" not in p._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [(x.d.day, x.c1, x.c2) for x in sorted(p.collect())] == [(10, 5.5, 10.0), (20, 15.5, 20.0)]

@@ -28,8 +28,9 @@ def window_prices(reports: DataFrame, bars: DataFrame, seats: DataFrame) -> Data
     none = [F.lit(None).cast(t).alias(c) for c, t in (("close", "double"), ("vol", "double"), ("seat", "double"))]
     stack = b.select("code", "d", F.lit(0).alias("_side"), F.lit(None).cast("struct<d: date, start: date>").alias("_r"), F.col("close").cast("double").alias("close"), F.col("vol").cast("double").alias("vol"), F.col("seat").cast("double").alias("seat"))
     stack = stack.unionByName(r.select("code", "d", F.lit(1).alias("_side"), F.struct("d", "start").alias("_r"), *none))
-    ahead = W.partitionBy("code").orderBy("d", "_side").rowsBetween(0, W.unboundedFollowing)
-    own = stack.withColumn("_w", F.first("_r", True).over(ahead)).filter((F.col("_side") == 0) & (F.col("d") > F.col("_w.start")))
+    # from the last day back, so that the next report is carried along; a frame to the end would begin anew for every row
+    back = W.partitionBy("code").orderBy(F.desc("d"), F.desc("_side")).rowsBetween(W.unboundedPreceding, 0)
+    own = stack.withColumn("_w", F.last("_r", True).over(back)).filter((F.col("_side") == 0) & (F.col("d") > F.col("_w.start")))
     average = lambda by: F.sum(F.col("close") * F.col(by)) / F.nullif(F.sum(F.when(F.col("close").isNotNull(), F.col(by))), F.lit(0.0))
     sums = own.groupBy("code", F.col("_w.d").alias("d")).agg(average("vol").alias("c1"), average("seat").alias("c3"))
     last = asof_join(r, bars.filter("close IS NOT NULL").select("code", F.col("d").alias("day"), F.col("close").alias("c2")), ["code"], "d", "day", ["c2"])
