@@ -85,3 +85,37 @@ def test_volume_base_fires_once_on_leaving_the_base():
     p = {"open": c, "high": c * 1.01, "low": c * 0.99, "close": c, "vol": v, "amount": v * c}
     entry, _ = M.volume_base(p)
     assert entry[55:].sum() <= 1 and entry.sum() >= 1
+
+
+def test_volume_base_equals_a_walk_in_array_time():
+    """Entries are those of a walk bar by bar, burst by burst, and a long history takes no walk's time."""
+    import time
+
+    import numpy as np
+
+    from tidemark.operators import formulas as M
+    from tidemark.operators.technical import ma
+
+    def walk(p):
+        c, h, lo, v, a = (p[k] for k in ("close", "high", "low", "vol", "amount"))
+        v10, v20, a20, m20 = ma(v, 10), ma(v, 20), ma(a, 20), ma(c, 20)
+        ok = np.zeros(len(c), bool)
+        for i in range(20, len(c)):
+            for s in range(max(0, i - 30), i - 8):
+                top, low, vol = h[s + 1 : i].max(), lo[s + 1 : i].min(), v[s + 1 : i]
+                late = vol[len(vol) // 2 :].mean()
+                dry = late <= 0.30 * v[max(0, s - 20) : s + 1].mean() or late <= 0.55 * v[s] or v10[i] < v20[i]
+                live = v20[i] > 0 and v[i - 4 : i + 1].mean() > 0.60 * v20[i]
+                out = 0 <= c[i] / c[i - 4] - 1 <= 0.60 and (c[i] >= h[i - 20 : i].max() or (c[i] > m20[i] and m20[i] > m20[i - 1]))
+                ok[i] |= (v[s] >= 2 * v20[s] or a[s] >= 2 * a20[s]) and (top - low) / low <= 0.35 and 0.75 * c[s] <= c[i] <= 1.60 * h[s] and dry and live and out
+        return ok & ~np.concatenate([[False], ok[:-1]])
+
+    rng = np.random.default_rng(5)
+    made = lambda n: (lambda c, v: {"close": c, "high": c * 1.01, "low": c * 0.99, "vol": v, "amount": v * c})(10 * np.exp(np.cumsum(rng.normal(0, 0.02, n)) % 2), np.exp(rng.normal(0, 1, n)))
+    with np.errstate(invalid="ignore"):
+        for n in (0, 1, 8, 9, 20, 31, 300, 700):
+            p = made(n)
+            assert M.volume_base(p)[0].tolist() == walk(p).tolist()
+    began = time.process_time()
+    M.volume_base(made(20_000))
+    assert time.process_time() - began < 0.5

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from tidemark.operators.technical import by, cooldown, ma
 
 SIGNALS = "code {code}, d date, entry boolean, exit boolean"
 NEVER = 1_000_000
+#: Bars from a burst to the bar that leaves its base, the last one excluded.
+BASE = (9, 31)
 
 
 def true(c: Column) -> Column:
@@ -129,28 +133,39 @@ def _before(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _tail_mean(x: np.ndarray, n: int) -> np.ndarray:
+    """Mean of the last n values, fewer at the start; each added up as one alone."""
+    out = np.array([x[: k + 1].mean() for k in range(min(n - 1, len(x)))])
+    return np.concatenate([out, np.lib.stride_tricks.sliding_window_view(x, n).copy().mean(axis=1)]) if len(x) >= n else out
+
+
 def volume_base(p: dict, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Entry where the close leaves a dry base that began with a burst of volume; exit below the 20-day mean."""
     c, h, lo, v, a = (p[k] for k in ("close", "high", "low", "vol", "amount"))
-    v10, v20, a20, m20 = ma(v, 10), ma(v, 20), ma(a, 20), ma(c, 20)
+    v10 = ma(v, 10)
+    v20, a20, m20 = pd.DataFrame({"v": v, "a": a, "c": c}).rolling(20).mean().to_numpy().T
     with np.errstate(invalid="ignore", divide="ignore"):
         burst = (v >= 2 * v20) | (a >= 2 * a20)
         ret4 = c / _before(c, 4) - 1
         high20 = _before(_rolling(h, 20, "max"), 1)
         rise = m20 > _before(m20, 1)
+        now = (v20 > 0) & (_tail_mean(v, 5) > 0.60 * v20) & (ret4 >= 0) & (ret4 <= 0.60) & ((c >= high20) | ((c > m20) & rise))
     ok = np.zeros(len(c), bool)
-    for i in range(len(c)):
-        for s in range(i - 8, max(0, i - 30) - 1, -1):
-            if not burst[s] or i - s - 1 < 8:
-                continue
-            top, low, vol = h[s + 1 : i].max(), lo[s + 1 : i].min(), v[s + 1 : i]
-            box = 0.75 * c[s] <= c[i] <= 1.60 * h[s]
-            late = vol[len(vol) // 2 :].mean()
-            dry = late <= 0.30 * v[max(0, s - 20) : s + 1].mean() or late <= 0.55 * v[s] or v10[i] < v20[i]
-            live = v20[i] > 0 and v[max(0, i - 4) : i + 1].mean() > 0.60 * v20[i]
-            if low > 0 and (top - low) / low <= 0.35 and box and dry and live and 0 <= ret4[i] <= 0.60 and (c[i] >= high20[i] or (c[i] > m20[i] and rise[i])):
-                ok[i] = True
-                break
+    at = np.flatnonzero(now)
+    if len(at) and burst.any():
+        # the bars that may enter are met with each distance of a burst at once; extremes grow bar by bar going back
+        n = np.arange(*BASE)
+        back = np.maximum(at[:, None] - np.arange(1, BASE[1]), 0)
+        top, low = np.maximum.accumulate(h[back], axis=1)[:, n - 2], np.minimum.accumulate(lo[back], axis=1)[:, n - 2]
+        half = n - 1 - (n - 1) // 2
+        late = np.stack([v[np.maximum(at[:, None] + np.arange(-k, 0), 0)].mean(axis=1) for k in range(half[0], half[-1] + 1)], axis=1)[:, half - half[0]]
+        s, i = at[:, None] - n, at[:, None]
+        known = (s >= 0) & burst[s]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            flat = (low > 0) & ((top - low) / low <= 0.35)
+            box = (0.75 * c[s] <= c[i]) & (c[i] <= 1.60 * h[s])
+            dry = (late <= 0.30 * _tail_mean(v, 21)[s]) | (late <= 0.55 * v[s]) | (v10 < v20)[i]
+        ok[at] = (known & flat & box & dry).any(axis=1)
     first = ok & ~np.concatenate([[False], ok[:-1]]) if len(c) else ok
     with np.errstate(invalid="ignore"):
         return (cooldown(first, gap) if gap else first), c < m20
@@ -159,13 +174,14 @@ def volume_base(p: dict, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
 def volume_base_signals(bars: DataFrame) -> DataFrame:
     """volume_base of each code; a code's history is bounded by years of trading days."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("d")
-        entry, leave = volume_base({k: pdf[k].to_numpy(float) for k in ("high", "low", "close", "vol", "amount")})
-        return pd.DataFrame({"code": pdf["code"].to_numpy(), "d": pdf["d"].to_numpy(), "entry": entry.astype(bool), "exit": leave.astype(bool)})
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        t = t.take(pc.sort_indices(t, [("d", "ascending")]))
+        entry, leave = volume_base({k: t[k].combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False) for k in ("high", "low", "close", "vol", "amount")})
+        return pa.table({"code": t["code"], "d": t["d"], "entry": entry.astype(bool), "exit": leave.astype(bool)})
 
     code = bars.schema["code"].dataType.simpleString()
-    return bars.select("code", "d", "high", "low", "close", "vol", "amount").groupBy("code").applyInPandas(run, SIGNALS.format(code=code))
+    return bars.select("code", "d", "high", "low", "close", "vol", "amount").groupBy("code").applyInArrow(run, SIGNALS.format(code=code))
 
 
 FORMULAS = {"raw_crossing": raw_crossing, "pullback_confirm": pullback_confirm, "average_base": average_base, "volume_base": volume_base_signals}
