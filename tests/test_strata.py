@@ -61,3 +61,18 @@ def test_interval_join_equals_a_look_at_every_span(spark):
             fit = [(s, v) for c, s, e, v in spans if c == k and t is not None and s is not None and s <= t and (e is None or e > t or (closed and e == t))]
             want.append((k, t, n, max(fit)[1] if fit else None))
         assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+
+
+def test_rally_negatives_sort_bounded_numbers_of_bars(spark, monkeypatch):
+    from tidemark import session
+    from tidemark.operators.ladder import rally_negatives
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    d0 = dt.date(2020, 1, 1)
+    rows = [(c, d0 + dt.timedelta(k), 10.0 + abs(k % 10 - 5) - 0.5, 10.0 + abs(k % 10 - 5) + 0.5, 10.0 + abs(k % 10 - 5)) for c in "abcd" for k in range(60)]
+    bars = spark.createDataFrame(rows, "code string, d date, low double, high double, close double")
+    hits = spark.createDataFrame([("a", d0 + dt.timedelta(25)), ("a", d0 + dt.timedelta(25)), ("z", d0)], "code string, bottom date")
+    neg = rally_negatives(bars, hits, side=3, ahead=10, gain=0.9, purge=6, base=1, history=10, gap=11)
+    assert neg.rdd.getNumPartitions() == 5
+    # lows on days 5, 15, ...: 5 hides 15; day 25 of a is a hit
+    assert sorted((r.code, (r.bottom - d0).days) for r in neg.collect()) == sorted([("a", 5), ("a", 35)] + [(c, k) for c in "bcd" for k in (5, 25, 45)])

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import price as P
+from tidemark.session import in_tasks
 
 
 def limit_days(days: DataFrame, limits: DataFrame, cutoff: str = "093059") -> DataFrame:
@@ -61,21 +62,27 @@ def rally_negatives(bars: DataFrame, positives: DataFrame, side: int = 20, ahead
 
     The low of `side` bars around it, more than `purge` bars from any positive of the code, with `base` days in its base,
     all `ahead` bars known and a gain below `gain`; of these each hides those less than `gap` bars on.
+
+    Positives are stacked with the bars and meet them in the same sort. Bars are counted first, so pass a written table: tasks
+    are of a bounded number of bars.
     """
     w = W.partitionBy("code").orderBy("d")
     around, after = w.rowsBetween(-side, side), w.rowsBetween(1, ahead)
-    marks = positives.select("code", F.col("bottom").alias("d"), F.lit(True).alias("_hit")).distinct()
-    d = bars.select("code", "d", "low", "high", "close").join(marks, ["code", "d"], "left").withColumn("i", F.row_number().over(w).cast("long"))
+    marks = positives.select("code", F.col("bottom").alias("d"), F.lit(True).alias("_hit")).dropna()
+    d = bars.select("code", "d", "low", "high", "close", F.lit(True).alias("_bar")).unionByName(marks, allowMissingColumns=True)
+    d = in_tasks(d, bars.count(), "code").withColumn("_hit", F.max("_hit").over(W.partitionBy("code", "d"))).filter("_bar").withColumn("i", F.row_number().over(w).cast("long"))
     at = F.when(F.col("_hit"), F.col("i"))
+    # backwards first, while rows are narrow
+    d = d.withColumn("_next", F.last(at, True).over(W.partitionBy("code").orderBy(F.desc("d")).rowsBetween(W.unboundedPreceding, 0)))
     d = d.select(
         "code", "d", "i", "low", base_days(history).alias("_base"), F.max("high").over(after).alias("_peak"), F.count(F.lit(1)).over(after).alias("_n"),
-        F.last(at, True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_was"), F.last(at, True).over(W.partitionBy("code").orderBy(F.desc("d")).rowsBetween(W.unboundedPreceding, 0)).alias("_next"),
+        F.last(at, True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_was"), "_next",
         ((F.col("low") == F.min("low").over(around)) & (F.count(F.lit(1)).over(around) == 2 * side + 1)).alias("_pivot"),
     )
     far = (F.col("_was").isNull() | (F.col("i") - F.col("_was") > purge)) & (F.col("_next").isNull() | (F.col("_next") - F.col("i") > purge))
     c = d.filter(F.col("_pivot") & far & (F.col("_base") >= base) & (F.col("_n") == ahead) & (F.col("low") > 0) & (F.col("_peak") / F.col("low") - 1 < gain))
-    kept = c.groupBy("code").agg(spaced(F.collect_list("i"), gap).alias("_k")).select("code", F.explode("_k").alias("i"))
-    return c.join(kept, ["code", "i"]).select("code", F.col("d").alias("bottom"))
+    kept = c.groupBy("code").agg(spaced(F.collect_list("i"), gap).alias("_k"), F.collect_list(F.struct("i", "d")).alias("_c"))
+    return kept.select("code", F.explode(F.filter("_c", lambda x: F.array_contains("_k", x["i"]))["d"]).alias("bottom"))
 
 
 def funnel(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:

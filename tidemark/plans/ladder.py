@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ladder as R
 from tidemark.operators import windows as X
 from tidemark.plans.market import off
-from tidemark.session import table
+from tidemark.session import in_tasks, saved, table
 from tidemark.sources.bars import LINE_BARS_SQL, line_bars
 
 QUERIES, ORACLE = {}, {}
@@ -57,9 +57,9 @@ c AS (SELECT code, d, i FROM x WHERE n = 7 AND low = lo AND m = 20 AND low > 0 A
 nx AS (SELECT a.code, a.i, min(b.i) AS nx FROM c a LEFT JOIN c b ON b.code = a.code AND b.i >= a.i + 8 GROUP BY 1, 2), k AS (SELECT code, min(i) AS i FROM c GROUP BY code UNION ALL SELECT k.code, nx.nx FROM k JOIN nx ON nx.code = k.code AND nx.i = k.i WHERE nx.nx IS NOT NULL)
 SELECT c.code, c.d AS bottom FROM c JOIN k ON k.code = c.code AND k.i = c.i""")
 def rally_negatives(spark, sf):
-    b = line_bars(spark, sf)
+    b = saved(line_bars(spark, sf), "bars")
     i = F.row_number().over(W.partitionBy("code").orderBy("d"))
-    hits = b.withColumn("i", i).filter("i % 97 = 5 AND code % 2 = 0").select("code", F.col("d").alias("bottom"))
+    hits = in_tasks(b, b.count(), "code").withColumn("i", i).filter("i % 97 = 5 AND code % 2 = 0").select("code", F.col("d").alias("bottom"))
     return R.rally_negatives(b, hits, side=3, ahead=20, gain=0.6, purge=10, base=5, history=30, gap=8)
 
 
