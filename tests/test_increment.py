@@ -209,3 +209,22 @@ def test_cut_proof_reads_inputs_that_differ_when_worked_out_anew_once(spark):
     df = spark.range(50).select("id", F.lit(D0).alias("d"), noise().alias("x"))
     r = proof.cut_proof(lambda t: t["x"], {"x": (df, "d")}, [D0], "d").first()
     assert (r["rows"], r["only_cut"], r["only_full"]) == (50, 0, 0)
+
+
+def test_gaps_are_counted_in_tasks_of_a_bounded_number_of_rows(spark, monkeypatch):
+    from tidemark import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 30)
+    a = spark.range(100).select((F.col("id") % 90).alias("k"), (F.col("id") % 90 / 7).alias("x"))
+    gaps = proof.multiset_gaps(a, a.filter("k <> 5"), 200)
+    assert gaps.rdd.getNumPartitions() == 7 and [(r.k, r.n_left, r.n_right) for r in gaps.collect()] == [(5, 2, 0)]
+
+
+def test_line_bars_sort_bounded_numbers_of_lines(spark, monkeypatch):
+    from tidemark import session
+    from tidemark.sources.bars import line_bars
+
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    b = line_bars(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert b.rdd.getNumPartitions() == -(-n // 1000) and b.count() > 1000
