@@ -246,3 +246,32 @@ def test_links_with_many_pivots_in_small_blocks_equal_brute_force(spark, monkeyp
             break
         comp = new
     assert got == {i: (int(near[i].sum()), int(comp[i])) for i in range(3000)}
+
+
+def test_toxicity_scores_without_tanh_as_the_plain_network(monkeypatch):
+    """Scoring takes exp alone, which costs half of tanh, and gives what the network's formulas give word by word."""
+    import numpy as np
+
+    from tidemark.llm import toxicity as T
+
+    rng = np.random.default_rng(3)
+    net, n = T.Net(rng), 9
+    p = {k: rng.standard_normal(v.shape).astype(np.float32) for k, v in net.p.items()}
+    net.p = p
+    x, inv = rng.standard_normal((40, T.INPUTS)).astype(np.float32) * 3, rng.integers(0, 40, 60)
+    sig, h, want = lambda a: 1 / (1 + np.exp(-a)), T.HIDDEN, []
+    for s in range(n):
+        words, states = x[inv[s : s + T.WINDOW]].astype(float), {}
+        for d, order in (("f", range(T.WINDOW)), ("b", range(T.WINDOW - 1, -1, -1))):
+            at = np.zeros(h)
+            for k in order:
+                g = words[k] @ p[f"W{d}"] + p[f"b{d}"]
+                z, r = np.split(sig(g[: 2 * h] + at @ p[f"U{d}"][:, : 2 * h]), 2)
+                at = at + z * (np.tanh(g[2 * h :] + (r * at) @ p[f"U{d}"][:, 2 * h :]) - at)
+                states[d, k] = at
+        both = np.array([np.concatenate([states["f", k], states["b", k]]) for k in range(T.WINDOW)])
+        e = np.exp(np.tanh(both @ p["A"] + p["a"]) @ p["v"])
+        want.append((e / e.sum()) @ both @ p["w"] + p["c"][0])
+    monkeypatch.setattr(T.np, "tanh", None)
+    got = net.window_logits(net.table(x), inv, np.arange(n))
+    assert np.abs(got - np.array(want)).max() < 1e-4

@@ -176,50 +176,54 @@ class Net:
     def table(self, x: np.ndarray) -> np.ndarray:
         """What words of inputs x bring to the gates: (words, 6 * HIDDEN), forward, then backward.
 
-        Those of sigmoids are halved, since sigmoid(x) is (1 + tanh(x / 2)) / 2.
+        As logits() takes it: sigmoid(x) is 1 / (1 + exp(-x)), and tanh(x) is 2 * sigmoid(2 * x) - 1.
         """
-        p, half = self.p, np.tile(np.repeat(np.array([0.5, 1], np.float32), [2 * HIDDEN, HIDDEN]), 2)
-        return (x @ np.concatenate([p["Wf"], p["Wb"]], axis=1) + np.concatenate([p["bf"], p["bb"]])) * half
+        p, scale = self.p, np.tile(np.repeat(np.array([-1, -2], np.float32), [2 * HIDDEN, HIDDEN]), 2)
+        return (x @ np.concatenate([p["Wf"], p["Wb"]], axis=1) + np.concatenate([p["bf"], p["bb"]])) * scale
 
     def logits(self, steps: list[np.ndarray]) -> np.ndarray:
         """The logit of each window; steps[k]: what table() has of the k-th words of all windows, (6 * HIDDEN, windows).
 
-        Windows lie side by side, so that every operation runs over all of them at once.
+        Windows lie side by side, so that every operation runs over all of them at once. All curves are sigmoids by exp, which
+        costs half of what tanh does; what is kept is half of each state, so that tanh(x) / 2 is sigmoid(2 * x) - 1 / 2.
         """
         p, h, t = self.p, HIDDEN, len(steps)
+
+        def curve(x: np.ndarray) -> np.ndarray:
+            """1 / (1 + exp(x)) in place."""
+            np.exp(x, out=x)
+            x += 1
+            return np.divide(1, x, out=x)
+
         states = np.empty((t, 2 * h, steps[0].shape[1]), np.float32)
-        for d, order in (("f", range(t)), ("b", range(t - 1, -1, -1))):
-            low, U = (0 if d == "f" else h), np.ascontiguousarray(p[f"U{d}"].T) / 2
-            s = None
-            for k in order:
-                x = steps[k][3 * low : 3 * (low + h)]
-                if s is None:  # nothing before the first word
-                    z, c = np.tanh(x[:h]), np.tanh(x[2 * h :])
-                    z += 1
-                    z *= c
-                    s = np.divide(z, 2, out=states[k, low : low + h])
-                    continue
-                g = U[: 2 * h] @ s
-                g += x[: 2 * h]
-                np.tanh(g, out=g)
-                z, r = g[:h], g[h:]
-                r *= s
-                r += s
-                c = U[2 * h :] @ r
-                c += x[2 * h :]
-                np.tanh(c, out=c)
-                c -= s
-                z += 1
-                z *= c
-                z /= 2
-                s = np.add(s, z, out=states[k, low : low + h])
         e, o = np.empty((t, states.shape[2]), np.float32), np.empty((t, states.shape[2]), np.float32)
-        A = np.ascontiguousarray(p["A"].T)
-        for k in range(t):
-            q = A @ states[k]
-            q += p["a"][:, None]
-            np.tanh(q, out=q)
-            e[k], o[k] = p["v"] @ q, p["w"] @ states[k]
+        with np.errstate(over="ignore"):  # exp of a large value gives a curve of 0
+            for d, order in (("f", range(t)), ("b", range(t - 1, -1, -1))):
+                low, U = (0 if d == "f" else h), np.ascontiguousarray(p[f"U{d}"].T) * np.repeat(np.array([-2, -4], np.float32), [2 * h, h])[:, None]
+                s = None
+                for k in order:
+                    x = steps[k][3 * low : 3 * (low + h)]
+                    if s is None:  # nothing before the first word
+                        z, c = curve(x[:h].copy()), curve(x[2 * h :].copy())
+                        c -= 0.5
+                        s = np.multiply(z, c, out=states[k, low : low + h])
+                        continue
+                    g = U[: 2 * h] @ s
+                    g += x[: 2 * h]
+                    z, r = curve(g)[:h], g[h:]
+                    r *= s
+                    c = U[2 * h :] @ r
+                    c += x[2 * h :]
+                    curve(c)
+                    c -= 0.5
+                    c -= s
+                    c *= z
+                    s = np.add(s, c, out=states[k, low : low + h])
+            A, a, v, w = np.ascontiguousarray(p["A"].T) * np.float32(-4), -2 * p["a"][:, None], 2 * p["v"], 2 * p["w"]
+            for k in range(t):
+                q = A @ states[k]
+                q += a
+                e[k], o[k] = v @ curve(q), w @ states[k]  # e but for what all words have in common
         e = np.exp(e - e.max(axis=0))
         return (e * o).sum(axis=0) / e.sum(axis=0) + p["c"][0]
 
