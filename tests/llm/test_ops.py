@@ -401,6 +401,25 @@ def test_toxicity_scores_are_those_of_every_window_by_itself(spark):
     assert len({round(v, 4) for v in got.values()}) > 5
 
 
+def test_toxicity_scores_windows_of_the_same_words_once(monkeypatch):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice(["tare", "miso", "lure", "sota", "rela", "vilex"]) for _ in range(n))
+    m = toxicity.fit([text(60) for _ in range(20)], [k % 2 for k in range(20)])
+    tok, long = Words(), text(300)
+    texts = [long] * 30 + [text(40) + " " + long, long + " " + text(24), text(24), text(5), "", long[: len(long) // 2]]
+    one = lambda ts: toxicity.score_slice(m, tok, *text_buffers(pa.array(ts, pa.large_string())))
+    want = [one([t])[0] for t in texts]
+    seen, logits = [], toxicity.Net.logits
+    monkeypatch.setattr(toxicity.Net, "logits", lambda self, steps: seen.append(steps[0].shape[1]) or logits(self, steps))
+    assert one(texts) == pytest.approx(want, abs=1e-5)
+    assert sum(seen) < 3 * 300
+    starts = np.arange(0, 100)
+    h = np.tile(np.arange(62, dtype=np.uint64), 2)
+    assert toxicity.first_windows(h, starts).tolist() == [k % 62 for k in range(100)]
+    monkeypatch.setattr(toxicity, "mix", lambda x: np.zeros_like(x))  # all names clash
+    assert set(zip(toxicity.first_windows(h, starts).tolist(), range(100), strict=True)) <= {(a, b) for a in range(100) for b in range(100) if a % 62 == b % 62}
+
+
 def test_windows_cover_every_word():
     for n in (1, 23, 24, 25, 40, 41, 500):
         s = toxicity.window_starts(n)

@@ -422,8 +422,29 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     return model
 
 
+def first_windows(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each window, the start of the first one with the same words; h: hashes of the words, starts: sorted."""
+    name, size, full, done = h, 1, np.zeros(len(h), np.uint64), 0
+    with np.errstate(over="ignore"):
+        while done < WINDOW:  # names of 1, 2, 4, ... words, and of their sums
+            if WINDOW & size:
+                full = mix(full[: len(h) - done - size + 1] * GOLD + name[done:])
+                done += size
+            if done < WINDOW:
+                name = mix(name[:-size] * GOLD + name[size:])
+                size *= 2
+    _, at, which = np.unique(full[starts], return_index=True, return_inverse=True)
+    first = starts[at[which]]
+    again = np.flatnonzero(first != starts)
+    same = np.ones(len(again), bool)
+    for k in range(WINDOW):  # names may clash
+        same &= h[first[again] + k] == h[starts[again] + k]
+    first[again[~same]] = starts[again[~same]]
+    return first
+
+
 def score_slice(model: Model, tok: Words, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Largest window logit of each text; texts without words get -inf."""
+    """Largest window logit of each text; texts without words get -inf. Windows of the same words are scored once."""
     h, s, e, at = tok(data, offs)
     out = np.full(len(offs) - 1, -np.inf)
     if not len(h):
@@ -435,27 +456,28 @@ def score_slice(model: Model, tok: Words, data: np.ndarray, offs: np.ndarray) ->
         dense, wat, rows = model.inputs(u[k : k + 20_000], gw, gh)
         table[k : k + 20_000] = net.table(np.concatenate([dense, model.embed(len(dense), wat, rows)], axis=1))
     n = np.diff(at)
-    # the last window of each text, which is the only one of a short text
-    for t in np.unique(np.minimum(n, WINDOW)):
-        docs = np.flatnonzero(np.minimum(n, WINDOW) == t)
+    for t in np.unique(n[n < WINDOW]):  # a short text is one window
+        docs = np.flatnonzero(n == t)
         if t:
-            out[docs] = net.window_logits(table, inv, at[docs] + n[docs] - t, int(t))
-    # all others: every long text begins a new group of STRIDE words, and a window begins with each group
-    docs = np.flatnonzero(n > WINDOW)
-    groups = -(-n[docs] // STRIDE)
-    base = np.cumsum(groups) - groups
-    total, more = int(groups.sum()), WINDOW // STRIDE - 1
-    word = np.zeros((total + more) * STRIDE, np.int64)
-    for d, g in zip(docs.tolist(), base.tolist(), strict=True):
-        word[g * STRIDE : g * STRIDE + n[d]] = inv[at[d] : at[d] + n[d]]
-    doc, start = np.repeat(docs, groups), (np.arange(total) - np.repeat(base, groups)) * STRIDE
-    whole = start + WINDOW <= n[doc]
-    for k in range(0, total, BLOCK):
-        m = min(BLOCK, total - k)
-        x = table[word[k * STRIDE : (k + m + more) * STRIDE]].reshape(-1, STRIDE, 6 * HIDDEN)
-        x = np.ascontiguousarray(x.transpose(1, 2, 0))
-        got = net.logits([x[j % STRIDE][:, j // STRIDE : j // STRIDE + m] for j in range(WINDOW)])
-        np.maximum.at(out, doc[k : k + m][whole[k : k + m]], got[whole[k : k + m]])
+            out[docs] = net.window_logits(table, inv, at[docs], int(t))
+    docs = np.flatnonzero(n >= WINDOW)
+    if not len(docs):
+        return out
+    place, left = np.arange(len(h)) - np.repeat(at[:-1], n), np.repeat(at[1:], n) - np.arange(len(h))
+    starts = np.flatnonzero((left == WINDOW) | ((left > WINDOW) & (place % STRIDE == 0)))
+    first = first_windows(h, starts)
+    # pieces of words that hold all windows to be scored; what a piece costs beyond them is its last words
+    need = starts[first == starts]
+    cut = np.flatnonzero(np.diff(need) > WINDOW)
+    low, high = need[np.append(0, cut + 1)], need[np.append(cut, len(need) - 1)] + WINDOW
+    size = high - low
+    at_word = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    value = np.empty(len(h), np.float32)  # of the window that begins at each word, where one is to be scored
+    for k in range(0, len(at_word) - WINDOW + 1, BLOCK):
+        m = min(BLOCK, len(at_word) - WINDOW + 1 - k)
+        x = np.ascontiguousarray(table[inv[at_word[k : k + m + WINDOW - 1]]].T)
+        value[at_word[k : k + m]] = net.logits([x[:, j : j + m] for j in range(WINDOW)])
+    out[docs] = np.maximum.reduceat(value[first], np.searchsorted(starts, at[docs]))
     return out
 
 
