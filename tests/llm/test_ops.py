@@ -1,6 +1,7 @@
 """Operators of the training-data pipeline: brute force, SQL, held-out accuracy and odd inputs."""
 
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter, defaultdict
@@ -420,6 +421,14 @@ def test_toxicity_scores_windows_of_the_same_words_once(monkeypatch):
     assert set(zip(toxicity.first_windows(h, starts).tolist(), range(100), strict=True)) <= {(a, b) for a in range(100) for b in range(100) if a % 62 == b % 62}
 
 
+def test_toxicity_model_travels_packed():
+    m = toxicity.fit(["grumbal vilex " * 20 + str(k) if k % 2 else "tare miso lure " * 15 + str(k) for k in range(20)], [k % 2 for k in range(20)])
+    packed = pickle.dumps(m)
+    assert len(packed) < 2_000_000
+    args = (Words(), *text_buffers(pa.array(["grumbal vilex " * 30, "tare miso"], pa.large_string())))
+    assert toxicity.score_slice(pickle.loads(packed), *args).tolist() == toxicity.score_slice(m, *args).tolist()
+
+
 def test_windows_cover_every_word():
     for n in (1, 23, 24, 25, 40, 41, 500):
         s = toxicity.window_starts(n)

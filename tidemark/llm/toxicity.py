@@ -11,6 +11,7 @@ loss of a text reaches its windows by a softmax of their logits.
 from __future__ import annotations
 
 import pickle
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -290,13 +291,16 @@ class Model:
         self.word_odds, self.gram_odds, self.net = word_odds, gram_odds, net
 
     def dump(self) -> bytes:
-        """The arrays of the model, without its classes."""
-        return pickle.dumps([vars(self.word_odds), vars(self.gram_odds), vars(self.net)])
+        """The arrays of the model, without its classes; packed, as most slots of the tables are empty."""
+        return zlib.compress(pickle.dumps([vars(self.word_odds), vars(self.gram_odds), vars(self.net)], pickle.HIGHEST_PROTOCOL), 1)
+
+    def __reduce__(self) -> tuple:
+        return Model.load, (self.dump(),)
 
     @classmethod
     def load(cls, dumped: bytes) -> Model:
         parts = [Odds.__new__(Odds), Odds.__new__(Odds), Net.__new__(Net)]
-        for part, arrays in zip(parts, pickle.loads(dumped), strict=True):
+        for part, arrays in zip(parts, pickle.loads(zlib.decompress(dumped)), strict=True):
             vars(part).update(arrays)
         return cls(*parts)
 
