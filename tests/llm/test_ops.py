@@ -421,6 +421,36 @@ def test_toxicity_scores_windows_of_the_same_words_once(monkeypatch):
     assert set(zip(toxicity.first_windows(h, starts).tolist(), range(100), strict=True)) <= {(a, b) for a in range(100) for b in range(100) if a % 62 == b % 62}
 
 
+def test_toxicity_goes_on_with_one_state_where_windows_have_met(monkeypatch):
+    """Windows whose states no longer differ are not worked out apart; where they differ to the end, all are."""
+    rng, curves, exp = np.random.default_rng(5), [], np.exp
+    words = ["".join(rng.choice(["ta", "re", "mi", "so", "lu"], 4)) for _ in range(200)] + ["vilex"]
+    texts = [" ".join(rng.choice(words, n)) for n in (3000, 24, 25, 300, 7)]
+    m = toxicity.fit([" ".join(rng.choice(words, 60)) for _ in range(40)], [k % 2 for k in range(40)])
+    args, U = text_buffers(pa.array(texts, pa.large_string())), {k: m.net.p[k] for k in ("Uf", "Ub")}
+    windows = sum(max(len(t.split()) - toxicity.WINDOW + 1, 1) for t in texts)
+    whole = 2 * (16 + 23 * 24) + 24 * 8 + 24  # curves of a window by itself
+    for bias, share in ((2, 0.75), (-2, 1.1)):  # of the update gate: what was before is soon forgotten, or kept
+        m.net.p |= {k: U[k] * np.float32(0.2) for k in U}
+        m.net.p["bf"][: toxicity.HIDDEN] = m.net.p["bb"][: toxicity.HIDDEN] = bias
+        with monkeypatch.context() as c:
+            curves.clear()
+            c.setattr(toxicity.np, "exp", lambda x, out=None: curves.append(x.size) or exp(x, out=out))
+            got = toxicity.score_slice(m, Words(), *args)
+        assert sum(curves) < share * whole * windows
+        with monkeypatch.context() as c:
+            c.setattr(toxicity, "SAME", np.float32(0), raising=False)
+            alone = [toxicity.score_slice(m, Words(), *text_buffers(pa.array([t], pa.large_string())))[0] for t in texts]
+        assert got == pytest.approx(alone, abs=1e-5)
+
+
+def test_first_places_of_hashes_are_exact():
+    rng = np.random.default_rng(6)
+    for h in (rng.integers(0, 1 << 63, 200_000, dtype=np.uint64)[rng.integers(0, 200_000, 500_000)], np.repeat(np.arange(7, dtype=np.uint64), 3), np.zeros(0, np.uint64)):
+        _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        assert (toxicity.firsts(h) == at[which]).all()
+
+
 def test_toxicity_model_travels_packed():
     m = toxicity.fit(["grumbal vilex " * 20 + str(k) if k % 2 else "tare miso lure " * 15 + str(k) for k in range(20)], [k % 2 for k in range(20)])
     packed = pickle.dumps(m)

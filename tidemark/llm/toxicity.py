@@ -31,8 +31,10 @@ HASHED, DIM, HIDDEN, EPOCHS = 1 << 14, 4, 8, 5
 NET_ROWS, NET_BYTES = 400, 4_000_000
 #: Distance of the windows in training, and the most windows of a step; of a longer text those of the largest logits.
 NET_STRIDE, NET_WINDOWS = 16, 2048
-#: Windows that are scored side by side.
-BLOCK = 4096
+#: Windows that are scored side by side: what a step works on, 200 to 300 bytes a window, must stay in a core's own cache.
+BLOCK = 2048
+#: States that differ by less are one state: so much comes of rounding in 32 bits. They are compared after so many words.
+SAME, LEAST = np.float32(2.0**-21), 10
 GRAMS = (3, 5, 7)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 INPUTS = 5 + DIM
@@ -182,49 +184,70 @@ class Net:
         p, scale = self.p, np.tile(np.repeat(np.array([-1, -2], np.float32), [2 * HIDDEN, HIDDEN]), 2)
         return (x @ np.concatenate([p["Wf"], p["Wb"]], axis=1) + np.concatenate([p["bf"], p["bb"]])) * scale
 
-    def logits(self, steps: list[np.ndarray]) -> np.ndarray:
+    def logits(self, steps: list[np.ndarray] | np.ndarray) -> np.ndarray:
         """The logit of each window; steps[k]: what table() has of the k-th words of all windows, (6 * HIDDEN, windows).
 
         Windows lie side by side, so that every operation runs over all of them at once. All curves are sigmoids by exp, which
         costs half of what tanh does; what is kept is half of each state, so that tanh(x) / 2 is sigmoid(2 * x) - 1 / 2.
+
+        Steps from slide() are of windows that begin with consecutive words. There a window and the one that begins (backward:
+        ends) a word nearer read the same words from some word on. Once their states at a word differ by no more than
+        rounding (SAME), all later ones are taken from the nearer window; states that differ by more go on by themselves.
         """
-        p, h, t = self.p, HIDDEN, len(steps)
+        p, h, t, n = self.p, HIDDEN, len(steps), steps[0].shape[1]
+        slid = isinstance(steps, np.ndarray) and steps.strides[0] == steps.strides[2]
 
-        def curve(x: np.ndarray) -> np.ndarray:
-            """1 / (1 + exp(x)) in place."""
+        def odds(x: np.ndarray) -> np.ndarray:
+            """1 + exp(x) in place: the inverse of a sigmoid."""
             np.exp(x, out=x)
             x += 1
-            return np.divide(1, x, out=x)
-
-        states = np.empty((t, 2 * h, steps[0].shape[1]), np.float32)
-        e, o = np.empty((t, states.shape[2]), np.float32), np.empty((t, states.shape[2]), np.float32)
-        with np.errstate(over="ignore"):  # exp of a large value gives a curve of 0
-            for d, order in (("f", range(t)), ("b", range(t - 1, -1, -1))):
+            return x
+
+        states = np.empty((t, 2 * h, n), np.float32)
+        e, o = np.empty((t, n), np.float32), np.empty((t, n), np.float32)
+        # one product for the attention's hidden layer and, in the last row, what a state brings to the logit
+        A, a, v = np.concatenate([p["A"].T * np.float32(-4), 2 * p["w"][None]]), -2 * p["a"][:, None], 2 * p["v"]
+        with np.errstate(over="ignore"):  # exp of a large value gives a sigmoid of 0
+            for d, order, side in (("b", range(t - 1, -1, -1), -1), ("f", range(t), 1)):
                 low, U = (0 if d == "f" else h), np.ascontiguousarray(p[f"U{d}"].T) * np.repeat(np.array([-2, -4], np.float32), [2 * h, h])[:, None]
-                s = None
-                for k in order:
-                    x = steps[k][3 * low : 3 * (low + h)]
+                # windows that have a nearer one, and these
+                here, there = (slice(0, n - 1), slice(1, n)) if d == "f" else (slice(1, n), slice(0, n - 1))
+                s = own = None  # own: windows with states of their own, once there are others
+                for m, k in enumerate(order):
+                    x, now = steps[k][3 * low : 3 * (low + h)], states[k, low : low + h]
+                    if own is not None:
+                        x = x.take(own, axis=1)
                     if s is None:  # nothing before the first word
-                        z, c = curve(x[:h].copy()), curve(x[2 * h :].copy())
+                        c = np.divide(1, odds(x[2 * h :].copy()))
+                        c -= 0.5
+                        s = np.divide(c, odds(x[:h].copy()), out=now)
+                    else:
+                        g = U[: 2 * h] @ s
+                        g += x[: 2 * h]
+                        z, r = odds(g)[:h], g[h:]
+                        c = U[2 * h :] @ np.divide(s, r, out=r)
+                        c += x[2 * h :]
+                        np.divide(1, odds(c), out=c)
                         c -= 0.5
-                        s = np.multiply(z, c, out=states[k, low : low + h])
-                        continue
-                    g = U[: 2 * h] @ s
-                    g += x[: 2 * h]
-                    z, r = curve(g)[:h], g[h:]
-                    r *= s
-                    c = U[2 * h :] @ r
-                    c += x[2 * h :]
-                    curve(c)
-                    c -= 0.5
-                    c -= s
-                    c *= z
-                    s = np.add(s, c, out=states[k, low : low + h])
-            A, a, v, w = np.ascontiguousarray(p["A"].T) * np.float32(-4), -2 * p["a"][:, None], 2 * p["v"], 2 * p["w"]
-            for k in range(t):
-                q = A @ states[k]
-                q += a
-                e[k], o[k] = v @ curve(q), w @ states[k]  # e but for what all words have in common
+                        c -= s
+                        c /= z
+                        s = np.add(s, c, out=now if own is None else c)
+                    if own is not None:
+                        now[:, here] = before[:, there]
+                        now[:, own] = s
+                    elif slid and m >= LEAST:
+                        mine, near = now[:, here], before[:, there]
+                        if np.count_nonzero(np.abs(mine[0] - near[0]) < SAME) > 0.75 * n:  # one unit tells how many may have met
+                            far = np.ones(n, bool)  # the last window has no nearer one
+                            far[here] = np.abs(mine - near).max(axis=0) >= SAME
+                            if np.count_nonzero(far) < 0.25 * n:
+                                own = np.flatnonzero(far)
+                                s = s.take(own, axis=1)
+                    before = now  # of nearer windows: their states at the word to come
+                    if d == "f":  # both states of the word are known
+                        q = A @ states[k]
+                        q[:h] += a
+                        e[k], o[k] = v @ np.divide(1, odds(q[:h]), out=q[:h]), q[h]  # e but for what all words have in common
         e = np.exp(e - e.max(axis=0))
         return (e * o).sum(axis=0) / e.sum(axis=0) + p["c"][0]
 
@@ -426,6 +449,25 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     return model
 
 
+def slide(x: np.ndarray, n: int) -> np.ndarray:
+    """Steps of n windows that begin with consecutive words: a view of x (6 * HIDDEN, n + WINDOW - 1)."""
+    return np.lib.stride_tricks.sliding_window_view(x, n, axis=1).transpose(1, 0, 2)
+
+
+def firsts(h: np.ndarray) -> np.ndarray:
+    """Of each hash, the place of the first one equal to it; by slots of a table, again for those that others displaced."""
+    out, left, table, salt = np.empty(len(h), np.int64), np.arange(len(h)), np.empty(1 << 22, np.int64), GOLD
+    with np.errstate(over="ignore"):
+        while len(left):
+            slot = ((h[left] * salt) >> np.uint64(42)).astype(np.int64)
+            table[slot[::-1]] = left[::-1]  # the last one written stays: the first of the slot
+            got = table[slot]
+            same = h[got] == h[left]
+            out[left[same]] = got[same]
+            left, salt = left[~same], salt * GOLD
+    return out
+
+
 def first_windows(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Of each window, the start of the first one with the same words; h: hashes of the words, starts: sorted."""
     name, size, full, done = h, 1, np.zeros(len(h), np.uint64), 0
@@ -437,8 +479,7 @@ def first_windows(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
             if done < WINDOW:
                 name = mix(name[:-size] * GOLD + name[size:])
                 size *= 2
-    _, at, which = np.unique(full[starts], return_index=True, return_inverse=True)
-    first = starts[at[which]]
+    first = starts[firsts(full[starts])]
     again = np.flatnonzero(first != starts)
     same = np.ones(len(again), bool)
     for k in range(WINDOW):  # names may clash
@@ -453,7 +494,10 @@ def score_slice(model: Model, tok: Words, data: np.ndarray, offs: np.ndarray) ->
     out = np.full(len(offs) - 1, -np.inf)
     if not len(h):
         return out
-    u, first, inv = np.unique(h, return_index=True, return_inverse=True)
+    place = firsts(h)
+    new = place == np.arange(len(h))
+    first, inv = np.flatnonzero(new), (np.cumsum(new) - 1)[place]
+    u = h[first]
     net, table = model.net, np.empty((len(u), 6 * HIDDEN), np.float32)
     for k in range(0, len(u), 20_000):
         gw, gh = grams_of(data, s[first[k : k + 20_000]], e[first[k : k + 20_000]], tok.low)
@@ -480,7 +524,7 @@ def score_slice(model: Model, tok: Words, data: np.ndarray, offs: np.ndarray) ->
     for k in range(0, len(at_word) - WINDOW + 1, BLOCK):
         m = min(BLOCK, len(at_word) - WINDOW + 1 - k)
         x = np.ascontiguousarray(table[inv[at_word[k : k + m + WINDOW - 1]]].T)
-        value[at_word[k : k + m]] = net.logits([x[:, j : j + m] for j in range(WINDOW)])
+        value[at_word[k : k + m]] = net.logits(slide(x, m))
     out[docs] = np.maximum.reduceat(value[first], np.searchsorted(starts, at[docs]))
     return out
 
