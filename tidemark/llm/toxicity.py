@@ -32,9 +32,9 @@ NET_ROWS, NET_BYTES = 400, 4_000_000
 #: Distance of the windows in training, and the most windows of a step; of a longer text those of the largest logits.
 NET_STRIDE, NET_WINDOWS = 16, 2048
 #: Windows that are scored side by side: what a step works on, 200 to 300 bytes a window, must stay in a core's own cache.
-BLOCK = 2048
+BLOCK = 3072
 #: States that differ by less are one state: so much comes of rounding in 32 bits. They are compared after so many words.
-SAME, LEAST = np.float32(2.0**-21), 10
+SAME, LEAST = np.float32(2.0**-20), 10
 GRAMS = (3, 5, 7)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 INPUTS = 5 + DIM
@@ -207,31 +207,35 @@ class Net:
         e, o = np.empty((t, n), np.float32), np.empty((t, n), np.float32)
         # one product for the attention's hidden layer and, in the last row, what a state brings to the logit
         A, a, v = np.concatenate([p["A"].T * np.float32(-4), 2 * p["w"][None]]), -2 * p["a"][:, None], 2 * p["v"]
+        q = np.empty((h + 1, n), np.float32)
+        hidden = q[:h]
         with np.errstate(over="ignore"):  # exp of a large value gives a sigmoid of 0
-            for d, order, side in (("b", range(t - 1, -1, -1), -1), ("f", range(t), 1)):
+            for d, order in (("b", range(t - 1, -1, -1)), ("f", range(t))):
                 low, U = (0 if d == "f" else h), np.ascontiguousarray(p[f"U{d}"].T) * np.repeat(np.array([-2, -4], np.float32), [2 * h, h])[:, None]
                 # windows that have a nearer one, and these
                 here, there = (slice(0, n - 1), slice(1, n)) if d == "f" else (slice(1, n), slice(0, n - 1))
                 s = own = None  # own: windows with states of their own, once there are others
+                g, c = np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32)
+                z, r, mid, top = g[:h], g[h:], 3 * low + 2 * h, 3 * (low + h)
                 for m, k in enumerate(order):
-                    x, now = steps[k][3 * low : 3 * (low + h)], states[k, low : low + h]
+                    gates, last, now = steps[k][3 * low : mid], steps[k][mid:top], states[k, low : low + h]
                     if own is not None:
-                        x = x.take(own, axis=1)
+                        gates, last = gates.take(own, axis=1), last.take(own, axis=1)
                     if s is None:  # nothing before the first word
-                        c = np.divide(1, odds(x[2 * h :].copy()))
+                        np.divide(1, odds(np.add(last, 0, out=c)), out=c)
                         c -= 0.5
-                        s = np.divide(c, odds(x[:h].copy()), out=now)
+                        s = np.divide(c, odds(np.add(gates[:h], 0, out=z)), out=now)
                     else:
-                        g = U[: 2 * h] @ s
-                        g += x[: 2 * h]
-                        z, r = odds(g)[:h], g[h:]
-                        c = U[2 * h :] @ np.divide(s, r, out=r)
-                        c += x[2 * h :]
+                        np.matmul(U[: 2 * h], s, out=g)
+                        g += gates
+                        odds(g)
+                        np.matmul(U[2 * h :], np.divide(s, r, out=r), out=c)
+                        c += last
                         np.divide(1, odds(c), out=c)
                         c -= 0.5
                         c -= s
                         c /= z
-                        s = np.add(s, c, out=now if own is None else c)
+                        s = np.add(s, c, out=now if own is None else s)
                     if own is not None:
                         now[:, here] = before[:, there]
                         now[:, own] = s
@@ -242,12 +246,13 @@ class Net:
                             far[here] = np.abs(mine - near).max(axis=0) >= SAME
                             if np.count_nonzero(far) < 0.25 * n:
                                 own = np.flatnonzero(far)
-                                s = s.take(own, axis=1)
+                                s, g, c = s.take(own, axis=1), np.empty((2 * h, len(own)), np.float32), np.empty((h, len(own)), np.float32)
+                                z, r = g[:h], g[h:]
                     before = now  # of nearer windows: their states at the word to come
                     if d == "f":  # both states of the word are known
-                        q = A @ states[k]
-                        q[:h] += a
-                        e[k], o[k] = v @ np.divide(1, odds(q[:h]), out=q[:h]), q[h]  # e but for what all words have in common
+                        np.matmul(A, states[k], out=q)
+                        hidden += a
+                        e[k], o[k] = v @ np.divide(1, odds(hidden), out=hidden), q[h]  # e but for what all words have in common
         e = np.exp(e - e.max(axis=0))
         return (e * o).sum(axis=0) / e.sum(axis=0) + p["c"][0]
 
