@@ -322,6 +322,23 @@ def test_segments_by_day_ties_amounts_whose_sums_differ_in_the_last_bit(spark, t
     assert {r["code"]: r["cap_band"] for r in segments_by_day(spark, str(tmp_path)).collect() if r["code"] < 3} == {1: "small", 2: "small"}
 
 
+def test_segments_by_day_adds_amounts_up_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import domain
+
+    rng, at = random.Random(1), dt.datetime(2024, 1, 4, 9)
+    rows = [(k, at + dt.timedelta(seconds=k), rng.randrange(2000), rng.randrange(1, 60) / 100) for k in range(6000)]
+    rows += [(6000, at, 3000, 1e-9), (6001, at, 3001, 2e-9), (6002, at, None, 1.0), (6003, None, 1, 1.0), (6004, at, 1, None), (6005, at, 3002, float("nan"))]
+    rng.shuffle(rows)  # files in any order give the same bands; the SQL reads them in the order of events
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    c.execute(f"CREATE TABLE events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet' ORDER BY event_id")
+    want = sorted(c.execute(domain.ORACLE["segments_by_day"]).fetchall())
+    assert sorted(tuple(r) for r in domain.segments_by_day(spark, str(tmp_path)).collect()) == want
+
+
 def test_array_frames_equal_sparks_frames(spark):
     rng = random.Random(5)
     draw = lambda: rng.choice([None, float("nan"), 0.0, 1.0, -1.0]) if rng.random() < 0.3 else rng.uniform(1, 9)

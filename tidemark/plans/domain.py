@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import domain as D
 from tidemark.operators import formulas as M
 from tidemark.plans.market import off
-from tidemark.sources.bars import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars
+from tidemark.sources.bars import EVENT_BARS_SQL, LINE_BARS_SQL, event_amounts, event_bars, line_bars
 from tidemark.session import saved, table
 
 QUERIES, ORACLE = {}, {}
@@ -110,9 +110,7 @@ def identity_resolution(spark, sf):
 @query(f"""WITH {EVENT_BARS_SQL}, r AS (SELECT code, d, percent_rank() OVER (PARTITION BY d ORDER BY amount) AS a, percent_rank() OVER (PARTITION BY d ORDER BY vol) AS v FROM bars)
 SELECT code, d, CASE WHEN a < 0.2 THEN 'micro' WHEN a < 0.5 THEN 'small' WHEN a < 0.8 THEN 'mid' ELSE 'large' END AS cap_band, CASE WHEN v < 0.33 THEN 'low' WHEN v < 0.67 THEN 'mid' ELSE 'high' END AS turnover_band FROM r""")
 def segments_by_day(spark, sf):
-    # a day's values add up in any order, so equal amounts may differ in the last bits; they are of hundredths
-    b = event_bars(spark, sf).withColumn("amount", F.round("amount", 6))
-    return D.segments(b, "amount", "vol").select("code", "d", "cap_band", "turnover_band")
+    return D.segments(event_amounts(spark, sf), "amount", "vol").select("code", "d", "cap_band", "turnover_band")
 
 
 @query("SELECT CASE WHEN c_nationkey < 3 THEN 'nation' WHEN c_acctbal < 0 THEN 'balance' ELSE 'kept' END AS reason, count(*) AS rows FROM customer GROUP BY 1")
