@@ -64,3 +64,36 @@ def test_no_bars_and_no_states(spark, bars):
     calendar = C.trading_days(bars)
     assert M.form_table(bars.limit(0), calendar, None, SHORT).count() == 0
     assert M.form_table(bars.filter("code = 1").orderBy("d").limit(5), calendar, None, SHORT).count() == 0
+
+
+def test_an_axis_without_its_features_has_no_value(spark):
+    from tidemark.operators import states as S
+
+    values = dict.fromkeys(("pctile", "pth", "ma_slope", "ma_align", "er", "r2", "vol_ratio_eff", "zvol_eff"), 0.4)
+    lacking = [None, *values]
+    rows = [tuple(None if f == gone else x for f, x in values.items()) for gone in lacking]
+    got = S.axes(spark.createDataFrame(rows, ", ".join(f"{f} double" for f in values))).collect()
+    for gone, r in zip(lacking, got, strict=True):
+        for name, options in S.AXES.items():
+            unknown = gone in {c[0] for cs in options.values() for c in cs}
+            assert (r[name] is None) == (r[f"{name}_score"] is None) == (r[f"{name}_share"] is None) == unknown, (gone, name)
+
+
+def test_the_form_table_shuffles_rows_of_a_code_once_and_then_all_together(spark, bars):
+    p = M.form_table(bars, C.trading_days(bars), None, SHORT)._jdf.queryExecution().executedPlan().toString()
+    # days; periods twice each, as they are resampled; all together
+    assert sum("Exchange hashpartitioning(code" in x for x in p.splitlines()) <= 6
+    assert "FlatMapGroupsInArrow" not in p and "SortMergeJoin" not in p
+
+
+def test_generated_methods_are_short_enough_for_the_jvm_to_compile(spark, bars):
+    import re
+
+    df = M.form_table(bars, C.trading_days(bars), None, SHORT)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(df.select("*")._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(map(int, sizes)) < 8000

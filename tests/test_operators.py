@@ -360,6 +360,20 @@ def test_array_frames_equal_sparks_frames(spark):
             assert same, (r, c, a, b)
 
 
+def test_frames_of_dealt_rows_equal_those_of_groups(spark):
+    rng = random.Random(7)
+    rows = [(c, k, rng.choice([None, 0.0, rng.uniform(1, 9)]), float(k)) for c in [None, *range(60)] for k in rng.sample(range(200), rng.randrange(1, 150))] + [(99, k, rng.random(), 1.0) for k in range(9000)]
+    df = spark.createDataFrame(rows, "code long, d int, x double, y double").repartition(3)
+    spec = {f"{h}{lo}{hi}": (h, "x", lo, hi) for h in ("count", "sum", "avg", "min", "max", "stddev_samp", "slope", "r2", "below", "fall") for lo, hi in ((-4, 0), (-9, -2))}
+    spec |= {"full_a": ("avg", "y", -3, 0), "back": ("lag", "full_a", -20, 0), "full_b": ("below", "full_a", -30, 0), "change": ("change", "x", -1, 0), "move": ("move", "x", -2, 0)}
+    one, many = X.frames(df, ["code"], ["d"], spec), X.frames(df.repartition(2, "code"), ["code"], ["d"], spec, dealt=True)
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+    assert X.frames(df.limit(0).repartition("code"), ["code"], ["d"], spec, dealt=True).count() == 0
+    w = X.over(["code"], ["d"])
+    want = df.select("code", "d", (F.col("x") / F.nullif(F.lag("x").over(w), F.lit(0.0)) - 1).alias("change"), F.abs(F.col("x") - F.lag("x", 2).over(w)).alias("move"))
+    assert sorted(map(str, many.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_array_frames_find_the_deepest_fall_and_keep_other_columns(spark):
     rows = [(1, k, x, "s") for k, x in enumerate([5.0, 10.0, 4.0, 8.0, None, 12.0, 9.0])]
     got = X.frames(spark.createDataFrame(rows, "code long, d int, x double, s string"), ["code"], ["d"], {"fall": ("fall", "x", -2, 0)}).orderBy("d").collect()

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import states as S
 from tidemark.operators import technical as T
-from tidemark.operators.relational import asof_join
-from tidemark.session import saved
+from tidemark.operators import windows as X
 
 #: Frames by period, with the windows of each.
 FRAMES = {"day": S.DAILY, "week": S.WEEKLY, "month": S.MONTHLY}
@@ -52,11 +51,14 @@ def form_table(bars: DataFrame, calendar: DataFrame, bench: DataFrame | None = N
     for c in LIMITS:
         if c not in bars.columns:
             bars = bars.withColumn(c, F.lit(None).cast("double"))
-    d = saved(S.axes(S.limit_views(S.features(bars, bench, frames["day"]), tolerance)), "form-states")  # read by events and labels
-    events = S.breakouts(d, **(breakout or {})).select("code", "d", "base_days", F.lit(True).alias("breakout"))
-    out = S.labels(d).select("code", "d", *[c for n in S.AXES for c in (n, f"{n}_score")], "label", "sub", (~F.col("is_up_limit")).alias("buyable"), (~F.col("is_down_limit")).alias("sellable"), "is_one_word")
+    flagged = S.limit_flags(bars, tolerance).select("code", "d", "open", "high", "low", "close", "vol", "is_up_limit", "is_down_limit", "is_one_word")
+    d = S.axes(S.effective_views(S.features(flagged, bench, frames["day"])))
+    # what follows reads a code's rows in order: those of days and of closed periods meet in one shuffle of narrow rows
+    d = d.select("code", "d", F.lit(1).alias("_side"), "high", "close", "known", *[c for n in S.AXES for c in (n, f"{n}_score")], "mom", "ma_dist", "vol_ratio", "vol_ratio_eff", "rv_pctile", "is_up_limit", "is_down_limit", "is_one_word")
     for period in ("week", "month"):
-        p = period_labels(bars, calendar, period, frames[period]).withColumnRenamed("label", period)
-        out = asof_join(out, p, ["code"], "d", "d", [period])
-    out = out.join(events, ["code", "d"], "left").withColumn("breakout", F.coalesce("breakout", F.lit(False)))
-    return out.select("code", "d", *S.AXES, *[f"{n}_score" for n in S.AXES], "label", "sub", "week", "month", "breakout", F.col("base_days").cast("long").alias("base_days"), "buyable", "sellable", "is_one_word")
+        p = period_labels(bars, calendar, period, frames[period])
+        d = d.unionByName(p.select("code", "d", F.lit(0).alias("_side"), F.struct(F.col("label").alias("is")).alias(f"_{period}")), True)
+    so_far = X.over(["code"], ["d", "_side"], None, 0)
+    d = d.withColumns({p: F.last(f"_{p}", True).over(so_far)["is"] for p in ("week", "month")}).filter("_side = 1").drop("_week", "_month", "_side")
+    out = S.labels(S.with_breakouts(d, **(breakout or {})))
+    return out.select("code", "d", *S.AXES, *[f"{n}_score" for n in S.AXES], "label", "sub", "week", "month", "breakout", F.col("base_days").cast("long").alias("base_days"), (~F.col("is_up_limit")).alias("buyable"), (~F.col("is_down_limit")).alias("sellable"), "is_one_word")
