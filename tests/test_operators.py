@@ -374,6 +374,15 @@ def test_frames_of_dealt_rows_equal_those_of_groups(spark):
     assert sorted(map(str, many.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("how", ["var_pop", "stddev_pop", "stddev_samp"])
+def test_equal_values_do_not_vary(spark, how):
+    values = [math.log(v) for v in range(200, 420)]
+    df = spark.createDataFrame([(c, k, x) for c, x in enumerate(values) for k in range(7)], "code int, d int, x double")
+    spec = {f"v{n}": (how, "x", 1 - n, 0) for n in (2, 3, 4, 5, 6, 7)}
+    got = X.frames(df, ["code"], ["d"], spec).filter("d = 6").collect()
+    assert len(got) == len(values) and {r[n] for r in got for n in spec} == {0.0}
+
+
 def test_array_frames_find_the_deepest_fall_and_keep_other_columns(spark):
     rows = [(1, k, x, "s") for k, x in enumerate([5.0, 10.0, 4.0, 8.0, None, 12.0, 9.0])]
     got = X.frames(spark.createDataFrame(rows, "code long, d int, x double, s string"), ["code"], ["d"], {"fall": ("fall", "x", -2, 0)}).orderBy("d").collect()
