@@ -97,3 +97,10 @@ def test_generated_methods_are_short_enough_for_the_jvm_to_compile(spark, bars):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sizes and max(map(int, sizes)) < 8000
+
+
+def test_the_increment_reads_its_rows_from_one_table(spark):
+    from tidemark.plans.states import tech_form_increment
+
+    p = tech_form_increment(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "form-part" in p and "reading-from" not in p
